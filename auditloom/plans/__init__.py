@@ -1,0 +1 @@
+"""Composed plans and the query catalogue."""
