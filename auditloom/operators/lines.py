@@ -7,6 +7,9 @@ shuffle. Only the manifest-section scan carries state across lines, and it does
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +23,26 @@ LINE_BREAK = r"\r\n|\n|\r"
 
 
 def explode_lines(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
-    """One row per line, 1-based; the empty piece after a final line break is no line."""
-    pieces = F.split(F.col(text), LINE_BREAK)
+    """One row per line, 1-based; a final line break ends the last line and starts no new one.
+
+    The break is cut off before splitting, so the text itself is not carried onto the line rows.
+    """
+    c, size = F.col(text), F.length(text)
+    body = (
+        F.when(F.endswith(c, F.lit("\r\n")), F.substr(c, F.lit(1), size - 2))
+        .when(F.endswith(c, F.lit("\n")) | F.endswith(c, F.lit("\r")), F.substr(c, F.lit(1), size - 1))
+        .otherwise(c)
+    )
     return (
-        corpus.filter(F.col(text).isNotNull())
-        .select(*keys, F.size(pieces).alias("__n"), F.posexplode(pieces).alias("__pos", "text"))
-        .filter(~((F.col("__pos") == F.col("__n") - 1) & (F.col("text") == "")))
+        corpus.filter(F.col(text) != "")
+        .select(*keys, F.posexplode(F.split(body, LINE_BREAK)).alias("__pos", "text"))
         .select(*keys, (F.col("__pos") + 1).cast("long").alias("line"), "text")
     )
 
 
 def _hits(lines: DataFrame, keys: list[str], entries: Column) -> DataFrame:
     return (
-        lines.select(*keys, "line", F.explode(F.array_compact(entries)).alias("__hit"))
+        lines.select(*keys, "line", F.explode(entries).alias("__hit"))
         .select(*keys, "line", "__hit.risk", "__hit.pattern", "__hit.context")
     )
 
@@ -43,9 +53,17 @@ def _entry(risk, pattern, context: Column) -> Column:
     return F.struct(risk.alias("risk"), pattern.alias("pattern"), context.alias("context"))
 
 
-def any_rule(text: Column, rules: list[R.Rule]) -> Column:
-    """One pass that tells whether a text can hold any hit."""
-    return F.rlike(text, F.lit("|".join(f"(?:{rule.regex})" for rule in rules)))
+def rule_test(text: Column, rule: R.Rule) -> Column:
+    """Regex test, behind a plain substring test where the rule starts with literal text."""
+    test = F.rlike(text, F.lit(rule.regex))
+    return F.contains(text, F.lit(rule.needle)) & test if rule.needle else test
+
+
+def may_match(text: Column, rules: list[R.Rule]) -> Column:
+    """Cheap test that is true for every text with a hit (and for some without)."""
+    tests = [F.contains(text, F.lit(rule.needle)) for rule in rules if rule.needle]
+    tests += [F.rlike(text, F.lit(rule.regex)) for rule in rules if not rule.needle]
+    return functools.reduce(operator.or_, tests)
 
 
 def scan_lines(lines: DataFrame, rules: list[R.Rule] = R.INJECTION, keys: list[str] = KEYS,
@@ -53,11 +71,15 @@ def scan_lines(lines: DataFrame, rules: list[R.Rule] = R.INJECTION, keys: list[s
     """One warning per line and matching rule; rules see the lower-cased line unless told otherwise."""
     subject = F.lower("text") if lower else F.col("text")
     context = first_chars(strip("text"), 200)
-    entries = F.array(*[
-        F.when(F.rlike(subject, F.lit(rule.regex)), _entry(rule.severity, prefix + rule.id, context))
-        for rule in rules
-    ])
-    return _hits(lines.filter(any_rule(subject, rules)), keys, entries)
+
+    def entries(line):
+        return F.array_compact(F.array(*[
+            F.when(rule_test(line, rule), _entry(rule.severity, prefix + rule.id, context)) for rule in rules
+        ]))
+
+    # Both lambdas bind the lower-cased line once; as a plain column it would be computed per rule.
+    candidates = lines.filter(F.exists(F.array(subject), lambda line: may_match(line, rules)))
+    return _hits(candidates, keys, F.flatten(F.transform(F.array(subject), entries)))
 
 
 def build_lines(lines: DataFrame, keys: list[str] = KEYS, path: str = "path", width: int = ordered.WIDTH) -> DataFrame:
@@ -84,7 +106,8 @@ def scan_base64_comments(lines: DataFrame, rules: list[R.Rule] = R.INJECTION, ke
     comment = strip(F.regexp_replace(comment, r"[*/]+$", ""))
     runs = F.regexp_extract_all(comment, F.lit(r"[A-Za-z0-9+/=]{20,}"), F.lit(0))
     found = (
-        lines.filter(F.rlike("text", F.lit(r"(?://|#|/\*).*[A-Za-z0-9+/=]{20}")))
+        lines.filter((F.contains("text", F.lit("#")) | F.contains("text", F.lit("//")) | F.contains("text", F.lit("/*")))
+                     & F.rlike("text", F.lit(r"(?://|#|/\*).*[A-Za-z0-9+/=]{20}")))
         .select(*keys, "line", F.explode(runs).alias("run"))
         .filter(F.rlike("run", F.lit(r"^[A-Za-z0-9+/]*={0,2}$")))
         .withColumn("__body", F.regexp_replace("run", "=+$", ""))
@@ -117,18 +140,26 @@ def scan_base64_comments(lines: DataFrame, rules: list[R.Rule] = R.INJECTION, ke
     )
 
 
-def _character_class(points: list[tuple[int, int]]) -> str:
-    return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in points) + "]"
+def _character_class(points: list[tuple[int, int]], gap: int = 64) -> str:
+    """A class of few wide ranges around the points: fast to test on every line, exact only later."""
+    merged: list[list[int]] = []
+    for low, high in sorted(points):
+        if merged and low - merged[-1][1] <= gap:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in merged) + "]"
 
 
 def explode_characters(lines: DataFrame, points: list[tuple[int, int]], keys: list[str] = KEYS) -> DataFrame:
     """Characters of the given code points with their 1-based column; other lines never explode."""
+    code = F.ascii("ch").cast("long")
+    inside = functools.reduce(operator.or_, [F.col("code").between(low, high) for low, high in points])
     return (
-        lines.filter(F.rlike("text", F.lit(_character_class(points))))
+        lines.filter((F.length("text") != F.octet_length("text")) & F.rlike("text", F.lit(_character_class(points))))
         .select(*keys, "line", F.posexplode(F.split("text", "")).alias("__pos", "ch"))
-        .filter(F.rlike("ch", F.lit(_character_class(points))))
-        .select(*keys, "line", (F.col("__pos") + 1).cast("long").alias("column"), "ch",
-                F.ascii("ch").cast("long").alias("code"))
+        .select(*keys, "line", (F.col("__pos") + 1).cast("long").alias("column"), "ch", code.alias("code"))
+        .filter(inside)
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from auditloom import rules as R
 from auditloom.functions.text import first_chars, strip
+from auditloom.operators.lines import rule_test
 
 OPEN, CLOSE, STAND_IN = "\x01", "\x02", "\x1a"
 KEYS = ["repo", "path"]
@@ -53,7 +54,7 @@ def scan_matches(corpus: DataFrame, rules: list[R.Rule], keys: list[str] = KEYS,
             F.lit(number).alias("rule_no"), s["offset"].alias("offset"), s["length"].alias("length"),
             s["line"].cast("long").alias("line")))
         none = F.array().cast("array<struct<rule_no:int,offset:int,length:int,line:bigint>>")
-        return F.when(F.rlike(source, F.lit(rule.regex)), found).otherwise(none)
+        return F.when(rule_test(source, rule), found).otherwise(none)
 
     spans = [numbered(number, rule) for number, rule in enumerate(rules)]
 
