@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from auditloom.operators import findings as FI
+from auditloom.functions.text import severity_rank
 from auditloom.operators import ordered
 from auditloom.sources.state import _file_system, exists
 
@@ -76,13 +76,15 @@ def finding_counts(events: DataFrame, run: str = "run") -> DataFrame:
 
 
 def split_log_lines(events: DataFrame, text: str = "line") -> DataFrame:
-    """Chunks of output as their non-blank lines."""
-    return events.withColumn(text, F.explode(F.split(text, "\n"))).filter(F.trim(text) != "")
+    """Chunks of output as their non-blank lines; ``part`` keeps their order within the chunk."""
+    others = [name for name in events.columns if name != text]
+    return events.select(*others, F.posexplode(F.split(text, "\n")).alias("part", text)).filter(F.trim(text) != "")
 
 
 def log_tail(events: DataFrame, run: str = "run", seq: str = "seq", n: int = LOG_TAIL) -> DataFrame:
     """The last 201 log rows of every run."""
-    return ordered.top_n(events, [run], [F.desc(seq)], n, seq)
+    order = [F.desc(name) for name in (seq, "part") if name in events.columns]
+    return ordered.top_n(events, [run], order, n, seq)
 
 
 def budget_alerts(totals: DataFrame, budget: int) -> DataFrame:
@@ -150,20 +152,34 @@ def keep_progress(stream: DataFrame, table: VersionedTable, checkpoint: str) ->
     return _start(stream, merge, checkpoint)
 
 
-def keep_findings(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Keep one finding per key: the highest severity, the earliest among equals."""
-    def merge(batch: DataFrame, number: int) -> None:
-        before = table.read(number)
-        rows = batch.withColumn("slot", F.col("seq"))
-        if before is not None:
-            rows = before.unionByName(rows)
-        first = rows.filter(F.coalesce("dedupKey", F.lit("")) != "").groupBy("repo", "dedupKey").agg(
-            F.min("slot").alias("__first"))
-        merged = FI.dedup_by_key(rows.drop("slot")).drop("slot").join(first, ["repo", "dedupKey"], "left")
-        table.write(merged.withColumn("slot", F.coalesce("__first", F.col("seq"))).drop("__first").select(
-            *rows.columns), number)
+def dedup_state(findings: DataFrame, repo: str = "repo", key: str = "dedupKey", seq: str = "seq") -> DataFrame:
+    """One row per key as an aggregation: highest severity, earliest among equals, in its first ``slot``.
 
-    return _start(stream, merge, checkpoint)
+    On a stream the state store holds one row per key, spread by hash, and update mode emits only
+    keys a batch changed. Rows without a key stand for themselves.
+    """
+    place = F.coalesce(F.when(F.col(key) != "", F.concat(F.lit("k:"), F.col(key))),
+                       F.concat(F.lit("#"), F.col(seq).cast("string")))
+    order = F.struct(severity_rank("severity"), F.col(seq))
+    return findings.withColumn("place", place).groupBy(repo, "place").agg(
+        F.min_by(F.struct(*[name for name in findings.columns if name != repo]), order).alias("__row"),
+        F.min(seq).alias("slot")).select(repo, "place", "slot", "__row.*")
+
+
+def keep_findings(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Append each batch's changed keys to a change log; a replayed batch rewrites its own folder."""
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    return dedup_state(stream).writeStream.outputMode("update").foreachBatch(append).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_findings(spark: SparkSession, root: str, repo: str = "repo") -> DataFrame:
+    """The findings a change log adds up to: the newest row of every key."""
+    log = spark.read.parquet(root)
+    names = [name for name in log.columns if name not in (repo, "place", "batch")]
+    return log.groupBy(repo, "place").agg(F.max_by(F.struct(*names), "batch").alias("__row")).select(repo, "__row.*")
 
 
 def keep_log_tail(stream: DataFrame, table: VersionedTable, checkpoint: str, n: int = LOG_TAIL) -> StreamingQuery:
