@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from auditloom import rules as R
 from auditloom.functions import predicates as P
-from auditloom.functions.text import col, first_chars, literal_map, strip
+from auditloom.functions.text import any_contains, col, first_chars, literal_map, strip
 from auditloom.operators import ordered
 
 KEYS = ["repo", "path"]
@@ -53,33 +53,48 @@ def _entry(risk, pattern, context: Column) -> Column:
     return F.struct(risk.alias("risk"), pattern.alias("pattern"), context.alias("context"))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def has_literal(text: Column, rule: R.Rule) -> Column:
+    return any_contains(text, list(rule.literals))
+
+
 def rule_test(text: Column, rule: R.Rule) -> Column:
-    """Regex test, behind a plain substring test where the rule starts with literal text."""
+    """Regex test, behind a substring test where the rule names literal text (and minds case)."""
     test = F.rlike(text, F.lit(rule.regex))
-    return F.contains(text, F.lit(rule.needle)) & test if rule.needle else test
+    return has_literal(text, rule) & test if rule.literals and not rule.ignore_case else test
 
 
 def may_match(text: Column, rules: list[R.Rule]) -> Column:
     """Cheap test that is true for every text with a hit (and for some without)."""
-    tests = [F.contains(text, F.lit(rule.needle)) for rule in rules if rule.needle]
-    tests += [F.rlike(text, F.lit(rule.regex)) for rule in rules if not rule.needle]
+    cheap = [rule for rule in rules if rule.literals and not rule.ignore_case]
+    tests = [has_literal(text, rule) for rule in cheap]
+    tests += [F.rlike(text, F.lit(rule.regex)) for rule in rules if rule not in cheap]
     return functools.reduce(operator.or_, tests)
 
 
-def scan_lines(lines: DataFrame, rules: list[R.Rule] = R.INJECTION, keys: list[str] = KEYS,
-               prefix: str = "", lower: bool = True) -> DataFrame:
-    """One warning per line and matching rule; rules see the lower-cased line unless told otherwise."""
-    subject = F.lower("text") if lower else F.col("text")
+# Entries: array columns of (risk, pattern, context) for one line. Each is null or empty for most lines.
+
+def rule_entries(rules: list[R.Rule], prefix: str = "", lower: bool = True) -> Column:
+    """One entry per matching rule; the line is lower-cased once, not once per rule."""
     context = first_chars(strip("text"), 200)
 
     def entries(line):
-        return F.array_compact(F.array(*[
+        found = F.array(*[
             F.when(rule_test(line, rule), _entry(rule.severity, prefix + rule.id, context)) for rule in rules
-        ]))
+        ])
+        return F.when(may_match(line, rules), F.array_compact(found))
 
-    # Both lambdas bind the lower-cased line once; as a plain column it would be computed per rule.
-    candidates = lines.filter(F.exists(F.array(subject), lambda line: may_match(line, rules)))
-    return _hits(candidates, keys, F.flatten(F.transform(F.array(subject), entries)))
+    return bind(F.lower("text") if lower else F.col("text"), entries)
+
+
+def scan_lines(lines: DataFrame, rules: list[R.Rule] = R.INJECTION, keys: list[str] = KEYS,
+               prefix: str = "", lower: bool = True) -> DataFrame:
+    """One warning per line and matching rule; rules see the lower-cased line unless told otherwise."""
+    return _hits(lines, keys, rule_entries(rules, prefix, lower))
 
 
 def build_lines(lines: DataFrame, keys: list[str] = KEYS, path: str = "path", width: int = ordered.WIDTH) -> DataFrame:
@@ -100,44 +115,41 @@ def scan_build_lines(lines: DataFrame, rules: list[R.Rule] = R.BUILD_COMMANDS, k
     return scan_lines(build_lines(lines, keys, path, width), rules, keys, prefix="build_", lower=False)
 
 
-def scan_base64_comments(lines: DataFrame, rules: list[R.Rule] = R.INJECTION, keys: list[str] = KEYS) -> DataFrame:
+def base64_entries(rules: list[R.Rule] = R.INJECTION) -> Column:
     """Encoded runs in comments: decoded text that matches a rule is high, other long runs are low."""
+    marks = F.contains("text", F.lit("#")) | F.contains("text", F.lit("//")) | F.contains("text", F.lit("/*"))
+    candidate = marks & F.rlike("text", F.lit(r"(?://|#|/\*).*[A-Za-z0-9+/=]{20}"))
     comment = F.regexp_extract("text", r"(?://|#|/\*)\s*(.*)", 1)
     comment = strip(F.regexp_replace(comment, r"[*/]+$", ""))
     runs = F.regexp_extract_all(comment, F.lit(r"[A-Za-z0-9+/=]{20,}"), F.lit(0))
-    found = (
-        lines.filter((F.contains("text", F.lit("#")) | F.contains("text", F.lit("//")) | F.contains("text", F.lit("/*")))
-                     & F.rlike("text", F.lit(r"(?://|#|/\*).*[A-Za-z0-9+/=]{20}")))
-        .select(*keys, "line", F.explode(runs).alias("run"))
-        .filter(F.rlike("run", F.lit(r"^[A-Za-z0-9+/]*={0,2}$")))
-        .withColumn("__body", F.regexp_replace("run", "=+$", ""))
-        .withColumn("__pads", F.length("run") - F.length("__body"))
-        .withColumn("__rest", F.length("__body") % 4)
-        .filter((F.col("__rest") == 0) | ((F.col("__rest") == 3) & (F.col("__pads") >= 1))
-                | ((F.col("__rest") == 2) & (F.col("__pads") == 2)))
-    )
-    padded = F.rpad("__body", (F.ceil(F.length("__body") / F.lit(4)) * 4).cast("int"), F.lit("="))
-    decoded = found.withColumn("__bytes", F.try_to_binary(padded, F.lit("base64"))).filter(
-        F.col("__bytes").isNotNull()
-    ).withColumn("decoded", F.replace(F.make_valid_utf8(F.col("__bytes").cast("string")), F.lit("�"), F.lit("")))
-    lowered = F.lower("decoded")
-    first_rule = F.coalesce(*[
-        F.when(F.rlike(lowered, F.lit(rule.regex)), F.lit(f"base64_encoded_{rule.id}")) for rule in rules
-    ])
-    suspicious = F.concat(F.lit("Base64 in comment decodes to suspicious content: "), first_chars("decoded", 80),
-                          F.lit("..."))
-    plain = F.concat(F.lit("Base64 string in comment ("), F.length("run").cast("string"), F.lit(" chars): "),
-                     first_chars("run", 40), F.lit("..."))
-    return (
-        decoded.withColumn("__rule", first_rule)
-        .filter(F.col("__rule").isNotNull() | (F.length("run") > 40))
-        .select(
-            *keys, "line",
-            F.when(F.col("__rule").isNotNull(), F.lit("high")).otherwise(F.lit("low")).alias("risk"),
-            F.coalesce("__rule", F.lit("base64_in_comment")).alias("pattern"),
-            F.when(F.col("__rule").isNotNull(), suspicious).otherwise(plain).alias("context"),
-        )
-    )
+
+    def decode(run):
+        """Text of a run, or null when its alphabet or padding is wrong; bad bytes are left out."""
+        body = F.regexp_replace(run, "=+$", "")
+        pads, rest = F.length(run) - F.length(body), F.length(body) % 4
+        sound = F.rlike(run, F.lit(r"^[A-Za-z0-9+/]*={0,2}$")) & (
+            (rest == 0) | ((rest == 3) & (pads >= 1)) | ((rest == 2) & (pads == 2)))
+        padded = F.rpad(body, (F.ceil(F.length(body) / F.lit(4)) * 4).cast("int"), F.lit("="))
+        read = F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+        return F.when(sound, F.replace(read, F.lit("\ufffd"), F.lit("")))
+
+    def judge(run, decoded):
+        name = F.coalesce(*[
+            F.when(F.rlike(F.lower(decoded), F.lit(rule.regex)), F.lit(f"base64_encoded_{rule.id}")) for rule in rules
+        ])
+        suspicious = F.concat(F.lit("Base64 in comment decodes to suspicious content: "), first_chars(decoded, 80),
+                              F.lit("..."))
+        plain = F.concat(F.lit("Base64 string in comment ("), F.length(run).cast("string"), F.lit(" chars): "),
+                         first_chars(run, 40), F.lit("..."))
+        return bind(name, lambda n: F.when(n.isNotNull(), _entry("high", n, suspicious)).when(
+            decoded.isNotNull() & (F.length(run) > 40), _entry("low", "base64_in_comment", plain)))
+
+    found = F.transform(runs, lambda run: bind(decode(run), lambda decoded: judge(run, decoded)))
+    return F.when(candidate, F.array_compact(found))
+
+
+def scan_base64_comments(lines: DataFrame, rules: list[R.Rule] = R.INJECTION, keys: list[str] = KEYS) -> DataFrame:
+    return _hits(lines, keys, base64_entries(rules))
 
 
 def _character_class(points: list[tuple[int, int]], gap: int = 64) -> str:
@@ -151,54 +163,68 @@ def _character_class(points: list[tuple[int, int]], gap: int = 64) -> str:
     return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in merged) + "]"
 
 
-def explode_characters(lines: DataFrame, points: list[tuple[int, int]], keys: list[str] = KEYS) -> DataFrame:
-    """Characters of the given code points with their 1-based column; other lines never explode."""
-    code = F.ascii("ch").cast("long")
-    inside = functools.reduce(operator.or_, [F.col("code").between(low, high) for low, high in points])
-    return (
-        lines.filter((F.length("text") != F.octet_length("text")) & F.rlike("text", F.lit(_character_class(points))))
-        .select(*keys, "line", F.posexplode(F.split("text", "")).alias("__pos", "ch"))
-        .select(*keys, "line", (F.col("__pos") + 1).cast("long").alias("column"), "ch", code.alias("code"))
-        .filter(inside)
-    )
+def _character_entries(points: list[tuple[int, int]], entry) -> Column:
+    """Entries for the characters of a line; only lines with a candidate are taken apart.
+
+    ``entry(ch, code, column)`` gives null for a character that is no hit.
+    """
+    candidate = (F.length("text") != F.octet_length("text")) & F.rlike("text", F.lit(_character_class(points)))
+    found = F.transform(F.split("text", ""), lambda ch, i: F.when(
+        F.octet_length(ch) > 1, bind(F.ascii(ch), lambda code: entry(ch, code, i + 1))))
+    return F.when(candidate, F.array_compact(found))
+
+
+def _character_text(code: Column, head: str, tail: Column) -> Column:
+    name = F.coalesce(F.try_element_at(literal_map(R.codepoint_names()), code), F.lit("UNKNOWN"))
+    return F.concat(F.lit("Character U+"), F.lpad(F.hex(code.cast("long")), 4, "0"), F.lit(" ("), name, F.lit(head),
+                    tail)
 
 
-def _character_text(head: str, tail: Column) -> Column:
-    name = F.coalesce(F.try_element_at(literal_map(R.codepoint_names()), F.col("code").cast("int")), F.lit("UNKNOWN"))
-    return F.concat(F.lit("Character U+"), F.lpad(F.hex("code"), 4, "0"), F.lit(" ("), name, F.lit(head), tail)
+def codepoint_entries(ranges=tuple(R.CODEPOINT_RANGES)) -> Column:
+    """One high entry per suspicious character; a mark that opens the file is fine."""
+    def entry(ch, code, column):
+        label = F.coalesce(*[F.when(code.between(low, high), F.lit(name)) for low, high, name in ranges])
+        opening = (code == 0xFEFF) & (F.col("line") == 1) & (column == 1)
+        text = _character_text(code, ") at column ", column.cast("string"))
+        return F.when(label.isNotNull() & ~opening, _entry("high", F.concat(F.lit("suspicious_unicode_"), label), text))
+
+    return _character_entries([(low, high) for low, high, _ in ranges], entry)
+
+
+def homoglyph_entries(table: dict[str, str] | None = None) -> Column:
+    """One high entry per look-alike letter."""
+    table = table or R.HOMOGLYPHS
+
+    def entry(ch, code, column):
+        def looks_like(letter):
+            tail = F.concat(letter, F.lit("' at column "), column.cast("string"))
+            text = _character_text(code, ") looks like ASCII '", tail)
+            return F.when(letter.isNotNull(), _entry("high", "homoglyph", text))
+
+        return bind(F.try_element_at(literal_map(table), ch), looks_like)
+
+    return _character_entries([(ord(ch), ord(ch)) for ch in table], entry)
 
 
 def scan_codepoints(lines: DataFrame, ranges=tuple(R.CODEPOINT_RANGES), keys: list[str] = KEYS) -> DataFrame:
-    """One high warning per suspicious character; a mark that opens the file is fine."""
-    chars = explode_characters(lines, [(low, high) for low, high, _ in ranges], keys)
-    label = F.coalesce(*[F.when(F.col("code").between(low, high), F.lit(name)) for low, high, name in ranges])
-    opening = (F.col("code") == 0xFEFF) & (F.col("line") == 1) & (F.col("column") == 1)
-    return chars.filter(~opening).select(
-        *keys, "line", F.lit("high").alias("risk"), F.concat(F.lit("suspicious_unicode_"), label).alias("pattern"),
-        _character_text(") at column ", F.col("column").cast("string")).alias("context"),
-    )
+    return _hits(lines, keys, codepoint_entries(ranges))
 
 
 def scan_homoglyphs(lines: DataFrame, table: dict[str, str] | None = None, keys: list[str] = KEYS) -> DataFrame:
-    """One high warning per look-alike letter."""
-    table = table or R.HOMOGLYPHS
-    chars = explode_characters(lines, [(ord(ch), ord(ch)) for ch in table], keys)
-    tail = F.concat(F.try_element_at(literal_map(table), F.col("ch")), F.lit("' at column "),
-                    F.col("column").cast("string"))
-    return chars.select(
-        *keys, "line", F.lit("high").alias("risk"), F.lit("homoglyph").alias("pattern"),
-        _character_text(") looks like ASCII '", tail).alias("context"),
-    )
+    return _hits(lines, keys, homoglyph_entries(table))
+
+
+def long_comment_entries(limit: int = 500) -> Column:
+    def entry(body):
+        text = F.concat(F.lit("Comment is "), F.length(body).cast("string"), F.lit(" chars: "), first_chars(body, 100),
+                        F.lit("..."))
+        return F.when(F.length(body) > limit, F.array(_entry("medium", "long_comment", text)))
+
+    return F.when(F.length("text") > limit, bind(F.regexp_extract("text", r"(?://|#)\s*(.*)", 1), entry))
 
 
 def scan_long_comments(lines: DataFrame, limit: int = 500, keys: list[str] = KEYS) -> DataFrame:
-    body = F.regexp_extract("text", r"(?://|#)\s*(.*)", 1)
-    return (
-        lines.filter(F.length("text") > limit).withColumn("__body", body).filter(F.length("__body") > limit)
-        .select(*keys, "line", F.lit("medium").alias("risk"), F.lit("long_comment").alias("pattern"),
-                F.concat(F.lit("Comment is "), F.length("__body").cast("string"), F.lit(" chars: "),
-                         first_chars("__body", 100), F.lit("...")).alias("context"))
-    )
+    return _hits(lines, keys, long_comment_entries(limit))
 
 
 def unreadable_rows(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content", reason: str | None = None):
@@ -211,21 +237,16 @@ def unreadable_rows(corpus: DataFrame, keys: list[str] = KEYS, text: str = "cont
 
 
 def warnings(corpus: DataFrame, keys: list[str] = KEYS, path: str = "path", text: str = "content") -> DataFrame:
-    """Every line scan over a corpus, as one union."""
+    """Every line scan over a corpus. One pass over the lines makes all entries but the build ones."""
     lines = explode_lines(corpus, keys, text)
-    scans = [
-        scan_lines(lines, keys=keys),
-        scan_base64_comments(lines, keys=keys),
-        scan_codepoints(lines, keys=keys),
-        scan_homoglyphs(lines, keys=keys),
-        scan_long_comments(lines, keys=keys),
-        scan_build_lines(lines, keys=keys, path=path),
-        unreadable_rows(corpus, keys, text),
-    ]
-    result = scans[0]
-    for scan in scans[1:]:
-        result = result.unionByName(scan)
-    return result
+    nothing = F.array().cast("array<struct<risk:string,pattern:string,context:string>>")
+    entries = [rule_entries(R.INJECTION), base64_entries(), codepoint_entries(), homoglyph_entries(),
+               long_comment_entries()]
+    found = _hits(lines, keys, F.concat(*[F.coalesce(e, nothing) for e in entries]))
+    # The path decides about build lines, so this branch never splits the text of other files.
+    build = explode_lines(corpus.filter(P.is_build_file(path)), keys, text)
+    return found.unionByName(scan_build_lines(build, keys=keys, path=path)).unionByName(
+        unreadable_rows(corpus, keys, text))
 
 
 def attribute_function(lines: DataFrame, keys: list[str] = KEYS, header: str = R.IR_HEADER,

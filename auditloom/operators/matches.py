@@ -7,30 +7,31 @@ and line of every match. Everything stays inside the row, so a scan never shuffl
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom import rules as R
 from auditloom.functions.text import first_chars, strip
-from auditloom.operators.lines import rule_test
+from auditloom.operators.lines import bind, has_literal
 
 OPEN, CLOSE, STAND_IN = "\x01", "\x02", "\x1a"
 KEYS = ["repo", "path"]
 _SPAN = "array<struct<offset:int,length:int,line:int>>"
 
 
-def match_spans(text: Column, regex: str) -> Column:
-    """Offset (0-based), length and line (1-based) of every match of a regex in a text."""
-    plain = F.translate(text, OPEN + CLOSE, STAND_IN * 2)
-    pieces = F.split(F.regexp_replace(plain, regex, f"{OPEN}$0{CLOSE}"), OPEN)
-    head = F.element_at(pieces, 1)
+def _plain(text: Column) -> Column:
+    """The text without the two control characters, which hardly any text has."""
+    marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
+    return F.when(marked, F.translate(text, OPEN + CLOSE, STAND_IN * 2)).otherwise(text)
+
 
+def match_spans(plain: Column, regex: str) -> Column:
+    """Offset (0-based), length and line (1-based) of every match of a regex in a text."""
     def breaks(piece):
         return F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
 
-    start = F.struct(F.length(head).alias("offset"), (breaks(head) + 1).alias("line"),
-                     F.array().cast(_SPAN).alias("spans"))
-
     def step(acc, piece):
         span = F.struct(acc["offset"].alias("offset"), (F.instr(piece, CLOSE) - 1).alias("length"),
                         acc["line"].alias("line"))
@@ -38,32 +39,46 @@ def match_spans(text: Column, regex: str) -> Column:
                         (acc["line"] + breaks(piece)).alias("line"),
                         F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    return F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step,
-                       lambda acc: acc["spans"])
+    def spans(pieces):
+        head = F.element_at(pieces, 1)
+        start = F.struct(F.length(head).alias("offset"), (breaks(head) + 1).alias("line"),
+                         F.array().cast(_SPAN).alias("spans"))
+        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces) - 1), start, step, lambda acc: acc["spans"])
+
+    pieces = F.split(F.regexp_replace(plain, regex, f"{OPEN}$0{CLOSE}"), OPEN)
+    return bind(pieces, lambda found: F.when(F.size(found) > 1, spans(found)).otherwise(F.array().cast(_SPAN)))
 
 
 def scan_matches(corpus: DataFrame, rules: list[R.Rule], keys: list[str] = KEYS, text: str = "content") -> DataFrame:
     """One row per match: keys, rule_no, rule, target, offset, length, line and the text itself.
 
-    The text stays on the row for context columns; drop it in the same projection that reads it.
+    All rules share one pass over the corpus. A rule with literals only runs its regex on texts
+    that hold one of them. The text stays on the row for context columns; drop it in the same
+    projection that reads it.
     """
     source = F.col(text)
+    blind = any(rule.ignore_case and rule.literals for rule in rules)
+    none = F.array().cast("array<struct<rule_no:int,offset:int,length:int,line:bigint>>")
+    forms = F.struct(_plain(source).alias("plain"),
+                     (F.lower(source) if blind else F.lit(None).cast("string")).alias("lower"))
 
-    def numbered(number, rule):
-        found = F.transform(match_spans(source, rule.regex), lambda s: F.struct(
+    def numbered(form, number, rule):
+        found = F.transform(match_spans(form["plain"], rule.regex), lambda s: F.struct(
             F.lit(number).alias("rule_no"), s["offset"].alias("offset"), s["length"].alias("length"),
             s["line"].cast("long").alias("line")))
-        none = F.array().cast("array<struct<rule_no:int,offset:int,length:int,line:bigint>>")
-        return F.when(rule_test(source, rule), found).otherwise(none)
+        if not rule.literals:
+            return found
+        return F.when(has_literal(form["lower" if rule.ignore_case else "plain"], rule), found).otherwise(none)
 
-    spans = [numbered(number, rule) for number, rule in enumerate(rules)]
+    def every_rule(form):
+        return F.flatten(F.array(*[numbered(form, number, rule) for number, rule in enumerate(rules)]))
 
     def by_rule(attribute):
         table = F.array(*[F.lit(getattr(rule, attribute)).cast("string") for rule in rules])
         return F.get(table, F.col("rule_no")).alias("rule" if attribute == "id" else attribute)
 
     return (
-        corpus.select(*keys, source.alias("__text"), F.explode(F.flatten(F.array(*spans))).alias("__s"))
+        corpus.select(*keys, source.alias("__text"), F.explode(bind(forms, every_rule)).alias("__s"))
         .select(*keys, "__text", "__s.*")
         .select("*", by_rule("id"), by_rule("target"))
     )
@@ -92,17 +107,6 @@ def line_context(limit: int = 300) -> Column:
     return first_chars(strip(F.concat(line_prefix(), matched(), F.substring_index(after(), "\n", 1))), limit)
 
 
-def statement_context(limit: int = 400) -> Column:
-    """From the start of the line to the end of the statement, at most 500 characters past the match."""
-    semicolon = F.instr(after(), ";")
-    reach = F.when(semicolon == 0, F.lit(300)).otherwise(F.least(semicolon, F.lit(500)))
-    return first_chars(strip(_statement(reach)), limit)
-
-
-def _statement(reach: Column) -> Column:
-    return F.concat(line_prefix(), matched(), F.substr(after(), F.lit(1), reach))
-
-
 def function_context() -> Column:
     """From the last ``fn `` before the match to the next line that starts a function."""
     head = F.when(F.instr(before(), "fn ") > 0, F.concat(F.lit("fn "), F.substring_index(before(), "fn ", -1)))
@@ -158,20 +162,25 @@ def captured(text: Column, regex: str, group: int) -> Column:
 
 # --- rule packs --------------------------------------------------------------------------------
 
+def _pack(rules: list[R.Rule], family: str) -> list[R.Rule]:
+    return [dataclasses.replace(rule, target=family) for rule in rules]
+
+
 def price_feeds(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
-    """Three families of price-feed use; a guard a family does not test is null."""
-    def family(name, rules, guards, skip=False):
-        hits = scan_matches(corpus, rules, keys, text)
-        hits = with_function_context(skip_commented(hits) if skip else hits, guards)
-        flags = [F.col(flag) if flag in guards else F.lit(None).cast("boolean").alias(flag) for flag in R.PYTH_GUARDS]
-        return hits.select(*keys, F.lit(name).alias("type"), F.col("rule").alias("pattern"), "line",
-                           line_context().alias("context"), *flags)
+    """Three families of price-feed use in one pass; a guard a family does not test is null."""
+    guards = {"pyth": R.PYTH_GUARDS, "switchboard": R.SWITCHBOARD_GUARDS, "generic_oracle": {}}
+    rules = (_pack(R.PRICE_FEED_PYTH, "pyth") + _pack(R.PRICE_FEED_SWITCHBOARD, "switchboard")
+             + _pack(R.PRICE_FEED_GENERIC, "generic_oracle"))
+    hits = scan_matches(corpus, rules, keys, text).filter((F.col("target") != "generic_oracle") | not_commented())
+    hits = hits.withColumn("__fn", F.when(F.col("target") != "generic_oracle", function_context()))
 
-    return (
-        family("pyth", R.PRICE_FEED_PYTH, R.PYTH_GUARDS)
-        .unionByName(family("switchboard", R.PRICE_FEED_SWITCHBOARD, R.SWITCHBOARD_GUARDS))
-        .unionByName(family("generic_oracle", R.PRICE_FEED_GENERIC, {}, skip=True))
-    )
+    def flag(name):
+        tests = [F.when(F.col("target") == family, F.rlike("__fn", F.lit(tested[name])))
+                 for family, tested in guards.items() if name in tested]
+        return F.coalesce(*tests).alias(name)
+
+    return hits.select(*keys, F.col("target").alias("type"), F.col("rule").alias("pattern"), "line",
+                       line_context().alias("context"), *[flag(name) for name in R.PYTH_GUARDS])
 
 
 def _accounts_of(statement: Column) -> dict[str, Column]:
@@ -181,52 +190,60 @@ def _accounts_of(statement: Column) -> dict[str, Column]:
     }
 
 
-def _moves(corpus, rules, keys, text):
+def value_flows(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content",
+                families: tuple[str, ...] = ("token", "system", "balance", "vault")) -> DataFrame:
+    """Value movement in one pass over the corpus; columns a family lacks are null.
+
+    Token and system transfers show the whole statement and the accounts named in it; balance
+    writes show account, operator and amount; vault calls skip comments and declarations.
+    """
+    packs = {"token": R.TOKEN_MOVES, "system": R.SYSTEM_TRANSFERS, "balance": R.BALANCE_WRITES, "vault": R.VAULT_CALLS}
+    rules = [rule for family in families for rule in _pack(packs[family], family)]
+    family = F.col("target")
+    moves = family.isin("token", "system")
     semicolon = F.instr(after(), ";")
     reach = F.when(semicolon == 0, F.lit(300)).otherwise(F.least(semicolon, F.lit(500)))
-    hits = scan_matches(corpus, rules, keys, text).withColumn("__statement", strip(_statement(reach)))
-    return hits.withColumns(_accounts_of(F.col("__statement")))
+    hits = scan_matches(corpus, rules, keys, text).filter((family != "vault") | not_commented()).withColumns({
+        "__statement": F.when(moves, strip(_statement(reach))),
+        "__line": F.when(~moves, line_context()),
+        "__fn": F.when(family == "token", function_context()),
+        "__match": F.when(F.col("rule") == R.BALANCE_WRITES[0].id, matched()),
+    })
+    declared = F.rlike("__line", F.lit(r"^\s*(?:pub\s+)?(?:fn|async\s+fn)\s+"))
+    detail = R.BALANCE_WRITES[0].regex
+    return hits.filter((family != "vault") | ~declared).select(
+        *keys, F.col("rule").alias("type"), "line",
+        F.coalesce(first_chars("__statement", 400), "__line").alias("context"),
+        *[column.alias(name) for name, column in _accounts_of(F.col("__statement")).items()],
+        F.rlike("__fn", F.lit(R.AMOUNT_GUARD)).alias("has_amount_validation"),
+        captured(F.col("__match"), detail, 1).alias("account"),
+        captured(F.col("__match"), detail, 2).alias("operator"),
+        first_chars(strip(captured(F.col("__match"), detail, 3)), 100).alias("amount_expression"),
+    )
+
+
+def _statement(reach: Column) -> Column:
+    return F.concat(line_prefix(), matched(), F.substr(after(), F.lit(1), reach))
 
 
 def token_moves(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
-    hits = _moves(corpus, R.TOKEN_MOVES, keys, text)
-    hits = with_function_context(hits, {"has_amount_validation": R.AMOUNT_GUARD})
-    return hits.select(*keys, F.col("rule").alias("type"), "line", first_chars("__statement", 400).alias("context"),
-                       "source_account", "dest_account", "has_amount_validation")
+    return value_flows(corpus, keys, text, ("token",)).select(
+        *keys, "type", "line", "context", "source_account", "dest_account", "has_amount_validation")
 
 
 def system_transfers(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
-    return _moves(corpus, R.SYSTEM_TRANSFERS, keys, text).select(
-        *keys, F.col("rule").alias("type"), "line", first_chars("__statement", 400).alias("context"),
-        "source_account", "dest_account")
+    return value_flows(corpus, keys, text, ("system",)).select(
+        *keys, "type", "line", "context", "source_account", "dest_account")
 
 
 def balance_writes(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
-    regex = R.BALANCE_WRITES[0].regex
-    detailed = F.col("rule") == R.BALANCE_WRITES[0].id
-    return scan_matches(corpus, R.BALANCE_WRITES, keys, text).select(
-        *keys, F.col("rule").alias("type"), "line", line_context().alias("context"),
-        F.when(detailed, captured(matched(), regex, 1)).alias("account"),
-        F.when(detailed, captured(matched(), regex, 2)).alias("operator"),
-        F.when(detailed, first_chars(strip(captured(matched(), regex, 3)), 100)).alias("amount_expression"),
-    )
+    return value_flows(corpus, keys, text, ("balance",)).select(
+        *keys, "type", "line", "context", "account", "operator", "amount_expression")
 
 
 def vault_calls(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
     """Calls that move value in or out; declarations and commented calls are skipped."""
-    hits = skip_commented(scan_matches(corpus, R.VAULT_CALLS, keys, text))
-    return hits.withColumn("context", line_context()).filter(
-        ~F.rlike("context", F.lit(r"^\s*(?:pub\s+)?(?:fn|async\s+fn)\s+"))
-    ).select(*keys, F.col("rule").alias("type"), "line", "context")
-
-
-def value_flows(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
-    """All value-movement packs as one relation; columns a pack lacks are null."""
-    parts = [pack(corpus, keys, text) for pack in (token_moves, system_transfers, balance_writes, vault_calls)]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part, allowMissingColumns=True)
-    return result
+    return value_flows(corpus, keys, text, ("vault",)).select(*keys, "type", "line", "context")
 
 
 def state_transitions(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
@@ -306,12 +323,12 @@ def rule_hits_normalized(matches: DataFrame, rule_name: str = "rule") -> DataFra
 
 def functions(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
     """Text of each function: from its header to the next header, with name and first line."""
-    header = R.Rule("function", "info", r"(?m)^[ \t]*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+\w+")
-    spans = match_spans(F.col(text), header.regex)
-    bounded = F.zip_with(spans, F.slice(spans, F.lit(2), F.greatest(F.size(spans), F.lit(0))), lambda one, following: F.struct(
-        one["offset"].alias("start"), following["offset"].alias("end"), one["line"].cast("long").alias("line")))
+    header = r"(?m)^[ \t]*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+\w+"
+    bounded = bind(match_spans(_plain(F.col(text)), header), lambda spans: F.zip_with(
+        spans, F.slice(spans, F.lit(2), F.size(spans)), lambda one, following: F.struct(
+            one["offset"].alias("start"), following["offset"].alias("end"), one["line"].cast("long").alias("line"))))
     return (
-        corpus.filter(F.rlike(text, F.lit(header.regex)))
+        corpus.filter(F.contains(text, F.lit("fn ")))
         .select(*keys, F.col(text).alias("__text"), F.explode(bounded).alias("__f"))
         .select(*keys, "__f.line", F.substr("__text", F.col("__f.start") + 1, F.coalesce(
             F.col("__f.end"), F.length("__text")) - F.col("__f.start")).alias("body"))

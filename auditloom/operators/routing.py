@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from auditloom import rules as R
 from auditloom.functions import text as T
+from auditloom.operators.lines import bind
 from auditloom.session import broadcast_if_small, collect_bounded
 
 MAX_KEYWORDS = 5_000
@@ -27,9 +28,10 @@ def keyword_table(df: DataFrame, name: str = "name", word: str = "keyword") -> d
 
 
 def _matching(text: Column, table: dict[str, list[str]]) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(T.any_contains(text, words) if words else F.lit(True), F.lit(name)) for name, words in table.items()
-    ]))
+    """Names whose keywords the text holds; the text is built once, not once per keyword."""
+    return bind(text, lambda blob: F.array_compact(F.array(*[
+        F.when(T.any_contains(blob, words) if words else F.lit(True), F.lit(name)) for name, words in table.items()
+    ])))
 
 
 def route_leads(leads: DataFrame, table: dict[str, list[str]] = R.LEAD_KEYWORDS, out: str = "domain") -> DataFrame:
@@ -50,10 +52,15 @@ def match_protocols(docs: DataFrame, table: dict[str, list[str]] = R.PROTOCOL_KE
                     out: str = "protocol") -> DataFrame:
     """One row per document and protocol it mentions; a document that mentions none gets all of them."""
     blob = text if text is not None else T.search_blob(docs)
-    found = _matching(blob, table)
     everything = F.array(*[F.lit(name) for name in table])
-    return docs.select("*", F.explode(F.when(F.size(found) == 0, everything).otherwise(found)).alias(out),
-                       (F.size(found) == 0).alias("fallback"))
+
+    def rows(found):
+        missed = F.size(found) == 0
+        return F.transform(F.when(missed, everything).otherwise(found),
+                           lambda name: F.struct(name.alias("name"), missed.alias("missed")))
+
+    return docs.select("*", F.explode(bind(_matching(blob, table), rows)).alias("__m")).select(
+        *docs.columns, F.col("__m.name").alias(out), F.col("__m.missed").alias("fallback"))
 
 
 def sections_for_agent(sections: DataFrame, table: dict[str, list[str]] = R.HEURISTIC_ROUTES, repo: str = "repo",

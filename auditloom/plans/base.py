@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom import rules as R
+from auditloom.session import spread
 
 CATALOGUE: dict[str, "Query"] = {}
 
@@ -106,7 +107,7 @@ def planted(spark: SparkSession, sf_dir: str, snippets: list[str]) -> DataFrame:
     """Every document as a file, with one of the snippets appended to its whole text."""
     picked = F.get(F.array(*[F.lit(s) for s in snippets]), (F.col("doc_id") % len(snippets)).cast("int"))
     text = F.concat("text", F.lit("\n"), F.replace(picked, F.lit("@ID@"), F.col("doc_id").cast("string")))
-    docs = table(spark, sf_dir, "documents").withColumn("content", text)
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("content", text)
     return derive(docs, FILE_COLUMNS | {"content": "content"})
 
 
@@ -117,7 +118,7 @@ def planted_sql(snippets: list[str]) -> str:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "documents"), FILE_COLUMNS | {"content": "text"})
+    return derive(spread(table(spark, sf_dir, "documents")), FILE_COLUMNS | {"content": "text"})
 
 
 FILES_SQL = derive_sql(FILE_COLUMNS | {"content": "text"}, "documents")

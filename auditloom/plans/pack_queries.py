@@ -120,7 +120,7 @@ def _flag(text: str, regex: str) -> str:
 
 
 TEXT_RULES = [R.Rule("year", "info", r"\b(?:19|20)\d\d\b"), R.Rule("shout", "info", r"[!?]{2,}"),
-              R.Rule("phone", "info", r"\+?\d[\d -]{7,}\d"), R.Rule("call", "info", r"\w+::\w+\(")]
+              R.Rule("phone", "info", r"\+?\d[\d -]{7,}\d"), R.Rule("call", "info", r"\b\w+::\w+\(", needles=("::",))]
 
 
 @query("text_matches", f"{_hits(TEXT_RULES)} SELECT repo, path, rule, line, length(before) AS \"offset\", "

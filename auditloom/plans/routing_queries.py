@@ -13,6 +13,7 @@ from auditloom.plans.base import (
     FILES_SQL, FINDINGS_SQL, files, findings, flat, planted, planted_sql, q, query,
     severity_rank_sql, strip_sql, table,
 )
+from auditloom.session import spread
 from auditloom.sources import knowledge, state, tools
 
 # --- external tool records, one per event ----------------------------------------------------------
@@ -141,7 +142,7 @@ _PROTOCOLS = ", ".join(f"({q(p)}, [{', '.join(q(w) for w in ws)}])" for p, ws in
     SELECT doc_id, protocol, NOT any_hit AS fallback FROM (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id) AS any_hit FROM m)
     WHERE hit OR NOT any_hit""")
 def protocol_match(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source")
     blob = F.lower(F.concat_ws(" ", "text", "lang", "source"))
     return routing.match_protocols(docs, text=blob).select("doc_id", "protocol", "fallback")
 

@@ -55,6 +55,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows when a scan has fewer splits than the session has cores.
+
+    Regex work is bound by CPU, so a few huge row groups would leave most cores idle. A large
+    corpus has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def collect_bounded(df: DataFrame, max_rows: int) -> list:
     """Rows of a small configuration table; a table over the bound is an error, never a cut."""
     rows = df.limit(max_rows + 1).collect()
