@@ -125,7 +125,7 @@ FILES_SQL = derive_sql(FILE_COLUMNS | {"content": "text"}, "documents")
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "documents"), FINDING_COLUMNS)
+    return derive(spread(table(spark, sf_dir, "documents")), FINDING_COLUMNS)
 
 
 FINDINGS_SQL = derive_sql(FINDING_COLUMNS, "documents")
@@ -218,7 +218,7 @@ def plain_sql(text: str) -> str:
 
 
 def severity_rank_sql(name: str = "severity") -> str:
-    return f"coalesce(list_position({R.SEVERITIES}, lower({name})) - 1, 5)"
+    return f"CAST(coalesce(list_position({R.SEVERITIES}, lower({name})) - 1, 5) AS BIGINT)"
 
 
 def rules_values(rules: list[R.Rule], prefix: str = "") -> str:

@@ -323,7 +323,7 @@ def sorted_severity(spark, sf_dir):
                 "position")
 
 
-_CONFIDENCE_RANK = "coalesce(list_position(['high', 'medium', 'low'], confidence) - 1, 3)"
+_CONFIDENCE_RANK = "CAST(coalesce(list_position(['high', 'medium', 'low'], confidence) - 1, 3) AS BIGINT)"
 
 
 @query("sorted_confidence", f"""SELECT repo, seq, confidence, {_CONFIDENCE_RANK} AS rank,
@@ -362,7 +362,7 @@ TAXONOMY_COLUMNS = {
     "ref": "concat(p_size % 6 + 1, '.', p_partkey % 120)",
     "agent": "lower(p_type)",
 }
-_CLASS = f"""SELECT f.repo, f.seq, f."bugClass", t.domain, t.ref, t.agent AS class_agent FROM ({FINDINGS_SQL}) f
+_CLASS = f"""SELECT f.repo, f.seq, f."bugClass", CAST(t.domain AS BIGINT) AS domain, t.ref, t.agent AS class_agent FROM ({FINDINGS_SQL}) f
     LEFT JOIN ({derive_sql(TAXONOMY_COLUMNS, 'part')}) t ON t.id = f."bugClass\""""
 
 

@@ -165,7 +165,7 @@ _INVARIANT_COLUMNS = {
 
 
 @query("invariants_by_type", f"""SELECT *, row_number() OVER (PARTITION BY repo, type ORDER BY seq) AS position,
-    CASE type WHEN 'funds' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS type_order, CASE type WHEN 'funds' THEN
+    CAST(CASE type WHEN 'funds' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS BIGINT) AS type_order, CASE type WHEN 'funds' THEN
     'Fund Conservation' WHEN 'access' THEN 'Access Separation' ELSE 'State Consistency' END AS type_label
     FROM ({derive_sql(_INVARIANT_COLUMNS, 'documents')}) WHERE type <> 'other'""")
 def invariants_by_type(spark, sf_dir):
@@ -310,7 +310,7 @@ def stream_dedup_state(spark, sf_dir):
 
 
 @query("rank_enum", f"""SELECT repo, seq, {severity_rank_sql()} AS severity_rank,
-    coalesce(list_position(['high', 'medium', 'low'], confidence) - 1, 3) AS confidence_rank,
+    CAST(coalesce(list_position(['high', 'medium', 'low'], confidence) - 1, 3) AS BIGINT) AS confidence_rank,
     coalesce({_LABELS}, severity) AS label FROM ({FINDINGS_SQL})""")
 def rank_enum(spark, sf_dir):
     return flat(findings(spark, sf_dir), "repo", "seq", T.severity_rank("severity").alias("severity_rank"),

@@ -429,7 +429,7 @@ _RANK = severity_rank_sql()
 
 @query("report_sections", f"""WITH v AS {_VALID}, t AS (SELECT repo, count(*) AS n FROM v GROUP BY repo),
     c AS (SELECT repo, severity, count(*) AS count FROM v WHERE {_SEV} GROUP BY ALL)
-    SELECT repo, 0 AS part, 0 AS rank, 0 AS seq, concat('# Security Audit Report', chr(10), chr(10), '**Target**: ', repo,
+    SELECT repo, 0::BIGINT AS part, 0::BIGINT AS rank, 0::BIGINT AS seq, concat('# Security Audit Report', chr(10), chr(10), '**Target**: ', repo,
         chr(10), '**Findings**: ', n, chr(10), chr(10), '## Summary', chr(10), chr(10), '| Severity | Count |', chr(10),
         '|----------|-------|') AS text FROM t
     UNION ALL SELECT repo, 1, {_RANK}, 0, concat('| ', {_MARK}, ' ', {_LABEL}, ' | ', count, ' |') FROM c

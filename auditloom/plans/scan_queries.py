@@ -219,7 +219,7 @@ def long_lines(spark, sf_dir):
     return flat(L.scan_long_comments(L.explode_lines(_comment_documents(files(spark, sf_dir)))), *WARNING)
 
 
-@query("unreadable", f"""WITH f AS ({FILES_SQL}) SELECT repo, path, 0 AS line, 'low' AS risk,
+@query("unreadable", f"""WITH f AS ({FILES_SQL}) SELECT repo, path, 0::BIGINT AS line, 'low' AS risk,
     'file_read_error' AS pattern, 'content is not readable' AS context FROM f WHERE contains(content, 'la')""")
 def unreadable(spark, sf_dir):
     lost = F.when(~F.contains("content", F.lit("la")), F.col("content"))
