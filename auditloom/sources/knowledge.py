@@ -12,7 +12,7 @@ TAXONOMY_SCHEMA = "classes MAP<STRING, STRUCT<domain: BIGINT, ref: STRING, agent
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """A JSON map of classes as rows (id, domain, ref, agent)."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", TAXONOMY_SCHEMA)["classes"]).alias("id", "m")).select(
         "id", "m.domain", "m.ref", "m.agent")
 

@@ -47,7 +47,7 @@ def parse_advisories(documents: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_advisories(spark: SparkSession, path: str) -> DataFrame:
-    return parse_advisories(spark.read.option("wholetext", "true").text(path))
+    return parse_advisories(spark.read.text(path, wholetext=True))
 
 
 def parse_matches(documents: DataFrame, text: str = "value") -> DataFrame:
@@ -61,7 +61,7 @@ def read_rule_dir(spark: SparkSession, path: str) -> DataFrame:
 
     A rule file has top-level ``id``, ``severity`` and ``message`` keys and a ``regex`` under ``rule``.
     """
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.{yml,yaml}").text(path).select(
+    raw = spark.read.option("pathGlobFilter", "*.{yml,yaml}").text(path, wholetext=True).select(
         "value", F.col("_metadata.file_name").alias("__file"))
 
     def scalar(name, default):
