@@ -14,39 +14,39 @@ from pyspark.sql import functions as F
 
 from auditloom import rules as R
 from auditloom.functions.text import first_chars, strip
-from auditloom.operators.lines import bind, has_literal
 
 OPEN, CLOSE, STAND_IN = "\x01", "\x02", "\x1a"
 KEYS = ["repo", "path"]
 _SPAN = "array<struct<offset:int,length:int,line:int>>"
 
 
-def _plain(text: Column) -> Column:
-    """The text without the two control characters, which hardly any text has."""
-    marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
-    return F.when(marked, F.translate(text, OPEN + CLOSE, STAND_IN * 2)).otherwise(text)
+def _quote(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def match_spans(plain: Column, regex: str) -> Column:
-    """Offset (0-based), length and line (1-based) of every match of a regex in a text."""
-    def breaks(piece):
-        return F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+def _plain(text: str) -> str:
+    """SQL for the text without the two control characters, which hardly any text has."""
+    return (f"if(contains({text}, {_quote(OPEN)}) OR contains({text}, {_quote(CLOSE)}), "
+            f"translate({text}, {_quote(OPEN + CLOSE)}, {_quote(STAND_IN * 2)}), {text})")
 
-    def step(acc, piece):
-        span = F.struct(acc["offset"].alias("offset"), (F.instr(piece, CLOSE) - 1).alias("length"),
-                        acc["line"].alias("line"))
-        return F.struct((acc["offset"] + F.length(piece) - 1).alias("offset"),
-                        (acc["line"] + breaks(piece)).alias("line"),
-                        F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    def spans(pieces):
-        head = F.element_at(pieces, 1)
-        start = F.struct(F.length(head).alias("offset"), (breaks(head) + 1).alias("line"),
-                         F.array().cast(_SPAN).alias("spans"))
-        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces) - 1), start, step, lambda acc: acc["spans"])
+def match_spans(plain: str, regex: str) -> str:
+    """SQL for the offset (0-based), length and line (1-based) of every match of a regex in a text.
 
-    pieces = F.split(F.regexp_replace(plain, regex, f"{OPEN}$0{CLOSE}"), OPEN)
-    return bind(pieces, lambda found: F.when(F.size(found) > 1, spans(found)).otherwise(F.array().cast(_SPAN)))
+    Written as SQL text because a pack unrolls dozens of these; one parsed string is far quicker to
+    build than thousands of Column calls.
+    """
+    breaks = "length({0}) - length(replace({0}, '\\n', ''))".format
+    pieces = f"split(regexp_replace({plain}, {_quote(regex)}, {_quote(OPEN + '$0' + CLOSE)}), {_quote(OPEN)})"
+    return f"""transform(array({pieces}), p -> if(size(p) > 1, aggregate(
+        slice(p, 2, size(p) - 1),
+        named_struct('offset', length(p[0]), 'line', {breaks('p[0]')} + 1, 'spans', cast(array() AS {_SPAN})),
+        (acc, x) -> named_struct(
+            'offset', acc.offset + length(x) - 1,
+            'line', acc.line + {breaks('x')},
+            'spans', concat(acc.spans, array(named_struct(
+                'offset', acc.offset, 'length', instr(x, {_quote(CLOSE)}) - 1, 'line', acc.line)))),
+        acc -> acc.spans), cast(array() AS {_SPAN})))[0]"""
 
 
 def scan_matches(corpus: DataFrame, rules: list[R.Rule], keys: list[str] = KEYS, text: str = "content") -> DataFrame:
@@ -56,29 +56,28 @@ def scan_matches(corpus: DataFrame, rules: list[R.Rule], keys: list[str] = KEYS,
     that hold one of them. The text stays on the row for context columns; drop it in the same
     projection that reads it.
     """
-    source = F.col(text)
     blind = any(rule.ignore_case and rule.literals for rule in rules)
-    none = F.array().cast("array<struct<rule_no:int,offset:int,length:int,line:bigint>>")
-    forms = F.struct(_plain(source).alias("plain"),
-                     (F.lower(source) if blind else F.lit(None).cast("string")).alias("lower"))
-
-    def numbered(form, number, rule):
-        found = F.transform(match_spans(form["plain"], rule.regex), lambda s: F.struct(
-            F.lit(number).alias("rule_no"), s["offset"].alias("offset"), s["length"].alias("length"),
-            s["line"].cast("long").alias("line")))
+
+    def numbered(number, rule):
+        found = (f"transform({match_spans('form.plain', rule.regex)}, s -> named_struct('rule_no', {number}, "
+                 "'offset', s.offset, 'length', s.length, 'line', cast(s.line AS BIGINT)))")
         if not rule.literals:
             return found
-        return F.when(has_literal(form["lower" if rule.ignore_case else "plain"], rule), found).otherwise(none)
+        form = "form.lower" if rule.ignore_case else "form.plain"
+        test = " OR ".join(f"contains({form}, {_quote(literal)})" for literal in rule.literals)
+        return f"if({test}, {found}, cast(array() AS array<struct<rule_no:int,offset:int,length:int,line:bigint>>))"
 
-    def every_rule(form):
-        return F.flatten(F.array(*[numbered(form, number, rule) for number, rule in enumerate(rules)]))
+    forms = f"named_struct('plain', {_plain(f'`{text}`')}, 'lower', {f'lower(`{text}`)' if blind else 'NULL'})"
+    hits = ", ".join(numbered(number, rule) for number, rule in enumerate(rules))
+    spans = F.expr(f"transform(array({forms}), form -> flatten(array({hits})))[0]")
 
     def by_rule(attribute):
-        table = F.array(*[F.lit(getattr(rule, attribute)).cast("string") for rule in rules])
-        return F.get(table, F.col("rule_no")).alias("rule" if attribute == "id" else attribute)
+        values = [getattr(rule, attribute) for rule in rules]
+        table = ", ".join("NULL" if value is None else _quote(value) for value in values)
+        return F.expr(f"cast(array({table})[rule_no] AS STRING)").alias("rule" if attribute == "id" else attribute)
 
     return (
-        corpus.select(*keys, source.alias("__text"), F.explode(bind(forms, every_rule)).alias("__s"))
+        corpus.select(*keys, F.col(text).alias("__text"), F.explode(spans).alias("__s"))
         .select(*keys, "__text", "__s.*")
         .select("*", by_rule("id"), by_rule("target"))
     )
@@ -324,9 +323,10 @@ def rule_hits_normalized(matches: DataFrame, rule_name: str = "rule") -> DataFra
 def functions(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
     """Text of each function: from its header to the next header, with name and first line."""
     header = r"(?m)^[ \t]*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+\w+"
-    bounded = bind(match_spans(_plain(F.col(text)), header), lambda spans: F.zip_with(
-        spans, F.slice(spans, F.lit(2), F.size(spans)), lambda one, following: F.struct(
-            one["offset"].alias("start"), following["offset"].alias("end"), one["line"].cast("long").alias("line"))))
+    spans = match_spans(_plain(f"`{text}`"), header)
+    bounded = F.expr(f"""transform(array({spans}), spans -> zip_with(spans, slice(spans, 2, size(spans)),
+        (one, following) -> named_struct('start', one.offset, 'end', following.offset,
+                                         'line', cast(one.line AS BIGINT))))[0]""")
     return (
         corpus.filter(F.contains(text, F.lit("fn ")))
         .select(*keys, F.col(text).alias("__text"), F.explode(bounded).alias("__f"))

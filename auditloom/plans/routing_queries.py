@@ -33,7 +33,7 @@ _ADVISORY_JSON = """concat('{"vulnerabilities":{"list":[{"advisory":{"id":"RUSTS
 
 
 def _records(spark, sf_dir, expression):
-    return table(spark, sf_dir, "events").selectExpr("event_id", f"{expression} AS value")
+    return spread(table(spark, sf_dir, "events")).selectExpr("event_id", f"{expression} AS value")
 
 
 @query("normalized_hits", f"""SELECT event_id, 'my-rule' AS rule, coalesce(json_extract_string(v, '$.ruleId'), 'my-rule') AS id,
