@@ -9,7 +9,7 @@ from auditloom import rules as R
 from auditloom.functions import predicates as P
 from auditloom.functions import text as T
 from auditloom.operators import ordered
-from auditloom.session import durable
+from auditloom.session import broadcast_if_small, durable
 
 KEYWORD_BOOST = 100_000
 INCLUDE_BOOST = 200_000
@@ -60,7 +60,7 @@ def pack_budget(docs: DataFrame, budget: int = R.TOKEN_BUDGET, repo: str = "repo
     while True:
         # Files at or before the last folded place have been decided; larger ones can never fit.
         open_items = items if room is None else (
-            items.join(room, repo).filter(
+            items.join(broadcast_if_small(room), repo).filter(
                 (F.col("tokens") <= F.col("left"))
                 & ((F.col("score") < F.col("last_score"))
                    | ((F.col("score") == F.col("last_score")) & (F.col(seq) > F.col("last_seq")))))

@@ -12,6 +12,7 @@ from auditloom.operators import routing
 from auditloom.plans.base import (
     FINDINGS_SQL, derive, derive_sql, findings, flat, markdown_sql, plain_sql, q, query, severity_rank_sql, table,
 )
+from auditloom.session import durable
 
 def _enum(values) -> str:
     return "(" + ", ".join(q(v) for v in values) + ")"
@@ -196,7 +197,7 @@ def assign_ids_all(spark, sf_dir):
 def upsert(spark, sf_dir):
     """Findings of high confidence are the stored table, all others arrive as a later batch."""
     raw = findings(spark, sf_dir)
-    stored = FI.assign_ids(FI.prepare_findings(raw.filter("confidence = 'high'"), "/work"))
+    stored = durable(FI.assign_ids(FI.prepare_findings(raw.filter("confidence = 'high'"), "/work")))
     merged = FI.upsert_findings(stored, raw.filter("confidence <> 'high'"), "/work")
     return flat(merged, "repo", "seq", "id", "agent", "severity", "title", "dedupKey")
 

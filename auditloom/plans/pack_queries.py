@@ -526,11 +526,22 @@ _EDGES = rf"""edges AS (SELECT DISTINCT repo, path, "function" AS caller,
 
 
 def ir_lines(spark, sf_dir):
-    return L.attribute_function(L.explode_lines(planted(spark, sf_dir, [IR_CODE])))
+    return L.attributed_lines(planted(spark, sf_dir, [IR_CODE]))
 
 
-@query("function_attribution", f"WITH {_IR} SELECT repo, path, line, \"function\" FROM a")
+_ATTRIBUTED = f"WITH {_IR} SELECT repo, path, line, \"function\" FROM a"
+
+
+@query("function_attribution", _ATTRIBUTED)
 def function_attribution(spark, sf_dir):
+    """Over split lines: the name is carried forward in buckets of lines."""
+    lines = L.explode_lines(planted(spark, sf_dir, [IR_CODE]))
+    return flat(L.attribute_function(lines, width=8), "repo", "path", "line", "function")
+
+
+@query("function_attribution_text", _ATTRIBUTED)
+def function_attribution_text(spark, sf_dir):
+    """Over whole texts: the same rows without a shuffle."""
     return flat(ir_lines(spark, sf_dir), "repo", "path", "line", "function")
 
 

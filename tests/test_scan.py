@@ -92,3 +92,13 @@ def test_constraint_map_keeps_only_present_entries(spark):
     df = spark.createDataFrame([("#[account(mut, has_one = a, bump)]",), ("#[account()]",)], "attribute string")
     rows = [r.constraints for r in M.constraint_map(df).collect()]
     assert rows == [{"mutable": "true", "has_one": '["a"]', "bump": "auto"}, {}]
+
+
+def test_attribution_of_texts_equals_attribution_of_lines(spark):
+    texts = ["fn a() {\n x = b();\n}\n\npub fn c (\n  fn d(x)\n", "x\nfn\nfn  e\n\n", "", "\n\nfn f(", "no header\n", "fn g()"]
+    df = corpus(spark, *[(str(i), t) for i, t in enumerate(texts)])
+    whole = L.attributed_lines(df)
+    split = L.attribute_function(L.explode_lines(df), width=2)
+    columns = ["path", "line", "text", "function"]
+    assert sorted(map(tuple, whole.select(*columns).collect()), key=repr) == sorted(
+        map(tuple, split.select(*columns).collect()), key=repr)
