@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from auditloom import rules as R
 from auditloom.functions import text as T
 from auditloom.operators import graph, lines as L, matches as M, rollups
+from auditloom.plans import prescan
 from auditloom.plans.base import (
-    FUNCTION_SQL, flat, line_context_sql, lines_sql, matches_sql, planted, planted_sql, q, query,
+    CATALOGUE, FUNCTION_SQL, flat, line_context_sql, lines_sql, matches_sql, planted, planted_sql, q, query,
     strip_sql,
 )
 
@@ -574,3 +575,26 @@ def scan_stats(spark, sf_dir):
     lines = ir_lines(spark, sf_dir)
     loops = graph.direct_recursion(graph.call_edges(lines))
     return flat(rollups.scan_stats(L.scan_ir_lines(lines), lines, loops))
+
+
+# --- the composed job ------------------------------------------------------------------------------
+
+MIXED = CODE + [IR_CODE]
+_STRUCTURAL_LEADS = CATALOGUE["pack_structural"].sql.replace(planted_sql(CODE), planted_sql(MIXED))
+_IR_LEADS = CATALOGUE["ir_line_scan"].sql.replace(planted_sql([IR_CODE]), planted_sql(MIXED))
+_LEADS = f"""SELECT repo, 'ast-grep' AS source, rule, severity, message, path AS file, line, snippet FROM ({_STRUCTURAL_LEADS})
+    UNION ALL SELECT repo, 'mir', type, severity, message, path, line, snippet FROM ({_IR_LEADS})"""
+_DOMAIN_WORDS = ", ".join(f"({q(d)}, [{', '.join(q(w) for w in words)}]::VARCHAR[])"
+                          for d, words in R.LEAD_KEYWORDS.items())
+
+
+@query("prescan_leads", _LEADS)
+def prescan_leads(spark, sf_dir):
+    return flat(prescan.prescan_leads(planted(spark, sf_dir, MIXED)))
+
+
+@query("prescan_domains", f"""WITH l AS ({_LEADS}) SELECT repo, domain, source, severity, count(*) AS leads
+    FROM l, (VALUES {_DOMAIN_WORDS}) AS k(domain, words) WHERE len(words) = 0 OR len(list_filter(words,
+    lambda w: contains(lower(concat_ws(' ', message, rule, file, snippet)), w))) > 0 GROUP BY ALL""")
+def prescan_domains(spark, sf_dir):
+    return flat(prescan.domain_leads(prescan.prescan_leads(planted(spark, sf_dir, MIXED))))
