@@ -12,7 +12,7 @@ from auditloom.functions import text as T
 from auditloom.operators import lines as L
 from auditloom.operators import rollups, scope
 from auditloom.plans.base import (
-    FILES_SQL, TAG_SQL, derive_sql, files, flat, lines_sql, markdown_sql, plain_sql, planted, planted_sql, q, query,
+    FILES_SQL, TAG_SQL, files, flat, lines_sql, markdown_sql, plain_sql, planted, planted_sql, q, query,
     rules_values, strip_sql, table,
 )
 
