@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -85,6 +85,32 @@ def as_long(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def ordered_name(number: Column, tail: Column) -> Column:
+    """A text that sorts like ``number`` (null last) and then ``tail``."""
+    shifted = F.coalesce(number, F.lit(0)) + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.concat(number.isNull().cast("int").cast("string"), F.lpad(shifted.cast("string"), 20, "0"), tail)
+
+
+def named_number(name: Column) -> Column:
+    """The number in an ordered name."""
+    value = (F.substring(name, 2, 20).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+    return F.when(F.substring(name, 1, 1) == "0", value)
+
+
+def row_labels(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest reachable row number per row of a block, from pairs of row numbers."""
+    labels = np.arange(count)
+    while True:
+        low = np.minimum(labels[a], labels[b])
+        new = labels.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == labels).all():
+            return labels
+        labels = new
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id per node of undirected ``edges(a, b)``: ``(id, component)``, nodes of edges only.
 

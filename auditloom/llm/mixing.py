@@ -32,9 +32,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, w double")
         weighed = counts.join(given, "source", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    totals = weighed.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    return weighed.join(F.broadcast(totals), F.lit(True)).select(  # totals are one row
-        "source", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") * size / F.col("n")).otherwise(F.lit(0.0)).alias("rate"))
+    all_n, all_w = (weighed.agg(F.sum(c)).scalar() for c in ("n", "w"))
+    return weighed.select("source", F.when(all_w > 0, F.col("w") / all_w * all_n * size / F.col("n")).otherwise(F.lit(0.0)).alias("rate"))
 
 
 def _inverse(rate: Column, u: Column) -> Column:
