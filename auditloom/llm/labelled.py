@@ -35,7 +35,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     known = (labels.select("doc_id", F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
              .where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").cast("int").alias("label")))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label")  # max_rows bounds the side
     got = rows.mapInArrow(_feature_rows, "label int, features array<double>").collect()
     x = np.array([r.features for r in got], float).reshape(len(got), len(FEATURES))
     y = np.array([r.label for r in got], int)
