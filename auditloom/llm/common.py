@@ -58,6 +58,11 @@ def _chain(base: int, size: int, key: str) -> np.ndarray:
     return have[:size]
 
 
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multiplier's powers and those of its inverse, from 0 on."""
+    return _chain(BASE, size, "up"), _chain(pow(BASE, -1, 1 << 64), size, "down")
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values so that every input bit reaches every output bit."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,10 +75,9 @@ class Prefix:
 
     def __init__(self, text: bytes):
         n = len(text)
-        powers = _chain(BASE, n + 1, "up")
-        self.down = _chain(pow(BASE, -1, 1 << 64), n + 1, "down")
+        up, self.down = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        weighted = (np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * powers[:n]
+        weighted = (np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n]
         np.cumsum(weighted, out=self.sums[1:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.llm import (
-    embedding_dedup, mixing, ngram_join, piece_codec, quality_classifier, quality_rules, secret_scan, url_filter, warc,
+    embedding_dedup, mixing, ngram_join, piece_codec, quality_classifier, quality_rules, secret_scan, suffix_dedup,
+    url_filter, warc,
 )
 from auditloom.llm.common import table
 
@@ -42,6 +43,11 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 FROM embeddings JOIN lowest ON lowest.x = vec_id LEFT JOIN counts ON counts.x = vec_id"""
 
 
+@query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.links(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
