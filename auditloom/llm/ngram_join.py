@@ -1,9 +1,10 @@
 """N-gram Jaccard join: documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-Equal sets are one class. A fixed-size count sketch over all shingles orders them from rare to common. A pair that links
+Equal sets are one class. Counts over all documents order shingles from rare to common; tasks get the order as tables of fixed
+size, which fill up on a larger corpus unless ``MAP_BITS`` grows with it: the order gets worse then, the result does not. A pair that links
 shares one of the rarest ``size - T + 1`` shingles of each side, T being the overlap a size requires, so classes that
-share such a shingle fall into one candidate group (stars around each list's smallest class, salted where the sketch
-says the list is long, then connected components; no pairs are made). Inside a group, block meets block: the
+share such a shingle fall into one candidate group (stars around each list's smallest class, salted where the list
+is long, then connected components; no pairs are made). Inside a group, block meets block: the
 inverted lists of one block answer T-occurrence queries of the other by DivideSkip. The short lists are merged
 by counting, the few longest are only probed for the candidates that reached T less their number, and sizes
 decide the exact overlap. Blocks send on link counts and one spanning edge per class.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,9 @@ from pyspark.sql.window import Window
 from auditloom.llm.common import Prefix, as_long, ascii_lower, components, cut, named_number, ordered_name, row_labels, utf8
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
-#: Counters of the sketch, of fixed number whatever the corpus.
-SKETCH_BITS = 19
+#: Share of all hashes whose documents are counted, which exceeds the share that a document asks with; bits of the map of
+#: repeated shingles and of the table of list lengths. They only order shingles, and their size is the same for every corpus.
+COUNTED, MAP_BITS, WORD, LENGTH_BITS = 0.4, 26, 32_768, 19
 #: Classes per block, block count from which blocks grow instead, largest block, and shingles per block.
 BLOCK, SPREAD, MAX_BLOCK, BLOCK_SHINGLES = 64, 32, 4096, 1 << 21
 
@@ -49,38 +52,57 @@ def required(size: int) -> int:
     return -(-NUMERATOR * size // DENOMINATOR)
 
 
-def _buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+_LIMIT = np.uint64(int(COUNTED * (1 << 64)))
 
 
-def _counted(batches):
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+def _countable(batches):
     for batch in batches:
-        for text in utf8(batch.column("text")):
-            np.add.at(counts, _buckets(shingles(text)), 1)
-    found = np.flatnonzero(counts)
-    for at in range(0, len(found), 1 << 16):
-        part = found[at:at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["bucket", "n"])
+        found = [shingles(text) for text in utf8(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([pa.array([as_long(f[f < _LIMIT]) for f in found], pa.list_(pa.int64()))], ["tokens"])
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """Logarithm of the number of documents by shingle bucket, as one byte each: the same size for every corpus."""
-    rows = (docs.select("text").mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-            .select("bucket", F.floor(F.log2("n")).cast("tinyint").alias("log")).toPandas())
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["log"].to_numpy(np.uint8)
-    return out
+@dataclass(frozen=True)
+class Order:
+    """Which shingles are rare: a bit per slot for the repeated ones, and the logarithm of list lengths."""
+
+    repeated: np.ndarray
+    logs: np.ndarray
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.repeated, self.logs
+
+    def log(self, tokens: np.ndarray) -> np.ndarray:
+        """0 for a shingle of one document, else the logarithm of its list's length plus 1; 64 for those not counted."""
+        slot = (tokens >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+        again = (self.repeated[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+        known = np.where(again == 1, 1 + self.logs[(tokens >> np.uint64(64 - LENGTH_BITS)).astype(np.int64)], 0)
+        return np.where(tokens < _LIMIT, known, 64)
+
+
+def order(docs: DataFrame) -> Order:
+    """Counted over all documents by a shuffle; what the driver gets is of fixed size."""
+    tokens = docs.select("text").mapInArrow(_countable, "tokens array<long>").select(F.explode("tokens").alias("token"))
+    counts = cut(tokens.groupBy("token").count().where("count > 1"))
+    slot = F.shiftrightunsigned("token", 64 - MAP_BITS)
+    words = (counts.groupBy((slot / WORD).cast("int").alias("word")).agg(F.bitmap_construct_agg(slot % WORD).alias("bits")).collect())
+    repeated = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for row in words:
+        repeated[row.word * WORD // 8:(row.word + 1) * WORD // 8] = np.frombuffer(bytes(row.bits), np.uint8)
+    lengths = (counts.groupBy(F.shiftrightunsigned("token", 64 - LENGTH_BITS).alias("bucket"))
+               .agg(F.floor(F.log2(F.max("count"))).cast("tinyint").alias("log")).toPandas())
+    logs = np.zeros(1 << LENGTH_BITS, np.uint8)
+    logs[lengths["bucket"].to_numpy(np.int64)] = lengths["log"].to_numpy(np.uint8)
+    return Order(repeated, logs)
 
 
 def _salts(log: np.ndarray) -> np.ndarray:
-    """Parts that a list is cut into: about the square root of its length over 256."""
-    return 1 << np.maximum((log.astype(np.int64) - 8 + 1) // 2, 0)
+    """Parts that a list is cut into: about the square root of its length over 64; 16 where the length is not known."""
+    return np.where(log == 64, 16, 1 << np.maximum((log.astype(np.int64) - 6) // 2, 0))
 
 
 def _signed(shared):
     def run(batches):
-        logs = shared.value
+        ranks = Order(*shared.value)
         for batch in batches:
             size, cls, prefix, salts = [], [], [], []
             for text in utf8(batch.column("text")):
@@ -92,8 +114,9 @@ def _signed(shared):
                     salts.append([])
                     continue
                 cls.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True))
-                log = logs[_buckets(found)]
+                log = ranks.log(found)
                 rare = np.lexsort((found, log))[:len(found) - required(len(found)) + 1]
+                rare = rare[log[rare] > 0]  # a shingle of one document leads nowhere
                 prefix.append(as_long(found[rare]))
                 salts.append(_salts(log[rare]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -200,7 +223,7 @@ def links(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, row (a hash of the text), n_shingles, n_links, component_id, and the
     component's name (null for sets that are empty)."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs))  # SKETCH_BITS fixes its size
+    shared = docs.sparkSession.sparkContext.broadcast(order(docs).tables())  # MAP_BITS and LENGTH_BITS fix its size
     signed = cut(texts.mapInArrow(_signed(shared), "doc_id long, row long, n_shingles long, cls long, prefix array<long>, salts array<int>"))
     classes = (signed.where("cls is not null").groupBy("cls")
                .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))

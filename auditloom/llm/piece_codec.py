@@ -36,6 +36,9 @@ class Vocabulary:
     bytes_: tuple[int, ...]
     size: int
 
+    def tables(self) -> tuple:
+        return self.pieces, self.bytes_, self.size
+
     @property
     def cuts(self) -> bool:
         """Whether a text may be cut in front of space runs and at line breaks."""
@@ -171,11 +174,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, verify: bool = False) -> Dat
     """The columns of ``docs`` with ``token_ids`` and ``n_tokens``; ``verify`` adds ``round_trip``, the decoded ids against the text."""
     new = {"token_ids": "array<int>", "n_tokens": "long"} | ({"round_trip": "boolean"} if verify else {})
     plain = docs.select(*[c for c in docs.columns if c not in new])
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.tables())  # as large as the vocabulary file
 
     def run(batches):
-        encoder = Encoder(shared.value)
-        decoder = Decoder(shared.value) if verify else None
+        encoder = Encoder(Vocabulary(*shared.value))
+        decoder = Decoder(Vocabulary(*shared.value)) if verify else None
         for batch in batches:
             added = _with_ids(batch, encoder, decoder)
             yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
@@ -187,10 +190,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, verify: bool = False) -> Dat
 def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The columns of ``tokens`` with ``text``, decoded from ``token_ids``."""
     plain = tokens.select(*[c for c in tokens.columns if c != "text"])
-    shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = tokens.sparkSession.sparkContext.broadcast(vocabulary.tables())
 
     def run(batches):
-        decoder = Decoder(shared.value)
+        decoder = Decoder(Vocabulary(*shared.value))
         for batch in batches:
             texts = [None if ids.as_py() is None else decoder.decode(ids.as_py()) for ids in batch.column("token_ids")]
             yield batch.append_column("text", pa.array(texts, pa.string()))

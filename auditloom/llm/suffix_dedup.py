@@ -67,10 +67,10 @@ def repeated_names(docs: DataFrame) -> np.ndarray:
     slots = names.groupBy("name").count().where("count > 1").select(F.shiftrightunsigned("name", 64 - MAP_BITS).alias("slot"))
     words = (slots.groupBy((F.col("slot") / WORD).cast("int").alias("word"))
              .agg(F.bitmap_construct_agg(F.col("slot") % WORD).alias("bits")).collect())  # at most 2**MAP_BITS bits in all
-    out = np.zeros(1 << MAP_BITS, bool)
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     for row in words:
-        out[row.word * WORD:(row.word + 1) * WORD] = np.unpackbits(np.frombuffer(bytes(row.bits), np.uint8), bitorder="little")
-    return np.packbits(out)
+        out[row.word * WORD // 8:(row.word + 1) * WORD // 8] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out
 
 
 def _packed(batches):
@@ -96,7 +96,7 @@ def _surroundings(shared, blocks: bool):
                     continue
                 where, names = samples(text)
                 slot = _slot(names)
-                again = np.flatnonzero(bits[slot >> 3] & (0x80 >> (slot & 7)))
+                again = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
                 for pos, name in zip(where[again].tolist(), as_long(names[again]).tolist()):
                     low = max(pos - WINDOW + 1, 0)
                     block = text[low:pos + LENGTH]
