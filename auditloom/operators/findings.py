@@ -13,11 +13,9 @@ from auditloom import rules as R
 from auditloom.functions import predicates as P
 from auditloom.functions import text as T
 from auditloom.operators import ordered
-from auditloom.session import broadcast_if_small
 
-# An arrival number below this leaves room for the rank above it in one whole number.
-_SEQ_BITS = 59
-_SEQ_MASK = (1 << _SEQ_BITS) - 1
+# Rank and arrival number in one decimal: the number is made positive and takes the last 20 digits.
+_RANK_UNIT, _SEQ_SHIFT = "CAST('100000000000000000000' AS DECIMAL(21,0))", "CAST('9223372036854775808' AS DECIMAL(20,0))"
 
 
 # --- validation --------------------------------------------------------------------------------
@@ -68,10 +66,11 @@ def dedup_by_key(df: DataFrame, key: str = "dedupKey", severity: str = "severity
     and task, rank and arrival number packed together; wide rows only move by arrival number.
     """
     keyed = df.filter(F.coalesce(F.col(key), F.lit("")) != "")
-    packed = F.shiftleft(T.severity_rank(severity), _SEQ_BITS).bitwiseOR(F.col(seq).cast("long"))
+    packed = (T.severity_rank(severity).cast("decimal(10,0)") * F.expr(_RANK_UNIT)
+              + F.col(seq).cast("decimal(20,0)") + F.expr(_SEQ_SHIFT)).cast("decimal(38,0)")
     winners = (
         keyed.groupBy(repo, key).agg(F.min(packed).alias("__best"), F.min(F.col(seq).cast("long")).alias("__slot"))
-        .select(repo, F.col("__best").bitwiseAND(F.lit(_SEQ_MASK)).alias(seq), "__slot")
+        .select(repo, (F.col("__best") % F.expr(_RANK_UNIT) - F.expr(_SEQ_SHIFT)).cast("long").alias(seq), "__slot")
     )
     return _survivors(df, winners, repo, seq, F.coalesce(F.col(key), F.lit("")) == "")
 
@@ -125,32 +124,46 @@ def upsert_findings(existing: DataFrame, incoming: DataFrame, root: str | Column
 
 # --- verdicts and triage -----------------------------------------------------------------------
 
+VALIDATION_FIELDS = ["verdict", "reasoning", "codeEvidence", "confidence", "attackerModel", "feasibilityPredicate", "conceptualPoc",
+                     "backpressurePattern", "calibration", "evidenceRequest"]
+
+
 def apply_validations(findings: DataFrame, validations: DataFrame, repo: str = "repo",
                       seq: str = "seq") -> DataFrame:
-    """Left join with each finding's last verdict, which may dismiss it or change its severity."""
-    payload = [c for c in validations.columns if c not in (repo, seq, "findingId")]
-    last = (
-        validations.groupBy(repo, "findingId")
-        .agg(F.max_by(F.struct(*payload), F.col(seq)).alias("__v"))
-        .withColumnRenamed("findingId", "id")
-    )
-    verdict, adjusted = F.col("__v.verdict"), F.coalesce(F.col("__v.adjustedSeverity"), F.lit(""))
-    reason = T.triage_reason(verdict, F.col("__v.confidence"), F.col("__v.reasoning"), F.col("__v.duplicateOf"))
-    change = (verdict == "severity-adjusted") & (adjusted != "")
+    """Verdicts applied to their findings in order.
+
+    Effects stay: the last verdict that dismisses sets status and reason, the last that adjusts sets the severity. The last
+    verdict of all is kept as ``validation``; only where it adjusts or names an original are ``originalSeverity``, the
+    severity just before it, and ``duplicateOf`` set. Arrival numbers are unique within a finding.
+    """
+    fields = [F.col(name) if name in validations.columns else F.lit(None).cast("string").alias(name) for name in VALIDATION_FIELDS]
+    adjusts = (F.col("verdict") == "severity-adjusted") & (F.coalesce("adjustedSeverity", F.lit("")) != "")
+    reason = T.triage_reason("verdict", "confidence", "reasoning", "duplicateOf")
+    marked = validations.select(
+        repo, F.col("findingId").alias("id"), F.col(seq).alias("__at"), F.struct(*fields).alias("validation"), reason.alias("__reason"),
+        F.when(adjusts, F.col("adjustedSeverity")).alias("__severity"),
+        F.when((F.col("verdict") == "duplicate") & (F.coalesce("duplicateOf", F.lit("")) != ""), F.col("duplicateOf")).alias("__of"))
+
+    def last(value):
+        return F.max_by(value, F.when(F.col(value).isNotNull(), F.col("__at")))
+
+    final = marked.groupBy(repo, "id").agg(
+        F.max("__at").alias("__end"), F.max_by("validation", "__at").alias("validation"), F.max_by("__of", "__at").alias("__of"),
+        last("__reason").alias("__reason"), last("__severity").alias("__severity"), F.max_by(F.col("__severity").isNotNull(), "__at").alias("__adjusted"))
+    before = (marked.where("__severity IS NOT NULL").join(final.select(repo, "id", "__end"), [repo, "id"]).where("__at < __end")
+              .groupBy(repo, "id").agg(F.max_by("__severity", "__at").alias("__before")))
     old_reason = F.col("triageReason") if "triageReason" in findings.columns else F.lit(None).cast("string")
     return (
-        findings.join(last, [repo, "id"], "left")
-        .withColumn("__reason", reason)
+        findings.drop("validation").join(final.join(before, [repo, "id"], "left"), [repo, "id"], "left")
         .withColumns({
-            "verdict": verdict,
-            "duplicateOf": F.when((verdict == "duplicate") & (F.coalesce(F.col("__v.duplicateOf"), F.lit("")) != ""),
-                                  F.col("__v.duplicateOf")),
-            "originalSeverity": F.when(change, F.col("severity")),
-            "severity": F.when(change, adjusted).otherwise(F.col("severity")),
+            "verdict": F.col("validation.verdict"),
+            "duplicateOf": F.col("__of"),
+            "originalSeverity": F.when(F.col("__adjusted"), F.coalesce("__before", "severity")),
+            "severity": F.coalesce("__severity", "severity"),
             "status": F.when(F.col("__reason").isNotNull(), F.lit("invalid")).otherwise(F.col("status")),
             "triageReason": F.coalesce("__reason", old_reason),
         })
-        .drop("__v", "__reason")
+        .drop("__of", "__reason", "__severity", "__adjusted", "__before", "__end")
     )
 
 
@@ -270,7 +283,7 @@ def select_for_export(findings: DataFrame, ids: DataFrame | list[str] | None = N
     if ids is None:
         return findings.filter(F.col("status") == "valid")
     if isinstance(ids, DataFrame):
-        return findings.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_semi")
+        return findings.join(ids.select("id"), "id", "left_semi")
     return findings.filter(F.col("id").isin(list(ids)))
 
 

@@ -26,6 +26,14 @@ def direct_recursion(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("caller") == F.col("callee"))
 
 
+def recursive_hits(attributed: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """A warning on line 0 for each function that calls itself, in the columns of the IR line scan."""
+    return direct_recursion(call_edges(attributed, keys)).select(
+        *keys, F.lit(0).cast("long").alias("line"), F.col("caller").alias("function"), F.lit("recursive_call").alias("type"),
+        F.lit("warning").alias("severity"), F.concat(F.lit("Direct recursion detected in "), "caller").alias("message"),
+        F.lit("").alias("snippet"))
+
+
 def _variants(enums: DataFrame, keys: list[str]) -> DataFrame:
     return enums.select(*keys, "enum_name", "variants", F.explode("variants").alias("variant"))
 

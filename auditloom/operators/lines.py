@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from auditloom import rules as R
 from auditloom.functions import predicates as P
 from auditloom.functions.text import any_contains, col, first_chars, literal_map, strip
-from auditloom.operators import ordered
+from auditloom.operators import graph, ordered
 
 KEYS = ["repo", "path"]
 LINE_BREAK = r"\r\n|\n|\r"
@@ -64,7 +64,7 @@ def has_literal(text: Column, rule: R.Rule) -> Column:
 
 def rule_test(text: Column, rule: R.Rule) -> Column:
     """Regex test, behind a substring test where the rule names literal text (and minds case)."""
-    test = F.rlike(text, F.lit(rule.regex))
+    test = F.rlike(text, F.lit(rule.unicode_regex))
     return has_literal(text, rule) & test if rule.literals and not rule.ignore_case else test
 
 
@@ -72,7 +72,7 @@ def may_match(text: Column, rules: list[R.Rule]) -> Column:
     """Cheap test that is true for every text with a hit (and for some without)."""
     cheap = [rule for rule in rules if rule.literals and not rule.ignore_case]
     tests = [has_literal(text, rule) for rule in cheap]
-    tests += [F.rlike(text, F.lit(rule.regex)) for rule in rules if rule not in cheap]
+    tests += [F.rlike(text, F.lit(rule.unicode_regex)) for rule in rules if rule not in cheap]
     return functools.reduce(operator.or_, tests)
 
 
@@ -102,8 +102,8 @@ def build_lines(lines: DataFrame, keys: list[str] = KEYS, path: str = "path", wi
     name = P.file_name(path)
     always = (name == "build.rs") | P.suffix(path).isin(R.SHELL_EXTENSIONS)
     header = (
-        F.when(F.rlike(F.lower("text"), F.lit(r"^\s*\[build")), F.lit(True))
-        .when(F.rlike("text", F.lit(r"^\s*\[")), F.lit(False))
+        F.when(F.rlike(F.lower("text"), F.lit(r"(?U)^\s*\[build")), F.lit(True))
+        .when(F.rlike("text", F.lit(r"(?U)^\s*\[")), F.lit(False))
     )
     manifests = lines.filter((name == "Cargo.toml") & ~always)
     flagged = ordered.carry_forward(manifests, keys, "line", header, "__in_build", width)
@@ -118,8 +118,8 @@ def scan_build_lines(lines: DataFrame, rules: list[R.Rule] = R.BUILD_COMMANDS, k
 def base64_entries(rules: list[R.Rule] = R.INJECTION) -> Column:
     """Encoded runs in comments: decoded text that matches a rule is high, other long runs are low."""
     marks = F.contains("text", F.lit("#")) | F.contains("text", F.lit("//")) | F.contains("text", F.lit("/*"))
-    candidate = marks & F.rlike("text", F.lit(r"(?://|#|/\*).*[A-Za-z0-9+/=]{20}"))
-    comment = F.regexp_extract("text", r"(?://|#|/\*)\s*(.*)", 1)
+    candidate = marks & F.rlike("text", F.lit(r"(?d)(?://|#|/\*).*[A-Za-z0-9+/=]{20}"))
+    comment = F.regexp_extract("text", r"(?Ud)(?://|#|/\*)\s*(.*)", 1)
     comment = strip(F.regexp_replace(comment, r"[*/]+$", ""))
     runs = F.regexp_extract_all(comment, F.lit(r"[A-Za-z0-9+/=]{20,}"), F.lit(0))
 
@@ -135,7 +135,7 @@ def base64_entries(rules: list[R.Rule] = R.INJECTION) -> Column:
 
     def judge(run, decoded):
         name = F.coalesce(*[
-            F.when(F.rlike(F.lower(decoded), F.lit(rule.regex)), F.lit(f"base64_encoded_{rule.id}")) for rule in rules
+            F.when(F.rlike(F.lower(decoded), F.lit(rule.unicode_regex)), F.lit(f"base64_encoded_{rule.id}")) for rule in rules
         ])
         suspicious = F.concat(F.lit("Base64 in comment decodes to suspicious content: "), first_chars(decoded, 80),
                               F.lit("..."))
@@ -220,7 +220,7 @@ def long_comment_entries(limit: int = 500) -> Column:
                         F.lit("..."))
         return F.when(F.length(body) > limit, F.array(_entry("medium", "long_comment", text)))
 
-    return F.when(F.length("text") > limit, bind(F.regexp_extract("text", r"(?://|#)\s*(.*)", 1), entry))
+    return F.when(F.length("text") > limit, bind(F.regexp_extract("text", r"(?Ud)(?://|#)\s*(.*)", 1), entry))
 
 
 def scan_long_comments(lines: DataFrame, limit: int = 500, keys: list[str] = KEYS) -> DataFrame:
@@ -286,7 +286,7 @@ def captured_name(line: Column, header: str = R.IR_HEADER) -> Column:
 
 
 def scan_ir_lines(attributed: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Panic, unsafe, jump and assert lines of function-attributed text."""
+    """Panic, unsafe, jump and assert lines of function-attributed text, and functions that call themselves."""
     text = strip("text")
     owner = F.coalesce("function", F.lit("unknown"))
 
@@ -304,8 +304,9 @@ def scan_ir_lines(attributed: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.when(F.rlike(text, F.lit(R.IR_ASSERT)), entry("assert_check", "info", F.lit("Assert/bounds check in "),
                                                         owner)),
     ))
-    return (
+    found = (
         attributed.select(*keys, "line", "function", first_chars(text, 200).alias("snippet"),
                           F.explode(entries).alias("__hit"))
         .select(*keys, "line", "function", "__hit.type", "__hit.severity", "__hit.message", "snippet")
     )
+    return found.unionByName(graph.recursive_hits(attributed, keys))

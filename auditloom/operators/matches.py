@@ -16,6 +16,8 @@ from auditloom import rules as R
 from auditloom.functions.text import first_chars, strip
 
 OPEN, CLOSE, STAND_IN = "\x01", "\x02", "\x1a"
+# Matches whose spans are gathered in one list before lists are joined.
+BLOCK = 500
 KEYS = ["repo", "path"]
 _SPAN = "array<struct<offset:int,length:int,line:int>>"
 
@@ -38,15 +40,21 @@ def match_spans(plain: str, regex: str) -> str:
     """
     breaks = "length({0}) - length(replace({0}, '\\n', ''))".format
     pieces = f"split(regexp_replace({plain}, {_quote(regex)}, {_quote(OPEN + '$0' + CLOSE)}), {_quote(OPEN)})"
-    return f"""transform(array({pieces}), p -> if(size(p) > 1, aggregate(
-        slice(p, 2, size(p) - 1),
-        named_struct('offset', length(p[0]), 'line', {breaks('p[0]')} + 1, 'spans', cast(array() AS {_SPAN})),
-        (acc, x) -> named_struct(
-            'offset', acc.offset + length(x) - 1,
-            'line', acc.line + {breaks('x')},
-            'spans', concat(acc.spans, array(named_struct(
-                'offset', acc.offset, 'length', instr(x, {_quote(CLOSE)}) - 1, 'line', acc.line)))),
-        acc -> acc.spans), cast(array() AS {_SPAN})))[0]"""
+    def fold(pieces, offset, line):
+        return f"""aggregate({pieces}, named_struct('offset', {offset}, 'line', {line}, 'spans', cast(array() AS {_SPAN})),
+            (acc, x) -> named_struct(
+                'offset', acc.offset + length(x) - 1,
+                'line', acc.line + {breaks('x')},
+                'spans', array_append(acc.spans, named_struct(
+                    'offset', acc.offset, 'length', instr(x, {_quote(CLOSE)}) - 1, 'line', acc.line))))"""
+
+    # A list grows by copying, so it only grows inside a block, and the blocks' lists are joined once.
+    return f"""transform(array({pieces}), p -> if(size(p) > 1, flatten(aggregate(
+        sequence(0, (size(p) - 2) div {BLOCK}),
+        named_struct('offset', length(p[0]), 'line', {breaks('p[0]')} + 1, 'blocks', cast(array() AS array<{_SPAN}>)),
+        (all, b) -> transform(array({fold(f'slice(p, 2 + b * {BLOCK}, {BLOCK})', 'all.offset', 'all.line')}),
+            done -> named_struct('offset', done.offset, 'line', done.line, 'blocks', array_append(all.blocks, done.spans)))[0],
+        all -> all.blocks)), cast(array() AS {_SPAN})))[0]"""
 
 
 def scan_matches(corpus: DataFrame, rules: list[R.Rule], keys: list[str] = KEYS, text: str = "content") -> DataFrame:

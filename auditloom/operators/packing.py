@@ -9,7 +9,7 @@ from auditloom import rules as R
 from auditloom.functions import predicates as P
 from auditloom.functions import text as T
 from auditloom.operators import ordered
-from auditloom.session import broadcast_if_small, durable
+from auditloom.session import durable
 
 KEYWORD_BOOST = 100_000
 INCLUDE_BOOST = 200_000
@@ -54,13 +54,14 @@ def pack_budget(docs: DataFrame, budget: int = R.TOKEN_BUDGET, repo: str = "repo
     """
     items = docs.select(repo, F.col(seq).cast("long").alias(seq), F.col(score).cast("long").alias("score"),
                         F.col(tokens).cast("long").alias("tokens"))
-    items = items.filter((F.col("tokens") > 0) & (F.col("tokens") <= budget))
+    # The counts are taken from the texts once; every round then reads these narrow rows.
+    items = durable(items.filter((F.col("tokens") > 0) & (F.col("tokens") <= budget)))
     order = [F.col("score").desc(), F.col(seq)]
     taken, room = None, None
     while True:
         # Files at or before the last folded place have been decided; larger ones can never fit.
         open_items = items if room is None else (
-            items.join(broadcast_if_small(room), repo).filter(
+            items.join(room, repo).filter(
                 (F.col("tokens") <= F.col("left"))
                 & ((F.col("score") < F.col("last_score"))
                    | ((F.col("score") == F.col("last_score")) & (F.col(seq) > F.col("last_seq")))))

@@ -145,14 +145,12 @@ def tool_status(runs: DataFrame, repo: str = "repo", seq: str = "seq") -> DataFr
     return last.withColumn("any_failed", failed)
 
 
-def tool_status_map(runs: DataFrame, tools: list[str], repo: str = "repo", seq: str = "seq") -> DataFrame:
-    """The same as one map per repository over a given list of tools."""
-    picks = [F.max_by(F.when(F.col("tool") == name, F.col("status")),
-                      F.when(F.col("tool") == name, F.col(seq))).alias(f"__{name}") for name in tools]
-    pairs = [part for name in tools for part in (F.lit(name), F.col(f"`__{name}`"))]
-    return runs.groupBy(repo).agg(*picks, F.max(F.startswith("status", F.lit("failed"))).alias("any_failed")).select(
-        repo, F.map_filter(F.create_map(*pairs), lambda key, value: value.isNotNull()).alias("tool_status"),
-        "any_failed")
+def tool_status_map(runs: DataFrame, repo: str = "repo", seq: str = "seq") -> DataFrame:
+    """The last status of every tool that ran as one map per repository; a map holds as many entries as there are tools."""
+    failed = runs.groupBy(repo).agg(F.max(F.startswith("status", F.lit("failed"))).alias("any_failed"))
+    last = runs.groupBy(repo, "tool").agg(F.max_by("status", seq).alias("status"))
+    maps = last.groupBy(repo).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "status")))).alias("tool_status"))
+    return maps.join(failed, repo)
 
 
 def final_phase(runs: DataFrame, agents: list[str] = R.AGENTS, run: str = "repo") -> DataFrame:
@@ -169,20 +167,16 @@ def class_pivot(df: DataFrame, row: str, column: str, values: list[str]) -> Data
                              .cast("long"))
 
 
-def scan_stats(hits: DataFrame, lines: DataFrame, recursion: DataFrame | None = None, keys: list[str] = ("repo", "path"),
+def scan_stats(hits: DataFrame, lines: DataFrame, keys: list[str] = ("repo", "path"),
                header: str = R.IR_HEADER) -> DataFrame:
     """Per file: functions, panic paths, unsafe blocks, loops and recursive calls."""
     keys = list(keys)
-    kinds = {"panic_paths": "panic_path", "unsafe_blocks": "unsafe_block", "potential_loops": "potential_loop"}
+    kinds = {"panic_paths": "panic_path", "unsafe_blocks": "unsafe_block", "potential_loops": "potential_loop",
+             "recursive_calls": "recursive_call"}
     functions = lines.groupBy(*keys).agg(
         F.count_if(F.rlike(T.strip("text"), F.lit(header))).alias("total_functions"))
     counts = hits.groupBy(*keys).agg(*[F.count_if(F.col("type") == kind).alias(name) for name, kind in kinds.items()])
-    result = functions.join(counts, keys, "left")
-    if recursion is not None:
-        result = result.join(recursion.groupBy(*keys).agg(F.count(F.lit(1)).alias("recursive_calls")), keys, "left")
-    else:
-        result = result.withColumn("recursive_calls", F.lit(0).cast("long"))
-    return result.fillna(0)
+    return functions.join(counts, keys, "left").fillna(0)
 
 
 def invariants_by_type(invariants: DataFrame, repo: str = "repo", seq: str = "seq",

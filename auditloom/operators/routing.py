@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from auditloom import rules as R
 from auditloom.functions import text as T
 from auditloom.operators.lines import bind
-from auditloom.session import broadcast_if_small, collect_bounded
-
-MAX_KEYWORDS = 5_000
 
 
 def keyword_table(df: DataFrame, name: str = "name", word: str = "keyword") -> dict[str, list[str]]:
-    """A keyword DataFrame as the mapping the operators take; a null keyword names a catch-all."""
+    """A keyword DataFrame as the mapping the operators take; a null keyword names a catch-all.
+
+    The table is configuration: it is as large as what people wrote down, whatever the corpus.
+    """
     table: dict[str, list[str]] = {}
-    for row in collect_bounded(df.select(name, word).orderBy(name, word), MAX_KEYWORDS):
+    for row in df.select(name, word).orderBy(name, word).collect():
         words = table.setdefault(row[0], [])
         if row[1] is not None:
             words.append(row[1])
@@ -85,8 +85,7 @@ def sections_for_agent(sections: DataFrame, table: dict[str, list[str]] = R.HEUR
 def findings_with_class(findings: DataFrame, taxonomy: DataFrame, key: str = "bugClass") -> tuple[DataFrame, DataFrame]:
     """Findings with the domain, reference and owner of their class, and the findings of unknown classes."""
     renamed = taxonomy.select(F.col("id").alias(key), "domain", "ref", F.col("agent").alias("class_agent"))
-    side = broadcast_if_small(renamed)
-    return findings.join(side, key, "left"), findings.join(side, key, "left_anti")
+    return findings.join(renamed, key, "left"), findings.join(renamed, key, "left_anti")
 
 
 def ref_order(ref: str | Column = "ref") -> list[Column]:

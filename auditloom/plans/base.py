@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom import rules as R
-from auditloom.session import spread
 
 CATALOGUE: dict[str, "Query"] = {}
 
@@ -36,6 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts. The setting ``spark.auditloom.scan.partitions`` deals it out anew, for input in a single split;
+    without it a scan's own splits stand."""
+    parts = spark.conf.get("spark.auditloom.scan.partitions", None)
+    return table(spark, sf_dir, name).repartition(int(parts)) if parts else table(spark, sf_dir, name)
+
+
 def q(text: str) -> str:
     """A SQL string literal."""
     return "'" + text.replace("'", "''") + "'"
@@ -62,10 +68,10 @@ FINDING_COLUMNS = {
         WHEN 2 THEN 'arithmetic-economic' WHEN 3 THEN 'state-lifecycle' ELSE 'invariant-logic' END""",
     "id": """CASE WHEN doc_id % 23 = 7 THEN concat('Bad_', doc_id)
         ELSE concat(lang, '-', lpad(CAST(doc_id % 1000 AS STRING), 3, '0')) END""",
-    "title": """CASE WHEN doc_id % 11 = 3 THEN concat('LEAD: ', substr(text, 1, 40))
+    "title": """CASE WHEN doc_id % 11 = 3 THEN concat('LEAD: ', regexp_extract(text, '^[^\n]*', 0))
         WHEN doc_id % 13 = 5 THEN concat('Prescan False Positive in ', lang)
         WHEN doc_id % 7 = 4 THEN concat('Noted false positive ', doc_id)
-        ELSE concat('**Risk:** ', substr(text, 1, 60)) END""",
+        ELSE concat('**Risk:** ', regexp_extract(text, '^[^\n]*', 0)) END""",
     "severity": """CASE doc_id % 8 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low'
         WHEN 4 THEN 'informational' WHEN 5 THEN 'High' WHEN 6 THEN 'medium' ELSE 'severe' END""",
     "confidence": """CASE doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'sure' END""",
@@ -107,7 +113,7 @@ def planted(spark: SparkSession, sf_dir: str, snippets: list[str]) -> DataFrame:
     """Every document as a file, with one of the snippets appended to its whole text."""
     picked = F.get(F.array(*[F.lit(s) for s in snippets]), (F.col("doc_id") % len(snippets)).cast("int"))
     text = F.concat("text", F.lit("\n"), F.replace(picked, F.lit("@ID@"), F.col("doc_id").cast("string")))
-    docs = spread(table(spark, sf_dir, "documents")).withColumn("content", text)
+    docs = texts(spark, sf_dir, "documents").withColumn("content", text)
     return derive(docs, FILE_COLUMNS | {"content": "content"})
 
 
@@ -118,14 +124,14 @@ def planted_sql(snippets: list[str]) -> str:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spread(table(spark, sf_dir, "documents")), FILE_COLUMNS | {"content": "text"})
+    return derive(texts(spark, sf_dir, "documents"), FILE_COLUMNS | {"content": "text"})
 
 
 FILES_SQL = derive_sql(FILE_COLUMNS | {"content": "text"}, "documents")
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spread(table(spark, sf_dir, "documents")), FINDING_COLUMNS)
+    return derive(texts(spark, sf_dir, "documents"), FINDING_COLUMNS)
 
 
 FINDINGS_SQL = derive_sql(FINDING_COLUMNS, "documents")

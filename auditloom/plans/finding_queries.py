@@ -214,36 +214,57 @@ VERDICT_COLUMNS = {
     "reasoning": "concat('Because document ', doc_id, ' has quality ', quality, '. ', repeat('It was read twice. ', 9))",
 }
 _FID = f"SELECT * REPLACE (concat('f-', seq) AS id, 'all' AS repo) FROM ({FINDINGS_SQL})"
-_VERDICTS_SQL = f"""SELECT 'all' AS repo, concat('f-', doc_id) AS "findingId", * FROM ({derive_sql(VERDICT_COLUMNS, 'labels')})"""
+#: Verdicts arrive in rounds; the rounds before the last one shift the verdict and name severities and originals of their own.
+ROUNDS = [
+    VERDICT_COLUMNS | {
+        "verdict": VERDICT_COLUMNS["verdict"].replace("(doc_id +", "(doc_id * 3 + 1 +"), "confidence": "'high'",
+        "adjustedSeverity": "CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'high' END", "reasoning": "concat('First look at ', doc_id)"},
+    VERDICT_COLUMNS | {"verdict": VERDICT_COLUMNS["verdict"].replace("(doc_id +", "(doc_id * 2 + 3 +"), "adjustedSeverity": "'medium'"},
+    VERDICT_COLUMNS,
+]
 
 
 def reviewed(spark, sf_dir):
-    """Findings under one repo with ids by arrival, and two rounds of verdicts from the labels table."""
+    """Findings under one repo with ids by arrival, and three rounds of verdicts from the labels table."""
     base = findings(spark, sf_dir).withColumns({"id": F.concat(F.lit("f-"), F.col("seq").cast("string")),
                                                 "repo": F.lit("all")})
-    verdicts = derive(table(spark, sf_dir, "labels"), VERDICT_COLUMNS).select(
-        F.lit("all").alias("repo"), F.concat(F.lit("f-"), F.col("doc_id").cast("string")).alias("findingId"),
-        F.lit(1).cast("long").alias("seq"), *list(VERDICT_COLUMNS)[1:])
-    earlier = verdicts.withColumns({"seq": F.lit(0).cast("long"), "verdict": F.lit("uncertain")})
-    return base, verdicts.unionByName(earlier)
-
-
-_APPLIED = f"""SELECT f.* EXCLUDE (severity, status), v.verdict,
-    CASE WHEN v.verdict = 'duplicate' AND v."duplicateOf" <> '' THEN v."duplicateOf" END AS "duplicateOf",
-    CASE WHEN adj THEN f.severity END AS "originalSeverity",
+    rounds = None
+    for number in reversed(range(len(ROUNDS))):  # the order of rows must not matter
+        verdicts = derive(table(spark, sf_dir, "labels"), ROUNDS[number]).select(
+            F.lit("all").alias("repo"), F.concat(F.lit("f-"), F.col("doc_id").cast("string")).alias("findingId"),
+            F.lit(number).cast("long").alias("seq"), *list(VERDICT_COLUMNS)[1:])
+        rounds = verdicts if rounds is None else rounds.unionByName(verdicts)
+    return base, rounds
+
+
+def _round_sql(before: str, columns: dict[str, str]) -> str:
+    """The state of every finding after one more round: an ordered fold, step by step."""
+    return f"""SELECT f.* EXCLUDE (verdict, "duplicateOf", "originalSeverity", reasoning, confidence_given, severity, status, "triageReason"),
+    coalesce(v.verdict, f.verdict) AS verdict,
+    CASE WHEN v.verdict IS NULL THEN f."duplicateOf" WHEN v.verdict = 'duplicate' AND v."duplicateOf" <> '' THEN v."duplicateOf" END AS "duplicateOf",
+    CASE WHEN v.verdict IS NULL THEN f."originalSeverity" WHEN adj THEN f.severity END AS "originalSeverity",
+    coalesce(v.reasoning, f.reasoning) AS reasoning, coalesce(v.confidence, f.confidence_given) AS confidence_given,
     CASE WHEN adj THEN v."adjustedSeverity" ELSE f.severity END AS severity,
-    CASE WHEN reason IS NULL THEN f.status ELSE 'invalid' END AS status, reason AS "triageReason"
-    FROM ({_FID}) f LEFT JOIN (SELECT *, coalesce(verdict = 'severity-adjusted' AND "adjustedSeverity" <> '', false) AS adj,
+    CASE WHEN reason IS NULL THEN f.status ELSE 'invalid' END AS status, coalesce(reason, f."triageReason") AS "triageReason"
+    FROM ({before}) f LEFT JOIN (SELECT *, coalesce(verdict = 'severity-adjusted' AND "adjustedSeverity" <> '', false) AS adj,
         CASE WHEN verdict = 'refuted' AND confidence = 'high' THEN 'Validation agent: ' || substr(reasoning, 1, 120)
              WHEN verdict = 'duplicate' AND "duplicateOf" <> '' THEN 'Duplicate of ' || "duplicateOf" END AS reason
-        FROM ({_VERDICTS_SQL})) v ON v."findingId" = f.id"""
+        FROM ({derive_sql(columns, 'labels')})) v ON concat('f-', v.doc_id) = f.id"""
+
+
+_APPLIED = f"""SELECT *, NULL AS verdict, NULL AS "duplicateOf", NULL AS "originalSeverity", NULL AS reasoning, NULL AS confidence_given,
+    NULL AS "triageReason" FROM ({_FID})"""
+for _columns in ROUNDS:
+    _APPLIED = _round_sql(_APPLIED, _columns)
 _APPLIED_COLUMNS = ["seq", "id", "verdict", "duplicateOf", "originalSeverity", "severity", "status", "triageReason"]
 
 
-@query("apply_verdicts", f"""SELECT seq, id, verdict, "duplicateOf", "originalSeverity", severity, status, "triageReason"
-    FROM ({_APPLIED})""")
+@query("apply_verdicts", f"""SELECT seq, id, verdict, "duplicateOf", "originalSeverity", severity, status, "triageReason",
+    reasoning, confidence_given FROM ({_APPLIED})""")
 def apply_verdicts(spark, sf_dir):
-    return flat(FI.apply_validations(*reviewed(spark, sf_dir)), *_APPLIED_COLUMNS)
+    applied = FI.apply_validations(*reviewed(spark, sf_dir))
+    return flat(applied.withColumns({"reasoning": F.col("validation.reasoning"), "confidence_given": F.col("validation.confidence")}),
+                *_APPLIED_COLUMNS, "reasoning", "confidence_given")
 
 
 @query("duplicate_links", f"""WITH a AS ({_APPLIED}) SELECT a.id, a."duplicateOf", b.title AS original_title,

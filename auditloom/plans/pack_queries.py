@@ -546,7 +546,11 @@ def function_attribution_text(spark, sf_dir):
     return flat(ir_lines(spark, sf_dir), "repo", "path", "line", "function")
 
 
-@query("ir_line_scan", f"WITH {_IR} {_IR_HITS}")
+_IR_ROWS = f"""WITH {_IR}, {_EDGES} {_IR_HITS} UNION ALL SELECT repo, path, 0, caller, 'recursive_call', 'warning',
+    'Direct recursion detected in ' || caller, '' FROM calls WHERE caller = callee"""
+
+
+@query("ir_line_scan", _IR_ROWS)
 def ir_line_scan(spark, sf_dir):
     return flat(L.scan_ir_lines(ir_lines(spark, sf_dir)))
 
@@ -573,8 +577,7 @@ def recursion(spark, sf_dir):
     FROM fn LEFT JOIN c USING (repo, path) LEFT JOIN r USING (repo, path)""")
 def scan_stats(spark, sf_dir):
     lines = ir_lines(spark, sf_dir)
-    loops = graph.direct_recursion(graph.call_edges(lines))
-    return flat(rollups.scan_stats(L.scan_ir_lines(lines), lines, loops))
+    return flat(rollups.scan_stats(L.scan_ir_lines(lines), lines))
 
 
 # --- the composed job ------------------------------------------------------------------------------

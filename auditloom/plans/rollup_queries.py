@@ -152,7 +152,7 @@ def tool_status(spark, sf_dir):
 @query("tool_status_map", f"""SELECT repo, string_agg(tool || '=' || status, ' | ' ORDER BY tool) AS tool_status
     FROM ({_TOOL_SQL}) GROUP BY repo""")
 def tool_status_map(spark, sf_dir):
-    result = rollups.tool_status_map(_tool_runs(spark, sf_dir), _TOOLS)
+    result = rollups.tool_status_map(_tool_runs(spark, sf_dir))
     entries = F.array_sort(F.transform(F.map_entries("tool_status"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return flat(result.select("repo", entries.alias("tool_status")))
 

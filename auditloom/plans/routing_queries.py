@@ -8,12 +8,12 @@ from auditloom import rules as R
 from auditloom.functions import predicates as P
 from auditloom.functions import text as T
 from auditloom.operators import findings as FI
-from auditloom.operators import graph, matches as M, routing, scope
+from auditloom.operators import graph, lines as L, matches as M, routing, scope
+from auditloom.plans import pack_queries
 from auditloom.plans.base import (
-    FILES_SQL, FINDINGS_SQL, files, findings, flat, planted, planted_sql, q, query,
-    severity_rank_sql, strip_sql, table,
+    CATALOGUE, FILES_SQL, FINDINGS_SQL, files, findings, flat, planted, planted_sql, q, query,
+    severity_rank_sql, strip_sql, table, texts,
 )
-from auditloom.session import spread
 from auditloom.sources import knowledge, state, tools
 
 # --- external tool records, one per event ----------------------------------------------------------
@@ -33,7 +33,7 @@ _ADVISORY_JSON = """concat('{"vulnerabilities":{"list":[{"advisory":{"id":"RUSTS
 
 
 def _records(spark, sf_dir, expression):
-    return spread(table(spark, sf_dir, "events")).selectExpr("event_id", f"{expression} AS value")
+    return texts(spark, sf_dir, "events").selectExpr("event_id", f"{expression} AS value")
 
 
 @query("normalized_hits", f"""SELECT event_id, 'my-rule' AS rule, coalesce(json_extract_string(v, '$.ruleId'), 'my-rule') AS id,
@@ -79,7 +79,7 @@ _LEADS_SQL = f"""
         substr(json_extract_string(v, '$.text'), 1, 200) AS snippet FROM (SELECT {_MATCH_JSON} AS v FROM events)
     UNION ALL SELECT 'clippy', code, severity, message, file, line, '' FROM ({_COMPILER_SQL})
     UNION ALL SELECT 'cargo-audit', id, 'high', title, 'Cargo.toml', 0, package FROM ({_ADVISORY_SQL})
-    UNION ALL SELECT 'mir', 'panic_path', 'warning', '', '', turn, substr(text, 1, 200) FROM conversations"""
+    UNION ALL SELECT 'mir', type, severity, message, path, line, snippet FROM ({CATALOGUE["ir_line_scan"].sql})"""
 
 
 def leads(spark, sf_dir):
@@ -87,10 +87,7 @@ def leads(spark, sf_dir):
         tools.parse_matches(_records(spark, sf_dir, _MATCH_JSON)).withColumn("rule", F.lit("my-rule")))
     compiler = tools.parse_compiler_lines(_records(spark, sf_dir, _COMPILER_JSON))
     audit = tools.parse_advisories(_records(spark, sf_dir, _ADVISORY_JSON))
-    ir = table(spark, sf_dir, "conversations").select(
-        F.lit("panic_path").alias("type"), F.lit(None).cast("string").alias("severity"),
-        F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("file"),
-        F.col("turn").alias("line"), P.short_snippet("text").alias("snippet"))
+    ir = L.scan_ir_lines(pack_queries.ir_lines(spark, sf_dir)).withColumnRenamed("path", "file")
     return FI.merge_leads(matcher, compiler, audit, ir, keys=[])
 
 
@@ -142,7 +139,7 @@ _PROTOCOLS = ", ".join(f"({q(p)}, [{', '.join(q(w) for w in ws)}])" for p, ws in
     SELECT doc_id, protocol, NOT any_hit AS fallback FROM (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id) AS any_hit FROM m)
     WHERE hit OR NOT any_hit""")
 def protocol_match(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     blob = F.lower(F.concat_ws(" ", "text", "lang", "source"))
     return routing.match_protocols(docs, text=blob).select("doc_id", "protocol", "fallback")
 
@@ -399,10 +396,10 @@ def distinct_units(spark, sf_dir):
 
 
 @query("coverage_gap", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN "
-                       "(SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+                       "(SELECT user_id FROM events)")
 def coverage_gap(spark, sf_dir):
     units = table(spark, sf_dir, "customer").withColumn("funded", F.col("c_acctbal") > 0)
-    touched = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    touched = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"))
     return graph.coverage_gaps(units, touched, ["c_custkey"], "funded").select("c_custkey", "c_name")
 
 

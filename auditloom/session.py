@@ -1,14 +1,8 @@
-"""Session settings and the two guards every operator shares: durable cuts and checked broadcasts."""
+"""Session settings and the durable cut that operators share."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a side may hold before it is no longer sent to every executor.
-BROADCAST_ROWS = 20_000
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str = "auditloom") -> SparkSession:
@@ -30,44 +24,10 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint, so a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without one
-    gets a temporary folder; a cluster without one is an error, not a silent local path.
+    The folder is the session's ``spark.checkpoint.dir``, else one in the warehouse, which is shared too.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="auditloom-checkpoint-")
-        context.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuts")
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting that it has at most ``max_rows`` rows.
-
-    A larger table comes back unmarked, and Spark shuffles the join instead.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out rows when a scan has fewer splits than the session has cores.
-
-    Regex work is bound by CPU, so a few huge row groups would leave most cores idle. A large
-    corpus has more splits than cores and is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def collect_bounded(df: DataFrame, max_rows: int) -> list:
-    """Rows of a small configuration table; a table over the bound is an error, never a cut."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"configuration table holds more than {max_rows} rows")
-    return rows

@@ -42,9 +42,13 @@ def write_state(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(fresh)
     target, fs = _file_system(spark, path)
     make = spark._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(target):
-        fs.rename(target, make(old))
-    fs.rename(make(fresh), target)
+    kept = fs.exists(target)
+    if kept and not fs.rename(target, make(old)):
+        raise OSError(f"{path} could not be set aside; the new rows are in {fresh}")
+    if not fs.rename(make(fresh), target):
+        if kept and not fs.rename(make(old), target):
+            raise OSError(f"{path} is now {old}, the new rows are in {fresh}")
+        raise OSError(f"{path} is as before; the new rows are in {fresh}")
     fs.delete(make(old), True)
 
 

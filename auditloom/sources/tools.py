@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.text import strip
 from auditloom.rules import Rule
-from auditloom.session import collect_bounded
 
 MESSAGE_SCHEMA = """reason STRING, message STRUCT<level: STRING, message: STRING, code: STRUCT<code: STRING>,
     spans: ARRAY<STRUCT<file_name: STRING, line_start: BIGINT, line_end: BIGINT>>>"""
@@ -15,9 +14,6 @@ ADVISORY_SCHEMA = """vulnerabilities STRUCT<list: ARRAY<STRUCT<advisory: STRUCT<
     title: STRING, cvss: STRING, url: STRING>>>>"""
 MATCH_SCHEMA = """ruleId STRING, severity STRING, message STRING, file STRING,
     range STRUCT<start: STRUCT<line: BIGINT>>, text STRING"""
-MAX_RULES = 2_000
-
-
 def parse_compiler_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     """Compiler messages among JSON lines; lines that are no JSON and other reasons are skipped."""
     parsed = lines.withColumn("__m", F.from_json(text, MESSAGE_SCHEMA, {"mode": "PERMISSIVE"}))
@@ -82,7 +78,7 @@ def read_rule_dir(spark: SparkSession, path: str) -> DataFrame:
     ).filter(F.col("pattern") != "")
 
 
-def rules_from(table: DataFrame, max_rules: int = MAX_RULES) -> list[Rule]:
-    """A small rule table as the rule list that scans unroll into expressions."""
-    rows = collect_bounded(table.select("id", "severity", "pattern", "message").orderBy("id"), max_rules)
+def rules_from(table: DataFrame) -> list[Rule]:
+    """A rule table, which is configuration, as the rule list that scans unroll into expressions."""
+    rows = table.select("id", "severity", "pattern", "message").orderBy("id").collect()
     return [Rule(id=r[0], severity=r[1], pattern=r[2], message=r[3] or "") for r in rows]

@@ -32,6 +32,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, 8, "auditloom-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("spark.auditloom.scan.partitions", cpus)  # the test tables are one row group each
     registered = catalogue.load()
 
     def run(name: str) -> float:

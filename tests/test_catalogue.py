@@ -4,9 +4,11 @@ import pytest
 from parity import connect, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
+from auditloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 SQL = oracle_sql()
+CATALOGUE = catalogue.load()
 
 
 @pytest.fixture(scope="module")
@@ -14,11 +16,15 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(CATALOGUE))
 def test_query(spark, duck, name):
     assert name in SQL
-    assert difference(spark, duck, queries()[name], SQL[name], SF) is None
+    assert difference(spark, duck, CATALOGUE[name].run, SQL[name], SF) is None
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_entry_registers_the_catalogue():
+    assert set(CATALOGUE) <= set(queries())

@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from auditloom.plans import catalogue
+
+CATALOGUE = catalogue.load()
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,17 +13,17 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(CATALOGUE))
 def test_no_nested_loops_and_no_python(spark, name):
-    text = plan(queries()[name](spark, SF))
+    text = plan(CATALOGUE[name].run(spark, SF))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "MapInPandas"):
         assert node not in text, node
 
 
 def test_scans_read_only_what_they_need(spark):
-    text = plan(queries()["safe_links"](spark, SF))
+    text = plan(CATALOGUE["safe_links"].run(spark, SF))
     assert "ReadSchema: struct<page_id:bigint,url:string>" in text
-    text = plan(queries()["by_severity"](spark, SF))
+    text = plan(CATALOGUE["by_severity"].run(spark, SF))
     assert "text:string" not in text.split("ReadSchema")[1]
 
 
@@ -34,10 +36,10 @@ def test_line_scan_is_one_stage(spark):
 
 
 def test_log_tail_limits_groups_before_the_shuffle(spark):
-    text = plan(queries()["log_tail"](spark, SF))
+    text = plan(CATALOGUE["log_tail"].run(spark, SF))
     assert "WindowGroupLimit" in text
 
 
 def test_dedup_shuffles_packed_numbers_by_key(spark):
-    text = plan(queries()["dedup_severity"](spark, SF))
+    text = plan(CATALOGUE["dedup_severity"].run(spark, SF))
     assert "partial_min" in text and "SortAggregate" not in text

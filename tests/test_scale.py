@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import findings as FI
 from auditloom.operators import ordered, packing
-from auditloom.session import broadcast_if_small
 
 
 def skewed(spark, n=3000):
@@ -81,9 +80,3 @@ def test_pack_budget_is_the_exact_greedy_walk(spark):
 def test_pack_budget_without_candidates(spark):
     df = spark.createDataFrame([("r", 1, 1, 500), ("r", 2, 1, 0)], "repo string, seq bigint, score bigint, tokens bigint")
     assert {(r.seq, r.included) for r in packing.pack_budget(df, 10).collect()} == {(1, False), (2, True)}
-
-
-def test_broadcast_is_checked(spark):
-    small, large = spark.range(10), spark.range(1000)
-    plan = lambda df: spark.range(5).join(broadcast_if_small(df, 100), "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan(small) and "strategy=broadcast" not in plan(large)
