@@ -61,18 +61,28 @@ def _slot(names: np.ndarray) -> np.ndarray:
     return (names >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
-def repeated_names(docs: DataFrame) -> np.ndarray:
-    """One bit per slot of names, set where a name of the slot occurs more than once in the corpus."""
-    names = docs.select("text").mapInArrow(_packed, "names array<long>").select(F.explode("names").alias("name"))
-    slots = names.groupBy("name").count().where("count > 1").select(F.shiftrightunsigned("name", 64 - MAP_BITS).alias("slot"))
+def bit_map(values: DataFrame) -> np.ndarray:
+    """One bit per slot of the hashes in ``value``: ``2**MAP_BITS`` bits in all, whatever the corpus."""
+    slots = values.select(F.shiftrightunsigned("value", 64 - MAP_BITS).alias("slot"))
     words = (slots.groupBy((F.col("slot") / WORD).cast("int").alias("word"))
-             .agg(F.bitmap_construct_agg(F.col("slot") % WORD).alias("bits")).collect())  # at most 2**MAP_BITS bits in all
+             .agg(F.bitmap_construct_agg(F.col("slot") % WORD).alias("bits")).collect())
     out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     for row in words:
         out[row.word * WORD // 8:(row.word + 1) * WORD // 8] = np.frombuffer(bytes(row.bits), np.uint8)
     return out
 
 
+def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = _slot(values)
+    return np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+
+
+def repeated_names(docs: DataFrame) -> np.ndarray:
+    """A bit map of the names that occur more than once in the corpus."""
+    names = docs.select("text").mapInArrow(_packed, "names array<long>").select(F.explode("names").alias("value"))
+    return bit_map(names.groupBy("value").count().where("count > 1"))
+
+
 def _packed(batches):
     for batch in batches:
         found = [as_long(samples(text)[1]) if len(text) >= LENGTH else np.zeros(0, np.int64) for text in utf8(batch.column("text"))]
@@ -83,40 +93,62 @@ def _hash(part: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
 
 
-def _surroundings(shared, blocks: bool):
-    """Per kept sample: its name, the hash of its surroundings, and either these or where it stands."""
+def _occurrence(row: int, around: int, pos: int) -> int:
+    """A hash that tells the samples of the corpus apart."""
+    return _hash(row.to_bytes(8, "little", signed=True) + around.to_bytes(8, "little", signed=True) + pos.to_bytes(8, "little"))
+
+
+def _around(text: bytes, pos: int) -> tuple[int, bytes]:
+    low = max(pos - WINDOW + 1, 0)
+    block = text[low:pos + LENGTH]
+    return _hash(block + bytes([pos - low])), block
+
+
+def _standing(shared):
+    """Where samples with repeated names stand, with the hash of their surroundings."""
     def run(batches):
-        bits, seen = shared.value, {}
+        bits = shared.value
         for batch in batches:
-            out = {c: [] for c in (("name", "around", "at", "block") if blocks else ("doc_id", "row", "name", "around", "pos"))}
-            held = 0
-            ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
-            for doc_id, row, text in zip(ids, rows, utf8(batch.column("text"))):
+            out = {c: [] for c in ("row", "name", "around", "pos", "size", "occurrence")}
+            for row, text in zip(batch.column("row").to_pylist(), utf8(batch.column("text"))):
                 if len(text) < LENGTH:
                     continue
                 where, names = samples(text)
-                slot = _slot(names)
-                again = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                again = _marked(bits, names)
                 for pos, name in zip(where[again].tolist(), as_long(names[again]).tolist()):
-                    low = max(pos - WINDOW + 1, 0)
-                    block = text[low:pos + LENGTH]
-                    around = _hash(block + bytes([pos - low]))
-                    if blocks:  # that a task met the same surroundings twice says all; more of them would say no more
-                        seen[around] = seen.get(around, 0) + 1
-                        if seen[around] > 2:
-                            continue
-                        held += len(block)
-                    for column, value in zip(out.values(), (name, around, pos - low, block) if blocks else (doc_id, row, name, around, pos)):
+                    around, block = _around(text, pos)
+                    for column, value in zip(out.values(), (row, name, around, pos, len(block), _occurrence(row, around, pos))):
+                        column.append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=_PLACES)
+    return run
+
+
+def _surrounding(names_map, wanted_map):
+    """The surroundings of the samples that a bit map of occurrences asks for."""
+    def run(batches):
+        bits, wanted = names_map.value, wanted_map.value
+        for batch in batches:
+            out, held = {c: [] for c in ("name", "around", "at", "block")}, 0
+            for row, text in zip(batch.column("row").to_pylist(), utf8(batch.column("text"))):
+                if len(text) < LENGTH:
+                    continue
+                where, names = samples(text)
+                again = _marked(bits, names)
+                found = [(name, *_around(text, pos), pos) for pos, name in zip(where[again].tolist(), as_long(names[again]).tolist())]
+                asked = _marked(wanted, np.array([_occurrence(row, around, pos) for _, around, _, pos in found], np.int64).view(np.uint64))
+                for name, around, block, pos in (found[n] for n in asked):
+                    for column, value in zip(out.values(), (name, around, min(pos, WINDOW - 1), block)):
                         column.append(value)
+                    held += len(block)
                 if held > 1 << 24:
                     yield pa.RecordBatch.from_pydict(out, schema=_BLOCKS)
                     out, held = {c: [] for c in out}, 0
-            yield pa.RecordBatch.from_pydict(out, schema=_BLOCKS if blocks else _PLACES)
+            yield pa.RecordBatch.from_pydict(out, schema=_BLOCKS)
     return run
 
 
 _BLOCKS = pa.schema([("name", pa.int64()), ("around", pa.int64()), ("at", pa.int32()), ("block", pa.binary())])
-_PLACES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("name", pa.int64()), ("around", pa.int64()), ("pos", pa.int64())])
+_PLACES = pa.schema([("row", pa.int64()), ("name", pa.int64()), ("around", pa.int64()), ("pos", pa.int64()), ("size", pa.int64()), ("occurrence", pa.int64())])
 _FOUND = pa.schema([("around", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
 
@@ -207,20 +239,20 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "around long, first int, last int")
 
 
-def repeated_offsets(blocks: DataFrame, places: DataFrame) -> DataFrame:
+def repeated_offsets(blocks: DataFrame, around: DataFrame) -> DataFrame:
     """From samples ``(name, around, at, block)``: runs of offsets whose strings occur again, ``(around, first, last)``.
 
-    ``places`` holds the names and surroundings alone and tells which names are too large for one task.
+    ``around`` lists the same names and surroundings and tells which names are too large for one task.
     """
     left = blocks.select(F.col("name").alias("key"), "around", "at", F.lit(0).alias("low"), F.lit(WINDOW - 1).alias("high"), "block")
-    large = cut(places.select(F.col("name").alias("key"), "around").distinct().groupBy("key").count().where(F.col("count") > GROUP).select("key"))
+    large = cut(around.groupBy(F.col("name").alias("key")).count().where(F.col("count") > GROUP).select("key"))
     done: DataFrame | None = None
     while True:
         hot = not large.isEmpty()
-        found = cut(_sorted(left.join(large, "key", "left_anti") if hot else left).distinct())
+        found = cut(_sorted(left.join(large, "key", "left_anti") if hot else left))
         done = found if done is None else done.union(found)
         if not hot:
-            return done.distinct()
+            return done
         rest = left.join(large, "key", "left_semi")
         single = rest.where("low = high")  # the key is the string itself, and it stands at more than one place
         done = done.union(single.select("around", F.col("low").alias("first"), F.col("high").alias("last")))
@@ -252,13 +284,25 @@ def _cleaned(batches):
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans."""
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_names(docs))  # MAP_BITS fixes its size
-    places = cut(texts.mapInArrow(_surroundings(shared, False), "doc_id long, row long, name long, around long, pos long"))
-    blocks = texts.mapInArrow(_surroundings(shared, True), "name long, around long, at int, block binary")
-    runs = repeated_offsets(blocks, places)
-    key = F.coalesce("doc_id", F.lit(-1 << 63)).alias("key")
-    spans = (places.join(runs, "around").select(key, "row", F.struct((F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + LENGTH).alias("end")).alias("run"))
-             .groupBy("key", "row").agg(F.collect_set("run").alias("runs")))  # a text holds these
-    return (texts.select("doc_id", key, "row", "text").join(spans, ["key", "row"], "left").select("doc_id", "text", "runs")
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    spark = docs.sparkSession.sparkContext
+    names_map = spark.broadcast(repeated_names(docs))  # MAP_BITS fixes the size of both maps
+    places = cut(texts.mapInArrow(_standing(names_map), "row long, name long, around long, pos long, size long, occurrence long"))
+    # Surroundings that stand in several places say it all by themselves. Those that stand once must be compared with
+    # one of each of the others of their name; nothing else is sent.
+    around = cut(places.groupBy("name", "around").agg(F.count(F.lit(1)).alias("n"), F.min("occurrence").alias("value"),
+                                                      F.least(F.min("pos"), F.lit(WINDOW - 1)).alias("at"), F.min("size").alias("size")))
+    names = around.groupBy("name").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least")).where("different > 1 AND least = 1").select("name")
+    asked = cut(around.join(cut(names), "name", "left_semi").select("name", "around", "value"))
+    wanted_map = spark.broadcast(bit_map(asked))
+    blocks = texts.mapInArrow(_surrounding(names_map, wanted_map), "name long, around long, at int, block binary")
+    compared = repeated_offsets(blocks, asked)
+    everywhere = around.where("n > 1").select(
+        "around", F.greatest(F.lit(0), F.col("at") + LENGTH - F.col("size")).cast("int").alias("first"),
+        F.least(F.col("at"), F.lit(WINDOW - 1)).cast("int").alias("last")).where("first <= last")
+    runs = cut(compared.union(everywhere).distinct())
+    spans = (places.join(runs, "around")
+             .select("row", F.struct((F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + LENGTH).alias("end")).alias("run"))
+             .groupBy("row").agg(F.collect_set("run").alias("runs")))  # a text holds these
+    return (texts.join(spans, "row", "left").select("doc_id", "text", "runs")
             .mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"))
