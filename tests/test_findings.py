@@ -42,7 +42,7 @@ def test_verdicts(spark):
     got = {r.id: (r.status, r.severity, r.triageReason, r.originalSeverity) for r in FI.apply_validations(base, verdicts).collect()}
     assert got == {"x-000": ("invalid", "high", "Validation agent: because", None), "x-001": ("pending", "high", None, None),
                    "x-002": ("invalid", "high", "Duplicate of x-000", None), "x-003": ("pending", "low", None, "high"),
-                   "x-004": ("pending", "high", None, None), "x-005": ("pending", "high", None, None)}
+                   "x-004": ("invalid", "high", "Validation agent: old", None), "x-005": ("pending", "high", None, None)}
 
 
 @pytest.mark.parametrize("ids,status,reason,fails", [
