@@ -185,3 +185,14 @@ def triage_error(status="status", severity="severity", reason="triageReason", no
 
 def short_snippet(text: str | Column, limit: int = 200) -> Column:
     return first_chars(F.coalesce(col(text), F.lit("")), limit)
+
+
+def bulk_triage_error(ids: str | Column = "ids", status: str | Column = "status", reason: str | Column = "triageReason") -> Column:
+    """First reason a bulk triage request is refused, or null, for a table of requests."""
+    wanted, given = col(ids), col(status)
+    return F.coalesce(
+        F.when(F.coalesce(F.size(wanted), F.lit(0)) <= 0, F.lit("ids must be a non-empty array")),
+        F.when(F.size(wanted) > rules.MAX_BULK_IDS, F.lit(f"Cannot bulk-triage more than {rules.MAX_BULK_IDS} findings at once")),
+        F.when(~F.forall(wanted, is_valid_id), F.lit("All ids must be valid finding IDs")),
+        F.when(~F.coalesce(given.isin(rules.STATUSES), F.lit(False)), F.lit("Invalid status. Must be one of: " + ", ".join(rules.STATUSES))),
+        F.when(F.length(col(reason)) > rules.MAX_REASON, F.lit(f"triageReason must be a string of at most {rules.MAX_REASON} characters")))

@@ -273,7 +273,9 @@ def sort_findings(df: DataFrame, key: str | None = None, seq: str = "seq") -> Da
 
 def sort_position(df: DataFrame, key: str, repo: str = "repo", seq: str = "seq",
                   width: int = ordered.WIDTH) -> DataFrame:
-    """Position of every finding in its repo's severity or confidence order, without a global sort."""
+    """Position of every finding in its repo's severity, confidence or agent order, without a global sort."""
+    if key == "agent":  # a few names
+        return ordered.row_number(df.withColumn("rank", F.col("agent")), [repo], seq, "position", ["rank"], width)
     rank = T.severity_rank(F.col("severity")) if key == "severity" else T.confidence_rank("confidence")
     return ordered.row_number(df.withColumn("rank", rank), [repo], seq, "position", ["rank"], width)
 

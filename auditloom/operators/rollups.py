@@ -163,8 +163,8 @@ def class_pivot(df: DataFrame, row: str, column: str, values: list[str]) -> Data
     """Counts per class and protocol with row totals and each class's share of all."""
     counts = df.groupBy(row).agg(
         *[F.count_if(F.col(column) == value).alias(value) for value in values], F.count(F.lit(1)).alias("total"))
-    return counts.withColumn("pct", F.round(F.col("total") / F.sum("total").over(Window.partitionBy(F.lit(1))) * 100)
-                             .cast("long"))
+    everything = df.agg(F.count(F.lit(1))).scalar()
+    return counts.withColumn("pct", F.round(F.col("total") / everything * 100).cast("long"))
 
 
 def scan_stats(hits: DataFrame, lines: DataFrame, keys: list[str] = ("repo", "path"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import predicates as P
 from auditloom.functions import text as T
+from auditloom.operators import ordered
 
 
 def scope_filter(files: DataFrame, excluded: DataFrame | None = None, excludes: list[str] | Column = (),
@@ -75,3 +76,12 @@ def rank_surfaces(surfaces: DataFrame, level: str = "threatLevel", seq: str = "s
 
 def rank_categories(categories: DataFrame, relevance: str = "relevance", seq: str = "seq") -> DataFrame:
     return categories.orderBy(relevance_rank(relevance), seq)
+
+
+def surface_position(surfaces: DataFrame, repo: str = "repo", level: str = "threatLevel", seq: str = "seq") -> DataFrame:
+    """Position of every attack surface in its repository's order, without a global sort."""
+    return ordered.row_number(surfaces.withColumn("rank", T.severity_rank(level)), [repo], seq, "position", ["rank"])
+
+
+def category_position(categories: DataFrame, repo: str = "repo", relevance: str = "relevance", seq: str = "seq") -> DataFrame:
+    return ordered.row_number(categories.withColumn("rank", relevance_rank(relevance)), [repo], seq, "position", ["rank"])

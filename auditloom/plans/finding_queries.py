@@ -354,6 +354,32 @@ def sorted_confidence(spark, sf_dir):
     return flat(FI.sort_position(findings(spark, sf_dir), "confidence"), "repo", "seq", "confidence", "rank", "position")
 
 
+@query("findings_sorted_by_agent", f"""SELECT repo, seq, agent, row_number() OVER (PARTITION BY repo ORDER BY agent, seq) AS position
+    FROM ({FINDINGS_SQL})""")
+def findings_sorted_by_agent(spark, sf_dir):
+    return flat(FI.sort_position(findings(spark, sf_dir), "agent", width=64), "repo", "seq", "agent", "position")
+
+
+_REQUEST = {
+    "doc_id": "doc_id", "n": "CAST(n_chars % 701 AS INT)", "status": "CASE doc_id % 7 WHEN 3 THEN 'closed' ELSE 'valid' END",
+    "triageReason": "CASE WHEN doc_id % 3 = 0 THEN text ELSE NULL END", "agent": "CASE doc_id % 5 WHEN 1 THEN 'No_Agent' ELSE 'cpi-token' END",
+}
+
+
+@query("bulk_triage_checks", f"""SELECT doc_id, CASE WHEN n = 0 THEN 'ids must be a non-empty array'
+    WHEN n > 500 THEN 'Cannot bulk-triage more than 500 findings at once'
+    WHEN agent = 'No_Agent' THEN 'All ids must be valid finding IDs'
+    WHEN status = 'closed' THEN 'Invalid status. Must be one of: {", ".join(R.STATUSES)}'
+    WHEN length("triageReason") > 2000 THEN 'triageReason must be a string of at most 2000 characters' END AS error
+    FROM ({derive_sql(_REQUEST, 'documents')})""")
+def bulk_triage_checks(spark, sf_dir):
+    """One request per document, of as many ids as its length gives."""
+    requests = derive(table(spark, sf_dir, "documents"), _REQUEST)
+    number = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
+    ids = F.transform(number, lambda k: F.concat("agent", F.lit("-"), F.lpad(k.cast("string"), 3, "0")))
+    return requests.withColumn("ids", ids).select("doc_id", P.bulk_triage_error().alias("error"))
+
+
 @query("findings_sorted_by_file", f"SELECT repo, seq, file FROM ({FINDINGS_SQL})")
 def findings_sorted_by_file(spark, sf_dir):
     return FI.sort_findings(findings(spark, sf_dir), "file").select("repo", "seq", "file")

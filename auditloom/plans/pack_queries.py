@@ -395,6 +395,18 @@ def constraint_table(spark, sf_dir):
     return flat(M.constraint_table(attributes(spark, sf_dir)).drop("attribute"))
 
 
+_PAIRS = ", ".join(
+    [f"CASE WHEN {n} THEN '{n}=true' END" for n in ("mutable", "signer", "init", "init_if_needed")]
+    + [f"CASE WHEN \"{n}\" <> '' THEN '{n}=' || to_json(string_split(\"{n}\", ' | ')) END" for n in ("has_one", "seeds", "constraint")]
+    + [f"'{n}=' || {n}" for n in ("close", "bump", "payer", "space", "address")])
+
+
+@query("constraint_map", f"""{_hits([ATTRIBUTE])}, c AS ({_CONSTRAINTS}) SELECT repo, path, line, concat_ws('; ', {_PAIRS}) AS constraints FROM c""")
+def constraint_map(spark, sf_dir):
+    entries = F.transform(F.map_entries("constraints"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return flat(M.constraint_map(attributes(spark, sf_dir)), "repo", "path", "line", F.array_join(entries, "; ").alias("constraints"))
+
+
 @query("constraint_counts", f"""{_hits([ATTRIBUTE])}, c AS ({_CONSTRAINTS}) SELECT repo,
     count(*) FILTER (mutable) AS n_mutable, count(*) FILTER (signer) AS n_signer, count(*) FILTER (init) AS n_init,
     count(*) FILTER (init_if_needed) AS n_init_if_needed, count(*) FILTER (has_one <> '') AS n_has_one,

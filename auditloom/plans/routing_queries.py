@@ -11,10 +11,10 @@ from auditloom.operators import findings as FI
 from auditloom.operators import graph, lines as L, matches as M, routing, scope
 from auditloom.plans import pack_queries
 from auditloom.plans.base import (
-    CATALOGUE, FILES_SQL, FINDINGS_SQL, files, findings, flat, planted, planted_sql, q, query,
+    CATALOGUE, FILES_SQL, FINDINGS_SQL, derive, derive_sql, files, findings, flat, planted, planted_sql, q, query,
     severity_rank_sql, strip_sql, table, texts,
 )
-from auditloom.sources import knowledge, state, tools
+from auditloom.sources import corpus, knowledge, state, tools
 
 # --- external tool records, one per event ----------------------------------------------------------
 
@@ -73,6 +73,61 @@ def advisories(spark, sf_dir):
     return tools.parse_advisories(_records(spark, sf_dir, _ADVISORY_JSON)).select("event_id", "id", "package", "title")
 
 
+_MANIFEST = """concat(source, '/', doc_id, '.rs', chr(9), CASE WHEN doc_id % 6 = 5 THEN 'many' ELSE CAST(n_chars AS STRING) END, chr(9), lang)"""
+
+
+@query("manifest_rows", """SELECT doc_id, source || '/' || doc_id || '.rs' AS path, n_chars AS loc, lang AS language
+    FROM documents WHERE doc_id % 6 <> 5""")
+def manifest_rows(spark, sf_dir):
+    return corpus.parse_manifest(table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_MANIFEST} AS value"))
+
+
+@query("drop_binary", "SELECT doc_id FROM documents WHERE doc_id % 9 <> 2 OR strlen(text) >= 8192")
+def drop_binary(spark, sf_dir):
+    """Every ninth text gets a zero byte at its end, which counts if it lies among the first 8,192."""
+    content = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 9 == 2, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("20"))))
+    return corpus.drop_binary(table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))).select("doc_id")
+
+
+_CLASS_JSON = """concat('{"classes":{"class-', p_partkey, '":{"domain":', p_size, ',"ref":"', p_size, '.', p_partkey % 20, '","agent":"', p_brand, '"}}}')"""
+
+
+@query("taxonomy_rows", """SELECT p_partkey, 'class-' || p_partkey AS id, CAST(p_size AS BIGINT) AS domain,
+    p_size || '.' || p_partkey % 20 AS ref, p_brand AS agent FROM part""")
+def taxonomy_rows(spark, sf_dir):
+    return knowledge.parse_taxonomy(table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_CLASS_JSON} AS value"))
+
+
+@query("rule_rows", """SELECT CASE WHEN p_partkey % 4 = 1 THEN 'rule-' || p_partkey ELSE 'own-' || p_partkey END AS id,
+    CASE WHEN p_partkey % 3 = 0 THEN 'warning' ELSE 'error' END AS severity, 'About ' || p_name || ' and ' || p_type AS message,
+    'x' || p_partkey || '\\s+' AS pattern FROM part""")
+def rule_rows(spark, sf_dir):
+    """One rule file per part: a folded message over two lines, an id in three of four."""
+    part = F.col("p_partkey").cast("string")
+    lines = [F.when(F.col("p_partkey") % 4 != 1, F.concat(F.lit("id: own-"), part)),
+             F.when(F.col("p_partkey") % 3 != 0, F.lit("severity: error")),
+             F.concat(F.lit("message: >-\n  About "), "p_name", F.lit("\n  and "), "p_type"),
+             F.concat(F.lit("rule:\n  regex: 'x"), part, F.lit("\\s+'"))]
+    files_ = table(spark, sf_dir, "part").select(F.concat_ws("\n", *lines).alias("value"), F.concat(F.lit("rule-"), part, F.lit(".yml")).alias("file"))
+    return tools.parse_rules(files_)
+
+
+_SURFACES = {"repo": "source", "seq": "doc_id", "threatLevel": "CASE doc_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'critical' WHEN 2 THEN 'odd' WHEN 3 THEN 'low' ELSE 'medium' END",
+             "relevance": "CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN 'none' ELSE 'medium' END"}
+
+
+@query("surface_order", f"""SELECT repo, seq, row_number() OVER (PARTITION BY repo ORDER BY {severity_rank_sql('"threatLevel"')}, seq) AS position
+    FROM ({derive_sql(_SURFACES, 'documents')})""")
+def surface_order(spark, sf_dir):
+    return flat(scope.surface_position(derive(table(spark, sf_dir, "documents"), _SURFACES)), "repo", "seq", "position")
+
+
+@query("category_order", f"""SELECT repo, seq, row_number() OVER (PARTITION BY repo ORDER BY
+    coalesce(list_position(['high', 'medium', 'low'], relevance) - 1, 3), seq) AS position FROM ({derive_sql(_SURFACES, 'documents')})""")
+def category_order(spark, sf_dir):
+    return flat(scope.category_position(derive(table(spark, sf_dir, "documents"), _SURFACES)), "repo", "seq", "position")
+
+
 _LEADS_SQL = f"""
     SELECT 'ast-grep' AS source, 'my-rule' AS rule, json_extract_string(v, '$.severity') AS severity, '' AS message,
         json_extract_string(v, '$.file') AS file, CAST(json_extract_string(v, '$.range.start.line') AS BIGINT) + 1 AS line,

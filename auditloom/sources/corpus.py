@@ -36,6 +36,12 @@ def read_corpus(spark: SparkSession, path: str, repo: str | Column = "", scannab
         F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+def parse_manifest(lines: DataFrame, text: str = "value") -> DataFrame:
+    """path, loc and language from tab-separated text rows, beside their other columns; malformed rows are dropped."""
+    entry = F.from_csv(F.col(text), F.lit("path STRING, loc BIGINT, language STRING"), {"sep": "\t", "quote": ""})
+    return lines.withColumn("__m", entry).where("__m.loc IS NOT NULL").select(*[c for c in lines.columns if c != text], "__m.*")
+
+
 def read_manifest_tsv(spark: SparkSession, path: str) -> DataFrame:
     """path, loc and language from a tab-separated manifest; malformed rows are dropped."""
     return (

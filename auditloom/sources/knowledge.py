@@ -12,9 +12,14 @@ TAXONOMY_SCHEMA = "classes MAP<STRING, STRUCT<domain: BIGINT, ref: STRING, agent
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """A JSON map of classes as rows (id, domain, ref, agent)."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.explode(F.from_json("value", TAXONOMY_SCHEMA)["classes"]).alias("id", "m")).select(
-        "id", "m.domain", "m.ref", "m.agent")
+    return parse_taxonomy(spark.read.text(path, wholetext=True))
+
+
+def parse_taxonomy(documents: DataFrame, text: str = "value") -> DataFrame:
+    """The same from a column of JSON texts, beside their other columns."""
+    others = [c for c in documents.columns if c != text]
+    return documents.select(*others, F.explode(F.from_json(text, TAXONOMY_SCHEMA)["classes"]).alias("id", "m")).select(
+        *others, "id", "m.domain", "m.ref", "m.agent")
 
 
 def split_sections(docs: DataFrame, text: str = "text", heading: str = r"### (H\d+):.+", stop_at_rule: str = "always",

@@ -57,9 +57,12 @@ def read_rule_dir(spark: SparkSession, path: str) -> DataFrame:
 
     A rule file has top-level ``id``, ``severity`` and ``message`` keys and a ``regex`` under ``rule``.
     """
-    raw = spark.read.option("pathGlobFilter", "*.{yml,yaml}").text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_name").alias("__file"))
+    return parse_rules(spark.read.option("pathGlobFilter", "*.{yml,yaml}").text(path, wholetext=True).select(
+        "value", F.col("_metadata.file_name").alias("file")))
 
+
+def parse_rules(raw: DataFrame) -> DataFrame:
+    """The same from rows ``(value, file)``: the text of a rule file and its name, which is the id where none is given."""
     def scalar(name, default):
         value = F.regexp_extract("value", rf"(?m)^{name}:[ \t]*([^\n>|][^\n]*)$", 1)
         return F.when(value != "", F.regexp_replace(strip(value), r'^"(.*)"$', "$1")).otherwise(default)
@@ -70,7 +73,7 @@ def read_rule_dir(spark: SparkSession, path: str) -> DataFrame:
     unquoted = F.when(F.startswith(pattern, F.lit("'")), F.regexp_replace(pattern, "^'|'$", "")).otherwise(
         F.replace(F.regexp_replace(pattern, '^"|"$', ""), F.lit("\\\\"), F.lit("\\")))
     return raw.select(
-        scalar("id", F.regexp_replace("__file", r"\.ya?ml$", "")).alias("id"),
+        scalar("id", F.regexp_replace("file", r"\.ya?ml$", "")).alias("id"),
         scalar("severity", F.lit("warning")).alias("severity"),
         F.when(folded != "", strip(F.regexp_replace(folded, r"\s*\n\s*", " "))).otherwise(
             scalar("message", F.lit(""))).alias("message"),
