@@ -7,6 +7,7 @@ on a stream, so a batch over the same events is the check for the stream. Upsert
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,7 +97,7 @@ def budget_alerts(totals: DataFrame, budget: int) -> DataFrame:
 
 def rate_breaches(events: DataFrame, limit: int = 600, window: str = "60 seconds", run: str | Column = "run",
                   ts: str = "ts", watermark: str = "2 minutes") -> DataFrame:
-    """Windows with more events than the limit; late events are kept for the watermark's time."""
+    """Windows with more events than the limit. On a stream, an event that is later than the watermark is lost to its window."""
     if events.isStreaming:
         events = events.withWatermark(ts, watermark)
     counts = events.groupBy(F.window(ts, window).alias("w"), run).agg(F.count(F.lit(1)).alias("events"))
@@ -109,8 +110,9 @@ def rate_breaches(events: DataFrame, limit: int = 600, window: str = "60 seconds
 class VersionedTable:
     """A Parquet table replaced as a whole by numbered versions; the newest complete one counts.
 
-    A stream's batch number is the version, so a batch that is replayed after a failure rewrites
-    its own version and reads the one before it.
+    A version is a stream's batch number on top of the version its checkpoint began at, so a batch that is
+    replayed after a failure rewrites its own version and reads the one before it, and a stream with a fresh checkpoint goes on
+    from the state it finds.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -124,6 +126,18 @@ class VersionedTable:
         found = [int(name[2:]) for name in names if name.startswith("v=")]
         return sorted(v for v in found if exists(self.spark, f"{self.root}/v={v}/_SUCCESS"))
 
+    def base(self, checkpoint: str) -> int:
+        """The version at which the stream of this checkpoint began; a checkpoint that does not exist yet begins now."""
+        mark = f"{self.root}/_bases/{hashlib.md5(checkpoint.encode()).hexdigest()}"
+        path, fs = _file_system(self.spark, mark)
+        if exists(self.spark, checkpoint) and fs.exists(path):
+            return int(fs.listStatus(path)[0].getPath().getName())
+        number = max(self._versions(), default=-1) + 1
+        fs.delete(path, True)
+        started, _ = _file_system(self.spark, f"{mark}/{number}")
+        fs.mkdirs(started)
+        return number
+
     def read(self, before: int | None = None) -> DataFrame | None:
         versions = [v for v in self._versions() if before is None or v < before]
         return self.spark.read.parquet(f"{self.root}/v={versions[-1]}") if versions else None
@@ -135,8 +149,9 @@ class VersionedTable:
             fs.delete(path, True)
 
 
-def _start(stream: DataFrame, handler, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(
+def _start(stream: DataFrame, handler, checkpoint: str, table: VersionedTable) -> StreamingQuery:
+    base = table.base(checkpoint)
+    return stream.writeStream.foreachBatch(lambda batch, number: handler(batch, base + number)).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
@@ -149,7 +164,7 @@ def keep_progress(stream: DataFrame, table: VersionedTable, checkpoint: str) ->
             updates = latest_progress(before.unionByName(updates))
         table.write(updates, number)
 
-    return _start(stream, merge, checkpoint)
+    return _start(stream, merge, checkpoint, table)
 
 
 def dedup_state(findings: DataFrame, repo: str = "repo", key: str = "dedupKey", seq: str = "seq") -> DataFrame:
@@ -188,7 +203,7 @@ def keep_log_tail(stream: DataFrame, table: VersionedTable, checkpoint: str, n:
         rows = split_log_lines(batch) if before is None else before.unionByName(split_log_lines(batch))
         table.write(log_tail(rows, n=n), number)
 
-    return _start(stream, merge, checkpoint)
+    return _start(stream, merge, checkpoint, table)
 
 
 def keep_alerts(stream: DataFrame, table: VersionedTable, budget: int, checkpoint: str) -> StreamingQuery:
@@ -203,7 +218,7 @@ def keep_alerts(stream: DataFrame, table: VersionedTable, budget: int, checkpoin
         totals = totals.withColumn("total_cost", F.col("total_cost").cast("decimal(28,6)"))
         table.write(totals.withColumn("alert", F.col("total_tokens") >= budget * 0.8), number)
 
-    return _start(stream, merge, checkpoint)
+    return _start(stream, merge, checkpoint, table)
 
 
 def to_memory(aggregate: DataFrame, mode: str = "complete") -> tuple[StreamingQuery, str]:

@@ -50,6 +50,20 @@ def test_progress_upsert_and_replay(spark, folder, tmp_path):
     assert rows(table.read()) == want
 
 
+def test_a_fresh_checkpoint_goes_on_from_the_state_it_finds(spark, folder, tmp_path):
+    table = E.VersionedTable(spark, str(tmp_path / "progress"))
+    E.keep_progress(stream(spark, folder, "progress"), table, str(tmp_path / "c1")).awaitTermination()
+    before = {(r.run, r.agent) for r in table.read().collect()}
+    later = tmp_path / "later"
+    later.mkdir()
+    row = {"seq": 99, "ts": "2024-01-02T00:00:00", "run": "run9", "event": "progress", "payload": json.dumps({"agent": "new", "status": "s"})}
+    (later / "0.json").write_text(json.dumps(row))
+    E.keep_progress(stream(spark, later, "progress"), table, str(tmp_path / "c2")).awaitTermination()
+    assert {(r.run, r.agent) for r in table.read().collect()} == before | {("run9", "new")}
+    # The same checkpoint again has nothing new to do and begins where it began.
+    assert table.base(str(tmp_path / "c2")) > table.base(str(tmp_path / "c1")) == 0
+
+
 @pytest.mark.parametrize("kind,state", [("cost", E.running_totals), ("finding", E.finding_counts)])
 def test_running_state(spark, folder, kind, state):
     query, name = E.to_memory(state(stream(spark, folder, kind)))
