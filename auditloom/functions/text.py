@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditloom import rules
 
 WHITESPACE = " \t\n\r\f\x0b"
-TAG = r"</?[a-zA-Z][\w-]*[^>]*>"
+TAG = rules.TAG
 
 
 def col(value: str | Column) -> Column:
@@ -84,19 +84,16 @@ def escape_tags(text: str | Column) -> Column:
 def sanitize_markdown(text: str | Column) -> Column:
     """Disarm headings, rules, quotes, bold labels and tags; null becomes the empty string."""
     c = F.coalesce(col(text), F.lit(""))
-    c = F.regexp_replace(c, rf"(?m)^(#{{1,6}})[{rules.SPACES}]", r"$1\\# ")
-    c = F.regexp_replace(c, rf"(?m)^---+[{rules.SPACES}]*$", r"\\---")
-    c = F.regexp_replace(c, rf"(?m)^===+[{rules.SPACES}]*$", r"\\===")
-    c = F.regexp_replace(c, r"(?m)^> ", r"\\> ")
-    c = F.regexp_replace(c, r"\*\*([A-Z][A-Za-z ]*:)\*\*", "$1")
-    return F.regexp_replace(c, TAG, "[tag-stripped]")
+    for pattern, new in rules.MARKDOWN_ESCAPES:
+        c = F.regexp_replace(c, pattern, new)
+    return c
 
 
 def sanitize_plain(text: str | Column) -> Column:
     """One line of allow-listed characters, at most 500 of them."""
     c = F.coalesce(col(text), F.lit(""))
     c = F.regexp_replace(c, r"[\n\r]", " ")
-    return first_chars(F.regexp_replace(c, rf"[^a-zA-Z0-9{rules.SPACES}/._:@\-]", ""), 500)
+    return first_chars(F.regexp_replace(c, rules.NOT_PLAIN, ""), 500)
 
 
 def sanitize_scope_notes(text: str | Column) -> Column:

@@ -192,8 +192,8 @@ def price_feeds(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content"
 
 def _accounts_of(statement: Column) -> dict[str, Column]:
     return {
-        "source_account": first_chars(strip(captured(statement, r"from\s*:\s*([^,}]+)", 1)), 100),
-        "dest_account": first_chars(strip(captured(statement, r"to\s*:\s*([^,}]+)", 1)), 100),
+        "source_account": first_chars(strip(captured(statement, R.SOURCE_ACCOUNT, 1)), 100),
+        "dest_account": first_chars(strip(captured(statement, R.DEST_ACCOUNT, 1)), 100),
     }
 
 
@@ -216,7 +216,7 @@ def value_flows(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content"
         "__fn": F.when(family == "token", function_context()),
         "__match": F.when(F.col("rule") == R.BALANCE_WRITES[0].id, matched()),
     })
-    declared = F.rlike("__line", F.lit(r"^\s*(?:pub\s+)?(?:fn|async\s+fn)\s+"))
+    declared = F.rlike("__line", F.lit(R.DECLARATION))
     detail = R.BALANCE_WRITES[0].regex
     return hits.filter((family != "vault") | ~declared).select(
         *keys, F.col("rule").alias("type"), "line",
@@ -266,8 +266,8 @@ def state_guards(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content
     context = strip(matched())
     return scan_matches(corpus, R.STATE_GUARDS, keys, text).select(
         *keys, F.lit("state_guard").alias("type"), "line", first_chars(context, 300).alias("context"),
-        captured(context, r"==\s*(\w+(?:::\w+)?)", 1).alias("expected_state"),
-        captured(context, r",\s*(\w+(?:::\w+)?)\s*\)$", 1).alias("error_code"),
+        captured(context, R.EXPECTED_STATE, 1).alias("expected_state"),
+        captured(context, R.ERROR_CODE, 1).alias("error_code"),
     )
 
 
