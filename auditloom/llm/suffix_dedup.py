@@ -5,7 +5,7 @@ every string of ``LENGTH`` bytes starts ``WINDOW`` grams of ``GRAM`` bytes, and
 leftmost among equals, is a sample, so equal strings hold equal samples at equal offsets. Sampled grams get
 names, only names that occur again go on, and the suffixes that start up to ``WINDOW - 1`` bytes before such a sample
 are merged with those of the same name: their first ``LENGTH`` bytes are compared in sorted order with their neighbours.
-A name with more than ``GROUP`` different surroundings is halved by offsets, each half named by the longer string that
+A name with more than ``GROUP`` different surroundings is cut into ranges of offsets, each named by the longer string that
 all its suffixes share, until it fits or one offset is left; so no task holds an unbounded group.
 
 A text is its UTF-8 bytes, null is empty; matches never cross documents, and may overlap inside one. Each row is a document
@@ -26,7 +26,7 @@ from auditloom.llm.common import Prefix, as_long, cut, mix, powers, utf8
 
 LENGTH, GRAM = 400, 232
 WINDOW = LENGTH - GRAM + 1
-GROUP = 2048
+GROUP, FAN = 2048, 8
 #: Bits of the map of repeated names; its size is the same for every corpus, and a false hit costs a row, no result.
 MAP_BITS, WORD = 26, 32_768
 _SEGMENT = 1 << 22  # bytes of one text that are hashed at a time, so that a position fits beside a hash
@@ -98,57 +98,77 @@ def _occurrence(row: int, around: int, pos: int) -> int:
     return _hash(row.to_bytes(8, "little", signed=True) + around.to_bytes(8, "little", signed=True) + pos.to_bytes(8, "little"))
 
 
-def _around(text: bytes, pos: int) -> tuple[int, bytes]:
-    low = max(pos - WINDOW + 1, 0)
-    block = text[low:pos + LENGTH]
-    return _hash(block + bytes([pos - low])), block
+def _parts(low: int, high: int) -> list[tuple[int, int]]:
+    """A range of offsets in at most ``FAN`` pieces."""
+    step = -(-(high - low + 1) // FAN)
+    return [(at, min(at + step - 1, high)) for at in range(low, high + 1, step)]
 
 
-def _standing(shared):
+def _items(text: bytes, names_map: np.ndarray, large_maps: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """Samples ``(pos, low, high, name)`` with a repeated name; those that the maps call too large in pieces.
+
+    A piece is named by what all its strings share, and kept only if one of them lies in the text.
+    """
+    where, names = samples(text)
+    again = _marked(names_map, names)
+    items = [(pos, 0, WINDOW - 1, name) for pos, name in zip(where[again].tolist(), as_long(names[again]).tolist())]
+    for large in large_maps:
+        split = _marked(large, np.array([item[3] for item in items], np.int64).view(np.uint64))
+        pieces = []
+        for pos, low, high, _ in (items[n] for n in split):
+            for first, last in _parts(low, high):
+                if max(first, pos + LENGTH - len(text)) <= min(last, pos):
+                    pieces.append((pos, first, last, _hash(text[pos - first:pos - last + LENGTH] + bytes([first, last]))))
+        items = pieces
+    return items
+
+
+def _around(text: bytes, pos: int, low: int, high: int) -> tuple[int, bytes]:
+    """The bytes that strings of these offsets cover, and their hash with the place of the sample in them."""
+    begin = max(pos - high, 0)
+    block = text[begin:pos - low + LENGTH]
+    return _hash(block + bytes([pos - begin])), block
+
+
+def _standing(names_map, large_maps: list):
     """Where samples with repeated names stand, with the hash of their surroundings."""
     def run(batches):
-        bits = shared.value
+        maps = [m.value for m in large_maps]
         for batch in batches:
-            out = {c: [] for c in ("row", "name", "around", "pos", "size", "occurrence")}
+            out = {c: [] for c in _PLACES.names}
             for row, text in zip(batch.column("row").to_pylist(), utf8(batch.column("text"))):
-                if len(text) < LENGTH:
-                    continue
-                where, names = samples(text)
-                again = _marked(bits, names)
-                for pos, name in zip(where[again].tolist(), as_long(names[again]).tolist()):
-                    around, block = _around(text, pos)
-                    for column, value in zip(out.values(), (row, name, around, pos, len(block), _occurrence(row, around, pos))):
+                for pos, low, high, name in _items(text, names_map.value, maps) if len(text) >= LENGTH else ():
+                    around, block = _around(text, pos, low, high)
+                    for column, value in zip(out.values(), (row, name, around, pos, low, high, len(block), _occurrence(row, around, pos))):
                         column.append(value)
             yield pa.RecordBatch.from_pydict(out, schema=_PLACES)
     return run
 
 
-def _surrounding(names_map, wanted_map):
+def _surrounding(names_map, large_maps: list, wanted_map):
     """The surroundings of the samples that a bit map of occurrences asks for."""
     def run(batches):
-        bits, wanted = names_map.value, wanted_map.value
+        maps = [m.value for m in large_maps]
         for batch in batches:
-            out, held = {c: [] for c in ("name", "around", "at", "block")}, 0
+            out, held = {c: [] for c in _KEYED.names}, 0
             for row, text in zip(batch.column("row").to_pylist(), utf8(batch.column("text"))):
-                if len(text) < LENGTH:
-                    continue
-                where, names = samples(text)
-                again = _marked(bits, names)
-                found = [(name, *_around(text, pos), pos) for pos, name in zip(where[again].tolist(), as_long(names[again]).tolist())]
-                asked = _marked(wanted, np.array([_occurrence(row, around, pos) for _, around, _, pos in found], np.int64).view(np.uint64))
-                for name, around, block, pos in (found[n] for n in asked):
-                    for column, value in zip(out.values(), (name, around, min(pos, WINDOW - 1), block)):
+                items = _items(text, names_map.value, maps) if len(text) >= LENGTH else []
+                found = [(*item, *_around(text, *item[:3])) for item in items]
+                asked = _marked(wanted_map.value, np.array([_occurrence(row, f[4], f[0]) for f in found], np.int64).view(np.uint64))
+                for pos, low, high, name, around, block in (found[n] for n in asked):
+                    for column, value in zip(out.values(), (name, around, min(pos, high), low, high, block)):
                         column.append(value)
                     held += len(block)
                 if held > 1 << 24:
-                    yield pa.RecordBatch.from_pydict(out, schema=_BLOCKS)
+                    yield pa.RecordBatch.from_pydict(out, schema=_KEYED)
                     out, held = {c: [] for c in out}, 0
-            yield pa.RecordBatch.from_pydict(out, schema=_BLOCKS)
+            yield pa.RecordBatch.from_pydict(out, schema=_KEYED)
     return run
 
 
-_BLOCKS = pa.schema([("name", pa.int64()), ("around", pa.int64()), ("at", pa.int32()), ("block", pa.binary())])
-_PLACES = pa.schema([("row", pa.int64()), ("name", pa.int64()), ("around", pa.int64()), ("pos", pa.int64()), ("size", pa.int64()), ("occurrence", pa.int64())])
+_PLACES = pa.schema([("row", pa.int64()), ("name", pa.int64()), ("around", pa.int64()), ("pos", pa.int64()), ("low", pa.int32()), ("high", pa.int32()),
+                     ("size", pa.int32()), ("occurrence", pa.int64())])
+_KEYED = pa.schema([("key", pa.int64()), ("around", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("block", pa.binary())])
 _FOUND = pa.schema([("around", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
 
@@ -216,48 +236,24 @@ def _merged(batches):
         yield from solve(kept)
 
 
-def _halved(batches):
-    """Two rows for each: the lower and the upper half of its offsets, each named by what all its strings share."""
-    for batch in batches:
-        out = {c: [] for c in ("key", "around", "at", "low", "high", "block")}
-        for row in batch.to_pylist():
-            middle = (row["low"] + row["high"]) // 2
-            for low, high in ((row["low"], middle), (middle + 1, row["high"])):
-                low_fit, high_fit = max(low, row["at"] + LENGTH - len(row["block"])), min(high, row["at"])
-                if low_fit <= high_fit:  # strings of these offsets all lie over [at - low, at - high + LENGTH)
-                    common = row["block"][max(row["at"] - low, 0):max(row["at"] - high + LENGTH, 0)]
-                    for column, value in zip(out.values(), (_hash(common + bytes([low, high])), row["around"], row["at"], low, high, row["block"])):
-                        column.append(value)
-        yield pa.RecordBatch.from_pydict(out, schema=_KEYED)
-
-
-_KEYED = pa.schema([("key", pa.int64()), ("around", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("block", pa.binary())])
-_KEYED_SQL = "key long, around long, at int, low int, high int, block binary"
-
-
-def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "around long, first int, last int")
-
-
-def repeated_offsets(blocks: DataFrame, around: DataFrame) -> DataFrame:
-    """From samples ``(name, around, at, block)``: runs of offsets whose strings occur again, ``(around, first, last)``.
-
-    ``around`` lists the same names and surroundings and tells which names are too large for one task.
-    """
-    left = blocks.select(F.col("name").alias("key"), "around", "at", F.lit(0).alias("low"), F.lit(WINDOW - 1).alias("high"), "block")
-    large = cut(around.groupBy(F.col("name").alias("key")).count().where(F.col("count") > GROUP).select("key"))
-    done: DataFrame | None = None
-    while True:
-        hot = not large.isEmpty()
-        found = cut(_sorted(left.join(large, "key", "left_anti") if hot else left))
-        done = found if done is None else done.union(found)
-        if not hot:
-            return done
-        rest = left.join(large, "key", "left_semi")
-        single = rest.where("low = high")  # the key is the string itself, and it stands at more than one place
-        done = done.union(single.select("around", F.col("low").alias("first"), F.col("high").alias("last")))
-        left = cut(rest.where("low < high").mapInArrow(_halved, _KEYED_SQL))
-        large = cut(left.select("key", "around").distinct().groupBy("key").count().where(F.col("count") > GROUP).select("key"))
+def _spans(texts: DataFrame, names_map, large_maps: list) -> tuple[DataFrame, DataFrame]:
+    """Removed stretches ``(row, start, end)`` that this level finds, and the names it leaves to the next one."""
+    places = cut(texts.mapInArrow(_standing(names_map, large_maps), "row long, name long, around long, pos long, low int, high int, size int, occurrence long"))
+    # Surroundings that stand in several places say it all by themselves. Those that stand once must be compared with
+    # one of each of the others of their name; nothing else is sent.
+    around = cut(places.groupBy("name", "around", "low", "high").agg(
+        F.count(F.lit(1)).alias("n"), F.min("occurrence").alias("value"), F.min("pos").alias("pos"), F.min("size").alias("size")))
+    names = cut(around.groupBy("name").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least")).where("different > 1 AND least = 1"))
+    asked = around.join(names.where(F.col("different") <= GROUP), "name", "left_semi").select("value")
+    wanted_map = texts.sparkSession.sparkContext.broadcast(bit_map(asked))  # MAP_BITS fixes its size
+    blocks = texts.mapInArrow(_surrounding(names_map, large_maps, wanted_map), "key long, around long, at int, low int, high int, block binary")
+    compared = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "around long, first int, last int")
+    at = F.least("pos", "high")
+    everywhere = around.where("n > 1").select("around", F.greatest(F.col("low"), at + LENGTH - F.col("size")).cast("int").alias("first"),
+                                              at.cast("int").alias("last")).where("first <= last")
+    runs = cut(compared.union(everywhere).distinct())
+    spans = places.join(runs, "around").select("row", (F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + LENGTH).alias("end"))
+    return spans, names.where(F.col("different") > GROUP).select(F.col("name").alias("value"))
 
 
 def _cleaned(batches):
@@ -286,23 +282,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans."""
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     spark = docs.sparkSession.sparkContext
-    names_map = spark.broadcast(repeated_names(docs))  # MAP_BITS fixes the size of both maps
-    places = cut(texts.mapInArrow(_standing(names_map), "row long, name long, around long, pos long, size long, occurrence long"))
-    # Surroundings that stand in several places say it all by themselves. Those that stand once must be compared with
-    # one of each of the others of their name; nothing else is sent.
-    around = cut(places.groupBy("name", "around").agg(F.count(F.lit(1)).alias("n"), F.min("occurrence").alias("value"),
-                                                      F.least(F.min("pos"), F.lit(WINDOW - 1)).alias("at"), F.min("size").alias("size")))
-    names = around.groupBy("name").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least")).where("different > 1 AND least = 1").select("name")
-    asked = cut(around.join(cut(names), "name", "left_semi").select("name", "around", "value"))
-    wanted_map = spark.broadcast(bit_map(asked))
-    blocks = texts.mapInArrow(_surrounding(names_map, wanted_map), "name long, around long, at int, block binary")
-    compared = repeated_offsets(blocks, asked)
-    everywhere = around.where("n > 1").select(
-        "around", F.greatest(F.lit(0), F.col("at") + LENGTH - F.col("size")).cast("int").alias("first"),
-        F.least(F.col("at"), F.lit(WINDOW - 1)).cast("int").alias("last")).where("first <= last")
-    runs = cut(compared.union(everywhere).distinct())
-    spans = (places.join(runs, "around")
-             .select("row", F.struct((F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + LENGTH).alias("end")).alias("run"))
-             .groupBy("row").agg(F.collect_set("run").alias("runs")))  # a text holds these
+    names_map, large_maps = spark.broadcast(repeated_names(docs)), []  # MAP_BITS fixes the size of the maps
+    spans, large = _spans(texts, names_map, large_maps)
+    while not large.isEmpty():  # offsets are halved thrice a level, so there are at most four
+        large_maps = [*large_maps, spark.broadcast(bit_map(large))]
+        more, large = _spans(texts, names_map, large_maps)
+        spans = spans.union(more)
+    spans = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("runs"))  # a text holds these
     return (texts.join(spans, "row", "left").select("doc_id", "text", "runs")
             .mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"))
