@@ -130,11 +130,19 @@ def _around(text: bytes, pos: int, low: int, high: int) -> tuple[int, bytes]:
     return _hash(block + bytes([pos - begin])), block
 
 
-def _standing(names_map, large_maps: list):
+def _chosen(batch: pa.RecordBatch, rows_map) -> pa.RecordBatch:
+    """The texts whose rows a bit map asks for; only these need be hashed again."""
+    if rows_map is None or not batch.num_rows:
+        return batch
+    return batch.take(pa.array(_marked(rows_map.value, batch.column("row").to_numpy().view(np.uint64))))
+
+
+def _standing(names_map, large_maps: list, rows_map):
     """Where samples with repeated names stand, with the hash of their surroundings."""
     def run(batches):
         maps = [m.value for m in large_maps]
         for batch in batches:
+            batch = _chosen(batch, rows_map)
             out = {c: [] for c in _PLACES.names}
             for row, text in zip(batch.column("row").to_pylist(), utf8(batch.column("text"))):
                 for pos, low, high, name in _items(text, names_map.value, maps) if len(text) >= LENGTH else ():
@@ -145,11 +153,12 @@ def _standing(names_map, large_maps: list):
     return run
 
 
-def _surrounding(names_map, large_maps: list, wanted_map):
+def _surrounding(names_map, large_maps: list, rows_map, wanted_map):
     """The surroundings of the samples that a bit map of occurrences asks for."""
     def run(batches):
         maps = [m.value for m in large_maps]
         for batch in batches:
+            batch = _chosen(batch, rows_map)
             out, held = {c: [] for c in _KEYED.names}, 0
             for row, text in zip(batch.column("row").to_pylist(), utf8(batch.column("text"))):
                 items = _items(text, names_map.value, maps) if len(text) >= LENGTH else []
@@ -236,24 +245,27 @@ def _merged(batches):
         yield from solve(kept)
 
 
-def _spans(texts: DataFrame, names_map, large_maps: list) -> tuple[DataFrame, DataFrame]:
-    """Removed stretches ``(row, start, end)`` that this level finds, and the names it leaves to the next one."""
-    places = cut(texts.mapInArrow(_standing(names_map, large_maps), "row long, name long, around long, pos long, low int, high int, size int, occurrence long"))
+def _spans(texts: DataFrame, names_map, large_maps: list, rows_map=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Removed stretches ``(row, start, end)`` that this level finds, the names it leaves to the next one, and their rows."""
+    places = cut(texts.mapInArrow(_standing(names_map, large_maps, rows_map), "row long, name long, around long, pos long, low int, high int, size int, occurrence long"))
     # Surroundings that stand in several places say it all by themselves. Those that stand once must be compared with
     # one of each of the others of their name; nothing else is sent.
     around = cut(places.groupBy("name", "around", "low", "high").agg(
-        F.count(F.lit(1)).alias("n"), F.min("occurrence").alias("value"), F.min("pos").alias("pos"), F.min("size").alias("size")))
+        F.count(F.lit(1)).alias("n"), F.min("occurrence").alias("value"), F.min_by("row", "occurrence").alias("row"), F.min("pos").alias("pos"), F.min("size").alias("size")))
     names = cut(around.groupBy("name").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least")).where("different > 1 AND least = 1"))
-    asked = around.join(names.where(F.col("different") <= GROUP), "name", "left_semi").select("value")
-    wanted_map = texts.sparkSession.sparkContext.broadcast(bit_map(asked))  # MAP_BITS fixes its size
-    blocks = texts.mapInArrow(_surrounding(names_map, large_maps, wanted_map), "key long, around long, at int, low int, high int, block binary")
+    asked = around.join(names.where(F.col("different") <= GROUP), "name", "left_semi").select("value", "row")
+    share = texts.sparkSession.sparkContext.broadcast  # MAP_BITS fixes the size of the maps
+    asked = cut(asked)
+    wanted_map, asked_rows = share(bit_map(asked)), share(bit_map(asked.select(F.col("row").alias("value"))))
+    blocks = texts.mapInArrow(_surrounding(names_map, large_maps, asked_rows, wanted_map), "key long, around long, at int, low int, high int, block binary")
     compared = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "around long, first int, last int")
     at = F.least("pos", "high")
     everywhere = around.where("n > 1").select("around", F.greatest(F.col("low"), at + LENGTH - F.col("size")).cast("int").alias("first"),
                                               at.cast("int").alias("last")).where("first <= last")
     runs = cut(compared.union(everywhere).distinct())
     spans = places.join(runs, "around").select("row", (F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + LENGTH).alias("end"))
-    return spans, names.where(F.col("different") > GROUP).select(F.col("name").alias("value"))
+    large = names.where(F.col("different") > GROUP).select("name")
+    return spans, large.select(F.col("name").alias("value")), places.join(large, "name", "left_semi").select(F.col("row").alias("value"))
 
 
 def _cleaned(batches):
@@ -283,10 +295,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     spark = docs.sparkSession.sparkContext
     names_map, large_maps = spark.broadcast(repeated_names(docs)), []  # MAP_BITS fixes the size of the maps
-    spans, large = _spans(texts, names_map, large_maps)
+    spans, large, rows = _spans(texts, names_map, large_maps)
     while not large.isEmpty():  # offsets are halved thrice a level, so there are at most four
         large_maps = [*large_maps, spark.broadcast(bit_map(large))]
-        more, large = _spans(texts, names_map, large_maps)
+        more, large, rows = _spans(texts, names_map, large_maps, spark.broadcast(bit_map(rows)))
         spans = spans.union(more)
     spans = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("runs"))  # a text holds these
     return (texts.join(spans, "row", "left").select("doc_id", "text", "runs")
