@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.llm import (
-    embedding_dedup, mixing, ngram_join, piece_codec, quality_classifier, quality_rules, secret_scan, suffix_dedup,
-    url_filter, warc,
+    divergence, embedding_dedup, mixing, ngram_join, piece_codec, quality_classifier, quality_rules, secret_scan, spelling,
+    suffix_dedup, url_filter, warc, winnowing,
 )
 from auditloom.llm.common import table
 
@@ -136,3 +136,59 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL["op11_benchmark_decontamination"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (
+    SELECT item, w, least(len(w), {winnowing.WINDOW}) AS m, unnest(range(1, len(w) - least(len(w), {winnowing.WINDOW}) + 2)) AS i FROM items WHERE len(w) > 0)),
+places AS (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS g FROM (
+    SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)),
+hits AS (SELECT r, m, i, g FROM places WHERE g IN (SELECT g FROM windows)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (
+    SELECT DISTINCT r, item FROM hits JOIN windows USING (g)) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    coalesce(digest, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)"""
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+_LEVEL = f"CAST(1 + (CAST({divergence.SCALE} AS HUGEINT) * ({{0}} + 1)) // ({{1}} + {{2}}) AS HUGEINT)"
+SQL["op12_source_divergence"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCUMENTS}),
+used AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+langs AS (SELECT lang, CAST(coalesce(sum(lang_n), 0) AS HUGEINT) AS total, count(term) AS v FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang),
+counts AS (SELECT lang, source, term, coalesce(n, 0) AS n, lang_n FROM groups JOIN kept USING (lang) LEFT JOIN used USING (lang, source, term)),
+totals AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM counts GROUP BY lang, source),
+levels AS (SELECT c.lang, c.source, c.term, c.n, {_LEVEL.format('c.n', 't.total', 'l.v')} AS p, {_LEVEL.format('c.lang_n', 'l.total', 'l.v')} AS q
+           FROM counts AS c JOIN totals AS t USING (lang, source) JOIN langs AS l USING (lang)),
+distances AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+              FROM levels AS a JOIN levels AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN distances AS d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM levels WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
