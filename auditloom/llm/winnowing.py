@@ -2,10 +2,10 @@
 
 An item's windows are its runs of ``WINDOW`` words; an item with fewer words, but not none, is one window. Every run of
 ``WINDOW`` words holds ``SPAN`` grams of ``GRAM`` words, and those with the smallest hash are its fingerprints, so two equal
-runs share one at the same offset. An item that is shorter than a window is its own gram, looked for at every position. Fingerprints
-of documents and items are joined as narrow rows; a hit is then extended to every window that holds it, and the windows
-are compared as text. Spark broadcasts a side where its stored size allows it, and else shuffles narrow rows (fingerprints)
-and the texts with a hit. All of it runs on DataFrame functions.
+runs share one at the same offset. An item that is shorter than a window is its own gram, looked for at every position. The fingerprints
+of the items are counted and go to the tasks in parts of bounded size, one pass over the documents for each part, so no text is shuffled; a
+hit takes along the words around it and is extended to every window that holds it, and the windows are compared as text.
+All of it runs on DataFrame functions.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. Null and empty texts have no
 words. Each row is a document of its own; rows that repeat an id and a text get the same result. Items that share an id count
@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
 
-# An inner explode would make the optimizer filter on the size of its array, and repeat the array's expression in that filter.
-_FINGERPRINTS = "array<struct<pos:int,width:int,gram:bigint>>"
+#: Fingerprints of items that are sent to the tasks at a time, 8 bytes each; more take more passes over the documents.
+PART = 1 << 22
+#: Gram and width of an entry that every document has, so that one pass yields the documents' word counts too.
+_ENTRY, _NO_WIDTH = 0, 0
+
+# An inner explode would make the optimizer filter on the size of its array, and repeat the array's expression in that
+# filter; so all explodes here are outer ones.
 
 
 def words(text: Column) -> Column:
@@ -47,23 +51,20 @@ def _grams(width: int) -> Column:
     return F.transform(_from_one(F.size("h") - (width - 1)), lambda i: F.xxhash64(F.slice("h", i, width), F.lit(width)))
 
 
-def _placed(width: int) -> Column:
-    return F.transform(_grams(width), lambda gram, i: F.struct((i + 1).alias("pos"), F.lit(width).alias("width"), gram.alias("gram")))
+def _prints(width: int, grams: str, places: Column) -> Column:
+    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.element_at(grams, i).alias("gram")))
 
 
 def fingerprints(texts: DataFrame, widths: list[int], *columns: str) -> DataFrame:
     """``texts(words, …)`` with ``prints``: position, width and hash of each winnowed gram and of each run of ``widths`` words."""
     hashed = texts.select(*columns, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    shorter = [_placed(width).cast(_FINGERPRINTS) for width in widths]
-    gram = hashed.select(*columns, _grams(GRAM).alias("g"), *[c.alias(f"s{n}") for n, c in enumerate(shorter)])
-    least = gram.select("*", F.transform(_from_one(F.size("g") - (SPAN - 1)), lambda i: F.array_min(F.slice("g", i, SPAN))).alias("least"))
+    grams = hashed.select(*columns, _grams(GRAM).alias("g"), *[_grams(width).alias(f"g{width}") for width in widths])
+    least = grams.select("*", F.transform(_from_one(F.size("g") - (SPAN - 1)), lambda i: F.array_min(F.slice("g", i, SPAN))).alias("least"))
     # A gram is a fingerprint if it is the smallest of some window, that is if it equals the largest minimum around it.
-    chosen = F.filter(
-        F.transform("g", lambda value, i: F.struct(
-            (i + 1).alias("pos"), F.lit(WINDOW).alias("width"),
-            F.when(F.array_max(F.slice("least", F.greatest(i + 2 - SPAN, F.lit(1)), F.least(i + 1, F.lit(SPAN)))) == value, value).alias("gram"))),
-        lambda p: p["gram"].isNotNull() & (F.size("least") > 0)).cast(_FINGERPRINTS)
-    return least.select(*columns, F.concat(chosen, *[F.col(f"s{n}") for n in range(len(widths))]).alias("prints"))
+    places = F.filter(_from_one(F.when(F.size("least") > 0, F.size("g")).otherwise(0)), lambda i: F.array_max(
+        F.slice("least", F.greatest(i + 1 - SPAN, F.lit(1)), F.least(i, F.lit(SPAN)))) == F.element_at("g", i))
+    return least.select(*columns, F.concat(_prints(WINDOW, "g", places), *[
+        _prints(width, f"g{width}", _from_one(F.size(f"g{width}"))) for width in widths]).alias("prints"))
 
 
 def _row(doc_id: Column, text: Column) -> Column:
@@ -80,8 +81,8 @@ def item_windows(items: DataFrame) -> DataFrame:
                 F.slice("words", i, F.least(F.size("words"), F.lit(WINDOW))), " "))).alias("window")).distinct())
 
 
-def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Windows of items that occur in documents, ``(row, start, width, window)``, and the windows of the items."""
+def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows of items that occur in documents, ``(row, start, width, window)``, the windows of the items, and ``(doc_id, row, n_words)``."""
     windows = stored(item_windows(items))
     widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most WINDOW of them
     shorter = [width for width in widths if width < WINDOW]
@@ -94,25 +95,34 @@ def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
         wanted = wanted.union(part)
     wanted = stored(wanted.distinct())
 
-    texts = docs.select(_row(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    prints = fingerprints(texts.select("row", words(F.col("text")).alias("words")), shorter, "row")
-    flagged = stored(prints.select("row", F.explode_outer("prints").alias("p")).select("row", "p.pos", "p.width", "p.gram")
-                     .join(wanted, "gram", "left_semi").groupBy("row").agg(F.collect_set(F.struct("pos", "width")).alias("at")))  # a text holds these
-    held = texts.join(flagged, "row").select("row", "at", words(F.col("text")).alias("words"))
-    starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.transform(F.when(
-        p["width"] == WINDOW, F.sequence(F.greatest(p["pos"] - (SPAN - 1), F.lit(1)), F.least(p["pos"], F.size("words") - (WINDOW - 1))))
-        .otherwise(F.array(p["pos"])), lambda start: F.shiftleft(start.cast("long"), 4) + p["width"]))))  # numbers, which are told apart by hashing
-    around = held.select("row", "words", starts.alias("starts"))
-    start, width = (lambda s: F.shiftright(s, 4).cast("int")), (lambda s: s.bitwiseAND(F.lit(15)).cast("int"))
-    extended = around.select("row", F.explode_outer(F.transform("starts", lambda s: F.struct(
-        start(s).alias("start"), width(s).alias("width"),
-        F.when(F.size("words") > 0, F.array_join(F.slice("words", start(s), width(s)), " ")).alias("window")))).alias("w")).select("row", "w.*")
-    return stored(extended.join(windows.select("window").distinct(), "window", "left_semi").distinct()), windows
+    texts = docs.select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), words(F.col("text")).alias("words"))
+    entry = F.array(F.struct(F.lit(_NO_WIDTH).alias("pos"), F.lit(_NO_WIDTH).alias("width"), F.lit(_ENTRY).cast("long").alias("gram")))
+    prints = fingerprints(texts, shorter, "doc_id", "row", "words").select("doc_id", "row", "words", F.concat("prints", entry).alias("prints"))
+    places = prints.select("doc_id", "row", "words", F.explode_outer("prints").alias("p")).select("doc_id", "row", "words", "p.pos", "p.width", "p.gram")
+    passes = max(-(-wanted.count() // PART), 1)
+    met = None
+    for number in range(passes):
+        sent = wanted.where(F.pmod("gram", F.lit(passes)) == number) if passes > 1 else wanted
+        sent = sent.union(wanted.sparkSession.range(1 if number == 0 else 0).select(F.lit(_ENTRY).cast("long").alias("gram")))
+        found = places.join(F.broadcast(sent), "gram", "left_semi")  # about PART rows of one number
+        met = found if met is None else met.union(found)
+    first = F.greatest(F.col("pos") - (SPAN - 1), F.lit(1))
+    own = F.col("width") == WINDOW
+    known = stored(met.select(
+        "doc_id", "row", "width", F.when(F.col("width") == _NO_WIDTH, F.size("words")).alias("n_words"),
+        F.when(own, first).otherwise(F.col("pos")).alias("start"),
+        F.when(own, F.slice("words", first, F.col("pos") + WINDOW - first)).when(F.col("width") > 0, F.slice("words", "pos", "width")).alias("around")))
+    # Every window that holds the gram: at most SPAN of them, cut from the words around it.
+    extended = known.where(F.col("width") > 0).select("row", "width", F.col("start"), "around", F.explode_outer(
+        _from_one(F.size("around") - F.col("width") + 1)).alias("at")).select(
+        "row", (F.col("start") + F.col("at") - 1).alias("start"), "width", F.array_join(F.slice("around", F.col("at"), F.col("width")), " ").alias("window"))
+    counted = known.where(F.col("width") == _NO_WIDTH).select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"))
+    return stored(extended.join(windows.select("window").distinct(), "window", "left_semi").distinct()), windows, counted
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    found, windows = hits(docs, items)
+    found, windows, counted = hits(docs, items)
     inside = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(
         (F.col("start") - 1).alias("start"), (F.col("start") + F.col("width") - 1).alias("end")))).alias("runs"))  # a text holds these
     merged = inside.select("row", F.aggregate("runs", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n_hit")), lambda acc, run: F.struct(
@@ -121,8 +131,6 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     named = (found.select("row", "window").distinct().join(windows.select("window", "item"), "window").select("row", "item").distinct()
              .groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256")))
     known = merged.join(named, "row")
-    counted = docs.select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"),
-                          F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
     return counted.join(known, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
