@@ -30,7 +30,9 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 BREAK = re.compile(rb"[^A-Za-z\x80-\xff]")
 MIN_DOCUMENTS, SCALE, TOP = 3, 1_000_000_000, 200
 #: Bytes of a text that are split at a time, counters that a task holds, and pairs of sources that it expands at a time.
-PIECE, HELD, PAIRS = 1 << 20, 1 << 18, 1 << 20
+PIECE, HELD, PAIRS = 1 << 20, 1 << 19, 1 << 20
+#: One document, above the 44 bits of its occurrences.
+ONE, LOW = 1 << 44, (1 << 44) - 1
 
 _COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("digest", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 _COUNTED_SQL = "lang string, source string, digest long, term string, n long, docs long"
@@ -59,58 +61,67 @@ def digest(term: bytes, bits: int) -> int:
 
 def _counted(bits: int, clashing=None):
     """Counts by digest, and each term with its digest once; with a map of digests, counts by term of these digests alone."""
-    def rows(groups: dict, seen: set):
-        known = {term: digest(term, bits) for term in seen}
-        out = {c: [] for c in _COUNTED.names}
-
-        def put(*values):
-            for column, value in zip(out.values(), values):
-                column.append(value)
-
-        for (lang, source), (n, docs) in groups.items():
-            for term, count in n.items():
-                put(lang, source, known[term], term.decode() if clashing else None, count, docs[term])
-        if clashing:
-            keep = marked(clashing.value, np.array(out["digest"], np.int64).view(np.uint64))
-            yield pa.RecordBatch.from_pydict(out, schema=_COUNTED).take(pa.array(keep))
-            return
-        for term, value in known.items():
-            put(None, None, value, term.decode(), None, None)
-        yield pa.RecordBatch.from_pydict(out, schema=_COUNTED)
+    def rows(groups: dict, fresh: dict, known: dict):
+        for (lang, source), counts in groups.items():
+            size = len(counts)
+            packed = list(counts.values())
+            columns = [pa.array([lang] * size), pa.array([source] * size), pa.array([known[t] for t in counts], pa.int64()),
+                       pa.array([t.decode() for t in counts] if clashing else [None] * size, pa.string()),
+                       pa.array([v & LOW for v in packed], pa.int64()), pa.array([v >> 44 for v in packed], pa.int64())]
+            batch = pa.RecordBatch.from_arrays(columns, schema=_COUNTED)
+            yield batch.take(pa.array(marked(clashing.value, columns[2].to_numpy().view(np.uint64)))) if clashing else batch
+        if not clashing:
+            empty = [pa.nulls(len(fresh), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*empty[:2], pa.array(list(fresh.values()), pa.int64()), pa.array([t.decode() for t in fresh], pa.string()),
+                                              *empty[2:]], schema=_COUNTED)
 
     def run(batches):
-        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        seen: set[bytes] = set()
+        known: dict[bytes, int] = {}
+        groups: dict[tuple[str, str], dict[bytes, int]] = {}
+        fresh: dict[bytes, int] = {}
         held = 0
         for batch in batches:
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), utf8(batch.column("text"))):
-                n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-                counts = term_counts(text)
-                held -= len(n)
-                n.update(counts)
-                docs.update(counts.keys())
-                held += len(n)
-                seen.update(counts.keys())
+                own = groups.setdefault((lang, source), {})
+                held -= len(own)
+                get = own.get
+                for term, n in term_counts(text).items():
+                    if term not in known:
+                        known[term] = fresh[term] = digest(term, bits)
+                    own[term] = get(term, 0) + ONE + n  # documents above, occurrences below
+                held += len(own)
                 if held > HELD:
-                    yield from rows(groups, seen)
-                    groups, seen, held = {}, set(), 0
-        yield from rows(groups, seen)
+                    yield from rows(groups, fresh, known)
+                    groups, fresh, held = {}, {}, 0
+                    if len(known) > HELD:
+                        known.clear()
+        yield from rows(groups, fresh, known)
     return run
 
 
-def counted_terms(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """``(lang, source, digest, term, n, docs)``, the term being empty unless its digest stands for several, and ``(digest, low, high)``."""
+def _common(counts: DataFrame) -> DataFrame:
+    """Sums by source of the terms that their language keeps, with the language's sum as ``lang_n``; one shuffle serves all."""
+    term = ["lang", "digest", "term"]
+    summed = counts.repartition(*term).groupBy(*term, "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = Window.partitionBy(*term)
+    return (summed.select(*term, "source", "n", F.sum("n").over(whole).alias("lang_n"), F.sum("docs").over(whole).alias("docs"))
+            .where(F.col("docs") >= MIN_DOCUMENTS).drop("docs"))
+
+
+def common_terms(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``(lang, digest, term, source, n, lang_n)``, the term being empty unless its digest stands for several, and ``(digest, low, high)``."""
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     partial = stored(texts.mapInArrow(_counted(bits), _COUNTED_SQL))
-    names = stored(partial.where("term is not null").groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")))
-    counts = partial.where("term is null").withColumn("term", F.lit(""))
+    kept = stored(_common(partial.where("term is null").withColumn("term", F.lit(""))))
+    names = stored(partial.where("term is not null").join(kept.select("digest").distinct(), "digest", "left_semi")
+                   .groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")))
     clashing = names.where("low < high").select(F.col("digest").alias("value"))
     if not clashing.isEmpty():
         slots = docs.sparkSession.sparkContext.broadcast(bit_map(clashing))  # of fixed size; a false hit counts by text, no more
         again = texts.mapInArrow(_counted(bits, slots), _COUNTED_SQL)
         same = F.col("digest") == F.col("value")
-        counts = counts.join(clashing, same, "left_anti").union(again.join(clashing, same, "left_semi"))
-    return counts.groupBy("lang", "source", "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), names
+        kept = stored(kept.join(clashing, same, "left_anti").unionByName(_common(again.join(clashing, same, "left_semi"))))
+    return kept, names
 
 
 def level(count: str, total: str, kept: str) -> Column:
@@ -192,12 +203,9 @@ def _shared(batches):
 def audit(docs: DataFrame, bits: int = 64) -> DataFrame:
     """``(lang, source, part, item, value, rank)`` of ``docs(text, lang, source)``: how far each source is from each other one of
     its language (``pair``), and its ``TOP`` most overused terms against the language (``term``)."""
-    counts, names = counted_terms(docs, bits)
-    counts = stored(counts)
+    used, names = common_terms(docs, bits)
     term = ["lang", "digest", "term"]
-    common = stored(counts.groupBy(*term).agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCUMENTS).drop("docs"))
-    langs = common.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("v"))
-    used = counts.drop("docs").join(common, term)
+    langs = used.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_distinct("digest", "term").alias("v"))
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms"))
     groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
     none = F.lit(0).cast("long")
