@@ -30,78 +30,83 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 BREAK = re.compile(rb"[^A-Za-z\x80-\xff]")
 MIN_DOCUMENTS, SCALE, TOP = 3, 1_000_000_000, 200
 #: Bytes of a text that are split at a time, counters that a task holds, and pairs of sources that it expands at a time.
-PIECE, HELD, PAIRS = 1 << 20, 1 << 19, 1 << 20
-#: One document, above the 44 bits of its occurrences.
-ONE, LOW = 1 << 44, (1 << 44) - 1
+PIECE, HELD, PAIRS = 1 << 20, 400_000, 1 << 20
 
 _COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("digest", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 _COUNTED_SQL = "lang string, source string, digest long, term string, n long, docs long"
 _SHARED_SQL = "lang string, source string, item string, value long"
 
 
-def term_counts(text: bytes) -> Counter:
-    """Occurrences of each lower-cased term."""
-    counts: Counter = Counter()
+def pieces(text: bytes):
+    """The lower-cased terms of a text, a bounded piece at a time."""
     at = 0
     while at < len(text):
         end = at + PIECE
         if end < len(text):
             stop = BREAK.search(text, end)
             end = stop.start() if stop else len(text)
-        counts.update(TERM.findall(text[at:end].lower()))
+        yield TERM.findall(text[at:end].lower())
         at = end
-    return counts
 
 
-def digest(term: bytes, bits: int) -> int:
-    """The leading bits of a term's hash, as a signed number of 64 bits."""
-    value = xxhash.xxh3_64_intdigest(term) >> (64 - bits) << (64 - bits)
-    return value - (1 << 64) if value >= 1 << 63 else value
+def digests(terms, bits: int) -> np.ndarray:
+    """The leading bits of the terms' hashes, as signed numbers of 64 bits."""
+    values = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
+    return (values >> np.uint64(64 - bits) << np.uint64(64 - bits)).view(np.int64)
 
 
 def _counted(bits: int, clashing=None):
     """Counts by digest, and each term with its digest once; with a map of digests, counts by term of these digests alone."""
-    def rows(groups: dict, fresh: dict, known: dict):
-        for (lang, source), counts in groups.items():
-            size = len(counts)
-            packed = list(counts.values())
-            columns = [pa.array([lang] * size), pa.array([source] * size), pa.array([known[t] for t in counts], pa.int64()),
-                       pa.array([t.decode() for t in counts] if clashing else [None] * size, pa.string()),
-                       pa.array([v & LOW for v in packed], pa.int64()), pa.array([v >> 44 for v in packed], pa.int64())]
-            batch = pa.RecordBatch.from_arrays(columns, schema=_COUNTED)
-            yield batch.take(pa.array(marked(clashing.value, columns[2].to_numpy().view(np.uint64)))) if clashing else batch
-        if not clashing:
-            empty = [pa.nulls(len(fresh), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*empty[:2], pa.array(list(fresh.values()), pa.int64()), pa.array([t.decode() for t in fresh], pa.string()),
-                                              *empty[2:]], schema=_COUNTED)
+    def counts(lang: str, source: str, n: Counter, docs: Counter):
+        terms = list(n)
+        values = digests(terms, bits)
+        keep = marked(clashing.value, values.view(np.uint64)) if clashing else slice(None)
+        columns = (np.fromiter(n.values(), np.int64, len(terms)), np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms)))
+        names = [terms[k].decode() for k in keep] if clashing else [None] * len(terms)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(names), pa.string()), pa.array([source] * len(names), pa.string()), pa.array(values[keep]),
+             pa.array(names, pa.string()), *[pa.array(c[keep]) for c in columns]], schema=_COUNTED)
+
+    def names(terms: list):
+        none = [pa.nulls(len(terms), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+        text = pa.array(terms, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([*none[:2], pa.array(digests(terms, bits)), text, *none[2:]], schema=_COUNTED)
 
     def run(batches):
-        known: dict[bytes, int] = {}
-        groups: dict[tuple[str, str], dict[bytes, int]] = {}
-        fresh: dict[bytes, int] = {}
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        sent: set[bytes] = set()
         held = 0
+
+        def drain():
+            for key, (n, docs) in groups.items():
+                yield counts(*key, n, docs)
+                if not clashing:
+                    fresh = n.keys() - sent
+                    sent.update(fresh)
+                    yield names(list(fresh))
+            groups.clear()
+            if len(sent) > HELD:
+                sent.clear()
+
         for batch in batches:
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), utf8(batch.column("text"))):
-                own = groups.setdefault((lang, source), {})
-                held -= len(own)
-                get = own.get
-                for term, n in term_counts(text).items():
-                    if term not in known:
-                        known[term] = fresh[term] = digest(term, bits)
-                    own[term] = get(term, 0) + ONE + n  # documents above, occurrences below
-                held += len(own)
+                n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+                held -= len(n)
+                own: set[bytes] = set()
+                for terms in pieces(text):
+                    n.update(terms)
+                    own.update(terms)
+                docs.update(own)
+                held += len(n)
                 if held > HELD:
-                    yield from rows(groups, fresh, known)
-                    groups, fresh, held = {}, {}, 0
-                    if len(known) > HELD:
-                        known.clear()
-        yield from rows(groups, fresh, known)
+                    yield from drain()
+                    held = 0
+        yield from drain()
     return run
 
 
-def _common(counts: DataFrame) -> DataFrame:
+def _common(counts: DataFrame, *term: str) -> DataFrame:
     """Sums by source of the terms that their language keeps, with the language's sum as ``lang_n``; one shuffle serves all."""
-    term = ["lang", "digest", "term"]
     summed = counts.repartition(*term).groupBy(*term, "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     whole = Window.partitionBy(*term)
     return (summed.select(*term, "source", "n", F.sum("n").over(whole).alias("lang_n"), F.sum("docs").over(whole).alias("docs"))
@@ -112,7 +117,7 @@ def common_terms(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame]
     """``(lang, digest, term, source, n, lang_n)``, the term being empty unless its digest stands for several, and ``(digest, low, high)``."""
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     partial = stored(texts.mapInArrow(_counted(bits), _COUNTED_SQL))
-    kept = stored(_common(partial.where("term is null").withColumn("term", F.lit(""))))
+    kept = stored(_common(partial.where("term is null"), "lang", "digest").withColumn("term", F.lit("")))
     names = stored(partial.where("term is not null").join(kept.select("digest").distinct(), "digest", "left_semi")
                    .groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")))
     clashing = names.where("low < high").select(F.col("digest").alias("value"))
@@ -120,7 +125,7 @@ def common_terms(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame]
         slots = docs.sparkSession.sparkContext.broadcast(bit_map(clashing))  # of fixed size; a false hit counts by text, no more
         again = texts.mapInArrow(_counted(bits, slots), _COUNTED_SQL)
         same = F.col("digest") == F.col("value")
-        kept = stored(kept.join(clashing, same, "left_anti").unionByName(_common(again.join(clashing, same, "left_semi"))))
+        kept = stored(kept.join(clashing, same, "left_anti").unionByName(_common(again.join(clashing, same, "left_semi"), "lang", "digest", "term")))
     return kept, names
 
 
