@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditloom.llm.common import Prefix, as_long, ascii_lower, components, cut, named_number, ordered_name, row_labels, utf8
+from auditloom.llm.common import as_long, ascii_lower, components, cut, mix, named_number, ordered_name, row_labels, utf8
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Share of all hashes whose documents are counted, which exceeds the share that a document asks with; bits of the map of
@@ -41,10 +42,13 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     words = ascii_lower(text).split()
     if not words:
         return np.zeros(0, np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
     span = min(width, len(words))
-    return np.unique(Prefix(b" ".join(words)).hashes(starts[:len(words) - span + 1], ends[span - 1:]))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    count = len(words) - span + 1
+    found = np.full(count, span, np.uint64)
+    for k in range(span):  # each step mixes, so that order counts and no sum of words cancels another
+        found = mix(found ^ hashes[k:k + count])
+    return np.unique(found)
 
 
 def required(size: int) -> int:

@@ -105,6 +105,19 @@ def test_jaccard_join_matches_brute_force(spark, monkeypatch, block):
     assert ngram_join.links(docs.limit(0)).count() == 0
 
 
+def test_words_that_cancel_in_sums_of_powers_do_not_link(spark):
+    rows = []
+    for size in (1024, 2048):
+        word = "".join("ab"[bin(n).count("1") % 2] for n in range(size))
+        other = word.translate(str.maketrans("ab", "ba"))
+        rows += [(len(rows), word), (len(rows) + 1, other), (len(rows) + 2, " ".join([word] * 4 + [other])), (len(rows) + 3, " ".join([other] * 4 + [word]))]
+        rows += [(len(rows), " ".join(word)), (len(rows) + 1, " ".join(other))]
+    got = ngram_join.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = brute_shingles(rows)
+    assert sorted([(r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in got], key=str) == expected
+    assert {r.doc_id for r in got if r.n_links == 0} >= {0, 1, 2, 3, 6, 7, 8, 9}
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = near_texts()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit("x"))
