@@ -57,13 +57,8 @@ def match_spans(plain: str, regex: str) -> str:
         all -> all.blocks)), cast(array() AS {_SPAN})))[0]"""
 
 
-def scan_matches(corpus: DataFrame, rules: list[R.Rule], keys: list[str] = KEYS, text: str = "content") -> DataFrame:
-    """One row per match: keys, rule_no, rule, target, offset, length, line and the text itself.
-
-    All rules share one pass over the corpus. A rule with literals only runs its regex on texts
-    that hold one of them. The text stays on the row for context columns; drop it in the same
-    projection that reads it.
-    """
+def spans_of(rules: list[R.Rule], text: str):
+    """The array of (rule_no, offset, length, line) of a text's matches, and what names a rule's attribute by its number."""
     blind = any(rule.ignore_case and rule.literals for rule in rules)
 
     def numbered(number, rule):
@@ -84,6 +79,17 @@ def scan_matches(corpus: DataFrame, rules: list[R.Rule], keys: list[str] = KEYS,
         table = ", ".join("NULL" if value is None else _quote(value) for value in values)
         return F.expr(f"cast(array({table})[rule_no] AS STRING)").alias("rule" if attribute == "id" else attribute)
 
+    return spans, by_rule
+
+
+def scan_matches(corpus: DataFrame, rules: list[R.Rule], keys: list[str] = KEYS, text: str = "content") -> DataFrame:
+    """One row per match: keys, rule_no, rule, target, offset, length, line and the text itself.
+
+    All rules share one pass over the corpus. A rule with literals only runs its regex on texts
+    that hold one of them. The text stays on the row for context columns; drop it in the same
+    projection that reads it.
+    """
+    spans, by_rule = spans_of(rules, text)
     return (
         corpus.select(*keys, F.col(text).alias("__text"), F.explode(spans).alias("__s"))
         .select(*keys, "__text", "__s.*")
@@ -173,21 +179,24 @@ def _pack(rules: list[R.Rule], family: str) -> list[R.Rule]:
     return [dataclasses.replace(rule, target=family) for rule in rules]
 
 
+def _numbers(rules: list[R.Rule], *families: str) -> tuple[int, ...]:
+    return tuple(n for n, rule in enumerate(rules) if rule.target in families)
+
+
 def price_feeds(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
     """Three families of price-feed use in one pass; a guard a family does not test is null."""
-    guards = {"pyth": R.PYTH_GUARDS, "switchboard": R.SWITCHBOARD_GUARDS, "generic_oracle": {}}
+    guards = {"pyth": R.PYTH_GUARDS, "switchboard": R.SWITCHBOARD_GUARDS}
     rules = (_pack(R.PRICE_FEED_PYTH, "pyth") + _pack(R.PRICE_FEED_SWITCHBOARD, "switchboard")
              + _pack(R.PRICE_FEED_GENERIC, "generic_oracle"))
-    hits = scan_matches(corpus, rules, keys, text).filter((F.col("target") != "generic_oracle") | not_commented())
-    hits = hits.withColumn("__fn", F.when(F.col("target") != "generic_oracle", function_context()))
+    tests = [hit_index.Guard(f"{family}__{name}", regex, "function", _numbers(rules, family))
+             for family, tested in guards.items() for name, regex in tested.items()]
+    hits = hit_index.hits(corpus, rules, keys, text, {"context": None, "commented": _numbers(rules, "generic_oracle")}, tests)
 
     def flag(name):
-        tests = [F.when(F.col("target") == family, F.rlike("__fn", F.lit(tested[name])))
-                 for family, tested in guards.items() if name in tested]
-        return F.coalesce(*tests).alias(name)
+        return F.coalesce(*[F.col(f"{family}__{name}") for family, tested in guards.items() if name in tested]).alias(name)
 
-    return hits.select(*keys, F.col("target").alias("type"), F.col("rule").alias("pattern"), "line",
-                       line_context().alias("context"), *[flag(name) for name in R.PYTH_GUARDS])
+    return hits.filter(~F.coalesce("commented", F.lit(False))).select(
+        *keys, F.col("target").alias("type"), F.col("rule").alias("pattern"), "line", "context", *[flag(name) for name in R.PYTH_GUARDS])
 
 
 def _accounts_of(statement: Column) -> dict[str, Column]:
@@ -207,32 +216,27 @@ def value_flows(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content"
     packs = {"token": R.TOKEN_MOVES, "system": R.SYSTEM_TRANSFERS, "balance": R.BALANCE_WRITES, "vault": R.VAULT_CALLS}
     rules = [rule for family in families for rule in _pack(packs[family], family)]
     family = F.col("target")
-    moves = family.isin("token", "system")
-    semicolon = F.instr(after(), ";")
-    reach = F.when(semicolon == 0, F.lit(300)).otherwise(F.least(semicolon, F.lit(500)))
-    hits = scan_matches(corpus, rules, keys, text).filter((family != "vault") | not_commented()).withColumns({
-        "__statement": F.when(moves, strip(_statement(reach))),
-        "__line": F.when(~moves, line_context()),
-        "__fn": F.when(family == "token", function_context()),
-        "__match": F.when(F.col("rule") == R.BALANCE_WRITES[0].id, matched()),
-    })
-    declared = F.rlike("__line", F.lit(R.DECLARATION))
+    moves = _numbers(rules, "token", "system")
+    others = _numbers(rules, "balance", "vault")
+    vault, balance = _numbers(rules, "vault"), tuple(n for n, rule in enumerate(rules) if rule.id == R.BALANCE_WRITES[0].id)
+    contexts = {"statement": moves, "context": others, "commented": vault, "matched": balance}
+    guard = hit_index.Guard("has_amount_validation", R.AMOUNT_GUARD, "function", _numbers(rules, "token"))
+    hits = hit_index.hits(corpus, rules, keys, text, {name: numbers or (-1,) for name, numbers in contexts.items()},
+                          [guard] if guard.rules else []).filter(~F.coalesce("commented", F.lit(False)))
+    declared = F.rlike("context", F.lit(R.DECLARATION))
     detail = R.BALANCE_WRITES[0].regex
+    statement = strip("statement")
     return hits.filter((family != "vault") | ~declared).select(
         *keys, F.col("rule").alias("type"), "line",
-        F.coalesce(first_chars("__statement", 400), "__line").alias("context"),
-        *[column.alias(name) for name, column in _accounts_of(F.col("__statement")).items()],
-        F.rlike("__fn", F.lit(R.AMOUNT_GUARD)).alias("has_amount_validation"),
-        captured(F.col("__match"), detail, 1).alias("account"),
-        captured(F.col("__match"), detail, 2).alias("operator"),
-        first_chars(strip(captured(F.col("__match"), detail, 3)), 100).alias("amount_expression"),
+        F.coalesce(first_chars(statement, 400), "context").alias("context"),
+        *[column.alias(name) for name, column in _accounts_of(statement).items()],
+        (F.col("has_amount_validation") if guard.rules else F.lit(None).cast("boolean")).alias("has_amount_validation"),
+        captured(F.col("matched"), detail, 1).alias("account"),
+        captured(F.col("matched"), detail, 2).alias("operator"),
+        first_chars(strip(captured(F.col("matched"), detail, 3)), 100).alias("amount_expression"),
     )
 
 
-def _statement(reach: Column) -> Column:
-    return F.concat(line_prefix(), matched(), F.substr(after(), F.lit(1), reach))
-
-
 def token_moves(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
     return value_flows(corpus, keys, text, ("token",)).select(
         *keys, "type", "line", "context", "source_account", "dest_account", "has_amount_validation")
@@ -255,16 +259,16 @@ def vault_calls(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content"
 
 def state_transitions(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
     first, second = R.STATE_TRANSITIONS
-    hits = with_nearby_context(scan_matches(corpus, [first, second], keys, text), {"has_guard": R.TRANSITION_GUARD})
-    new_state = F.when(F.col("rule") == first.id, F.regexp_extract(matched(), first.regex, 2)).otherwise(
-        F.regexp_extract(matched(), second.regex, 1))
-    return hits.select(*keys, F.lit("state_transition").alias("type"), "line", line_context().alias("context"),
-                       new_state.alias("new_state"), "has_guard")
+    hits = hit_index.hits(corpus, [first, second], keys, text, {"matched": None, "context": None, "preceding": None})
+    new_state = F.when(F.col("rule") == first.id, F.regexp_extract("matched", first.regex, 2)).otherwise(
+        F.regexp_extract("matched", second.regex, 1))
+    return hits.select(*keys, F.lit("state_transition").alias("type"), "line", "context", new_state.alias("new_state"),
+                       F.rlike("preceding", F.lit(R.TRANSITION_GUARD)).alias("has_guard"))
 
 
 def state_guards(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
-    context = strip(matched())
-    return scan_matches(corpus, R.STATE_GUARDS, keys, text).select(
+    context = strip("matched")
+    return hit_index.hits(corpus, R.STATE_GUARDS, keys, text, {"matched": None}).select(
         *keys, F.lit("state_guard").alias("type"), "line", first_chars(context, 300).alias("context"),
         captured(context, R.EXPECTED_STATE, 1).alias("expected_state"),
         captured(context, R.ERROR_CODE, 1).alias("error_code"),
@@ -272,44 +276,44 @@ def state_guards(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content
 
 
 def close_calls(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
-    hits = with_function_context(scan_matches(corpus, R.CLOSE_CALLS, keys, text), R.CLOSE_GUARDS)
-    return hits.select(*keys, F.col("rule").alias("type"), "line", line_context().alias("context"),
-                       "has_authority_check")
+    guards = [hit_index.Guard(name, regex) for name, regex in R.CLOSE_GUARDS.items()]
+    hits = hit_index.hits(corpus, R.CLOSE_CALLS, keys, text, {"context": None}, guards)
+    return hits.select(*keys, F.col("rule").alias("type"), "line", "context", "has_authority_check")
 
 
 def rent_checks(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
     """Rent checks with a close-like word within 500 characters."""
-    hits = scan_matches(corpus, R.RENT_CHECKS, keys, text).filter(F.rlike(nearby_context(), F.lit(R.RENT_NEARBY)))
-    return hits.select(*keys, F.col("rule").alias("type"), "line", line_context().alias("context"))
+    hits = hit_index.hits(corpus, R.RENT_CHECKS, keys, text, {"context": None, "nearby": None}).filter(F.rlike("nearby", F.lit(R.RENT_NEARBY)))
+    return hits.select(*keys, F.col("rule").alias("type"), "line", "context")
 
 
 def cpi_calls(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
-    return scan_matches(corpus, R.CPI_CALLS, keys, text).select(
-        *keys, F.col("rule").alias("type"), "line", line_context().alias("raw_call"),
-        F.col("target").alias("target_program"), matched().alias("function"))
+    return hit_index.hits(corpus, R.CPI_CALLS, keys, text, {"context": None, "matched": None}).select(
+        *keys, F.col("rule").alias("type"), "line", F.col("context").alias("raw_call"),
+        F.col("target").alias("target_program"), F.col("matched").alias("function"))
 
 
 def seed_constraints(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
     rule = R.Rule("anchor_seeds_constraint", "info", R.SEED_CONSTRAINT)
-    seeds = F.transform(F.split(F.regexp_extract(matched(), rule.regex, 1), ","), strip)
-    return scan_matches(corpus, [rule], keys, text).select(
+    seeds = F.transform(F.split(F.regexp_extract("matched", rule.regex, 1), ","), strip)
+    return hit_index.hits(corpus, [rule], keys, text, {"matched": None}).select(
         *keys, F.col("rule").alias("type"), "line", F.filter(seeds, lambda seed: seed != "").alias("seeds"),
-        F.coalesce(captured(matched(), rule.regex, 2), F.lit("auto")).alias("bump"),
-        first_chars(matched(), 200).alias("raw_constraint"),
+        F.coalesce(captured(F.col("matched"), rule.regex, 2), F.lit("auto")).alias("bump"),
+        first_chars("matched", 200).alias("raw_constraint"),
     )
 
 
 def structural_matches(corpus: DataFrame, rules: list[R.Rule] = R.STRUCTURAL, keys: list[str] = KEYS,
                        text: str = "content") -> DataFrame:
     """Hits of a structural pack as (rule, severity, message, line, snippet)."""
-    hits = scan_matches(corpus, rules, keys, text)
-    for number, rule in enumerate(rules):
-        if rule.unless:
-            hits = hits.filter(~((F.col("rule_no") == number) & F.rlike(struct_context(), F.lit(rule.unless))))
+    guards = [hit_index.Guard(f"unless_{n}", rule.unless, "struct", (n,)) for n, rule in enumerate(rules) if rule.unless]
+    hits = hit_index.hits(corpus, rules, keys, text, {"matched": None}, guards)
+    for guard in guards:
+        hits = hits.filter(~F.coalesce(guard.name, F.lit(False)))
     by_rule = {name: F.get(F.array(*[F.lit(getattr(rule, name)) for rule in rules]), F.col("rule_no"))
                for name in ("severity", "message")}
     return hits.select(*keys, "rule", by_rule["severity"].alias("severity"), by_rule["message"].alias("message"),
-                       "line", first_chars(matched(), 200).alias("snippet"))
+                       "line", first_chars("matched", 200).alias("snippet"))
 
 
 def rule_hits_normalized(matches: DataFrame, rule_name: str = "rule") -> DataFrame:
@@ -421,3 +425,6 @@ def constraint_map(attributes: DataFrame, text: str = "attribute") -> DataFrame:
         pairs += [F.lit(name), F.col(name)]
     present = F.map_filter(F.create_map(*pairs), lambda key, value: value.isNotNull())
     return table.withColumn("constraints", present).drop(*flags, *lists, *values)
+
+
+from auditloom.operators import hit_index  # noqa: E402  (it uses the spans of this module)
