@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom import rules as R
@@ -11,14 +11,18 @@ from auditloom.functions.text import strip
 KEYS = ["repo", "path"]
 
 
+def callee(line: str | Column) -> Column:
+    """What a line assigns the call of, or null."""
+    name = F.btrim(F.regexp_extract(strip(line), R.IR_CALL, 1), F.lit("&*"))
+    return F.when((name != "") & ~F.startswith(name, F.lit("_")) & ~name.isin("move", "const"), name)
+
+
 def call_edges(attributed: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Distinct caller and callee pairs of function-attributed lines."""
-    callee = F.btrim(F.regexp_extract(strip("text"), R.IR_CALL, 1), F.lit("&*"))
     return (
         attributed.filter(F.col("function").isNotNull() & F.contains("text", F.lit("(")))
-        .select(*keys, F.col("function").alias("caller"), callee.alias("callee"))
-        .filter((F.col("callee") != "") & ~F.startswith("callee", F.lit("_")) & ~F.col("callee").isin("move", "const"))
-        .distinct()
+        .select(*keys, F.col("function").alias("caller"), callee("text").alias("callee"))
+        .filter("callee IS NOT NULL").distinct()
     )
 
 

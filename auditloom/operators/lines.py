@@ -255,28 +255,50 @@ def attribute_function(lines: DataFrame, keys: list[str] = KEYS, header: str = R
     return ordered.carry_forward(lines, keys, "line", captured_name(F.col("text"), header), "function", width)
 
 
-def attributed_lines(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content") -> DataFrame:
+#: Segments of a text whose first lines are summed in one list before lists are joined.
+BLOCK = 500
+
+
+def attributed_lines(corpus: DataFrame, keys: list[str] = KEYS, text: str = "content", recursion: bool = False) -> DataFrame:
     """Lines of whole texts with their function, without any shuffle.
 
-    Each text is cut before its header lines; a fold over the cuts gives every cut its first line,
-    and its lines then count on from there. Same result as ``attribute_function`` on split lines.
+    Each text is cut before its header lines; prefix sums over blocks of the cuts give every cut its first line, in time linear in the
+    text, and its lines then count on from there. Same result as ``attribute_function`` on split lines. With ``recursion``, the
+    first line of a text also has ``recursive``, the names of its functions that call themselves.
     """
-    breaks = "length({0}) - length(replace({0}, '\\n', ''))".format
-    cuts = F.expr(f"""transform(
-        array(split(`{text}`, r'(?m)(?=^[ \\t]*(?:pub )?fn[ \\t]+[^\\s(])')),
-        p -> aggregate(p, named_struct('line', 1, 'cuts', cast(array() AS array<struct<line:int,text:string>>)),
-            (acc, x) -> named_struct('line', acc.line + {breaks('x')},
-                                     'cuts', concat(acc.cuts, array(named_struct('line', acc.line, 'text', x)))),
-            acc -> acc.cuts))[0]""")
-    header = F.substring_index("__c.text", "\n", 1)
-    body = F.when(F.endswith("__c.text", F.lit("\n")), F.substr("__c.text", F.lit(1), F.length("__c.text") - 1)).otherwise(
-        F.col("__c.text"))
+    breaks = "length({0}) - length(replace({0}, '\n', ''))".format
+    kind = "array<struct<line:int,text:string>>"
+    block = f"""aggregate(slice(p, 1 + b * {BLOCK}, {BLOCK}), named_struct('line', all.line, 'cuts', cast(array() AS {kind})),
+        (acc, x) -> named_struct('line', acc.line + {breaks('x')},
+                                 'cuts', array_append(acc.cuts, named_struct('line', acc.line, 'text', x))))"""
+    cuts = F.expr(f"""transform(array(split(`{text}`, r'(?m)(?=^[ \\t]*(?:pub )?fn[ \\t]+[^\\s(])')), p -> flatten(aggregate(
+        sequence(0, (size(p) - 1) div {BLOCK}), named_struct('line', 1, 'blocks', cast(array() AS array<{kind}>)),
+        (all, b) -> transform(array({block}), done -> named_struct('line', done.line, 'blocks', array_append(all.blocks, done.cuts)))[0],
+        all -> all.blocks)))[0]""")
+
+    def segment(cut):
+        whole = cut["text"]
+        body = F.when(F.endswith(whole, F.lit("\n")), F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+        return F.struct(cut["line"].alias("line"), captured_name(F.substring_index(whole, "\n", 1)).alias("function"), body.alias("body"))
+
+    segments = F.transform(cuts, segment)
+    if recursion:
+        def calls_itself(s):
+            return s["function"].isNotNull() & F.exists(F.split(s["body"], "\n"), lambda line: F.contains(line, F.lit("(")) & (graph.callee(line) == s["function"]))
+
+        def with_names(all_segments):
+            names = F.array_distinct(F.transform(F.filter(all_segments, calls_itself), lambda s: s["function"]))
+            return F.transform(all_segments, lambda s: s.withField("recursive", F.when(s["line"] == 1, names)))
+
+        segments = bind(segments, with_names)
+    more = ["recursive"] if recursion else []
     return (
-        corpus.filter(F.col(text) != "").select(*keys, F.explode(cuts).alias("__c"))
-        .select(*keys, F.col("__c.line").alias("__first"), captured_name(header).alias("function"), body.alias("__body"))
+        corpus.filter(F.col(text) != "").select(*keys, F.explode(segments).alias("__c"))
+        .select(*keys, F.col("__c.line").alias("__first"), "__c.function", F.col("__c.body").alias("__body"), *[f"__c.{name}" for name in more])
         .filter((F.col("__body") != "") | F.col("function").isNotNull() | (F.col("__first") == 1))
-        .select(*keys, "__first", "function", F.posexplode(F.split("__body", "\n")).alias("__pos", "text"))
-        .select(*keys, (F.col("__first") + F.col("__pos")).cast("long").alias("line"), "text", "function")
+        .select(*keys, "__first", "function", *more, F.posexplode(F.split("__body", "\n")).alias("__pos", "text"))
+        .select(*keys, (F.col("__first") + F.col("__pos")).cast("long").alias("line"), "text", "function",
+                *[F.when((F.col("__first") == 1) & (F.col("__pos") == 0), F.col(name)).alias(name) for name in more])
     )
 
 
@@ -286,13 +308,17 @@ def captured_name(line: Column, header: str = R.IR_HEADER) -> Column:
 
 
 def scan_ir_lines(attributed: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Panic, unsafe, jump and assert lines of function-attributed text, and functions that call themselves."""
+    """Panic, unsafe, jump and assert lines of function-attributed text, and functions that call themselves, on line 0.
+
+    Lines with the column ``recursive`` need one pass; for others the calls are joined in a pass of their own.
+    """
     text = strip("text")
     owner = F.coalesce("function", F.lit("unknown"))
+    snippet = first_chars(text, 200)
 
     def entry(kind, severity, *message):
-        return F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
-                        F.concat(*message).alias("message"))
+        return F.struct(F.col("line"), F.col("function"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
+                        F.concat(*message).alias("message"), snippet.alias("snippet"))
 
     panic = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in R.IR_PANIC)))
     jump = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in R.IR_JUMP)))
@@ -304,9 +330,12 @@ def scan_ir_lines(attributed: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.when(F.rlike(text, F.lit(R.IR_ASSERT)), entry("assert_check", "info", F.lit("Assert/bounds check in "),
                                                         owner)),
     ))
-    found = (
-        attributed.select(*keys, "line", "function", first_chars(text, 200).alias("snippet"),
-                          F.explode(entries).alias("__hit"))
-        .select(*keys, "line", "function", "__hit.type", "__hit.severity", "__hit.message", "snippet")
-    )
-    return found.unionByName(graph.recursive_hits(attributed, keys))
+    one_pass = "recursive" in attributed.columns
+    if one_pass:
+        repeats = F.transform("recursive", lambda name: F.struct(
+            F.lit(0).cast("long").alias("line"), name.alias("function"), F.lit("recursive_call").alias("type"), F.lit("warning").alias("severity"),
+            F.concat(F.lit("Direct recursion detected in "), name).alias("message"), F.lit("").alias("snippet")))
+        entries = F.when(F.col("recursive").isNull(), entries).otherwise(F.concat(entries, repeats))
+    found = (attributed.select(*keys, F.explode(entries).alias("__hit"))
+             .select(*keys, *[f"__hit.{name}" for name in ("line", "function", "type", "severity", "message", "snippet")]))
+    return found if one_pass else found.unionByName(graph.recursive_hits(attributed, keys))

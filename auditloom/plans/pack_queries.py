@@ -538,8 +538,8 @@ _EDGES = rf"""edges AS (SELECT DISTINCT repo, path, "function" AS caller,
         AND callee NOT IN ('move', 'const'))"""
 
 
-def ir_lines(spark, sf_dir):
-    return L.attributed_lines(planted(spark, sf_dir, [IR_CODE]))
+def ir_lines(spark, sf_dir, recursion=False):
+    return L.attributed_lines(planted(spark, sf_dir, [IR_CODE]), recursion=recursion)
 
 
 _ATTRIBUTED = f"WITH {_IR} SELECT repo, path, line, \"function\" FROM a"
@@ -564,7 +564,7 @@ _IR_ROWS = f"""WITH {_IR}, {_EDGES} {_IR_HITS} UNION ALL SELECT repo, path, 0, c
 
 @query("ir_line_scan", _IR_ROWS)
 def ir_line_scan(spark, sf_dir):
-    return flat(L.scan_ir_lines(ir_lines(spark, sf_dir)))
+    return flat(L.scan_ir_lines(ir_lines(spark, sf_dir, recursion=True)))
 
 
 @query("call_edges", f"WITH {_IR}, {_EDGES} SELECT * FROM calls")
@@ -589,7 +589,7 @@ def recursion(spark, sf_dir):
     FROM fn LEFT JOIN c USING (repo, path) LEFT JOIN r USING (repo, path)""")
 def scan_stats(spark, sf_dir):
     lines = ir_lines(spark, sf_dir)
-    return flat(rollups.scan_stats(L.scan_ir_lines(lines), lines))
+    return flat(rollups.scan_stats(L.scan_ir_lines(ir_lines(spark, sf_dir, recursion=True)), lines))
 
 
 # --- the composed job ------------------------------------------------------------------------------

@@ -18,7 +18,7 @@ def prescan_leads(corpus: DataFrame, compiler: DataFrame | None = None, advisori
     spark = corpus.sparkSession
     structural = M.structural_matches(corpus, rules).select(
         "repo", "rule", F.col("rule").alias("id"), "severity", "message", F.col("path").alias("file"), "line", "snippet")
-    ir = L.scan_ir_lines(L.attributed_lines(ir_corpus if ir_corpus is not None else corpus)).select(
+    ir = L.scan_ir_lines(L.attributed_lines(ir_corpus if ir_corpus is not None else corpus, recursion=True)).select(
         "repo", "type", "severity", "message", F.col("path").alias("file"), "line", "snippet")
     if compiler is None:
         compiler = spark.createDataFrame([], "repo string, severity string, message string, code string, "

@@ -142,7 +142,7 @@ def leads(spark, sf_dir):
         tools.parse_matches(_records(spark, sf_dir, _MATCH_JSON)).withColumn("rule", F.lit("my-rule")))
     compiler = tools.parse_compiler_lines(_records(spark, sf_dir, _COMPILER_JSON))
     audit = tools.parse_advisories(_records(spark, sf_dir, _ADVISORY_JSON))
-    ir = L.scan_ir_lines(pack_queries.ir_lines(spark, sf_dir)).withColumnRenamed("path", "file")
+    ir = L.scan_ir_lines(pack_queries.ir_lines(spark, sf_dir, recursion=True)).withColumnRenamed("path", "file")
     return FI.merge_leads(matcher, compiler, audit, ir, keys=[])
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -134,3 +135,25 @@ def test_spans_of_many_matches_take_linear_time(spark):
     seconds(1000)
     small, large = seconds(25_000), seconds(100_000)
     assert large < 8 * small + 2
+
+
+def test_recursion_in_one_pass_equals_the_join_of_calls(spark):
+    texts = ["fn a() {\n x = a(1);\n}\nfn b() {\n y = a(b());\n y = &b(2);\n}\nfn _c() { z = _c() }\n", "x = a()\n", "fn move() { q = move() }\nfn a() {}\nfn a() {\n k = a(a())\n}\n",
+             "fn d() {\n assert(x)\n d = d()\n panic = d()\n}", "", "\nfn e() = e()"]
+    df = corpus(spark, *[(str(i), t) for i, t in enumerate(texts)])
+    columns = ["path", "line", "function", "type", "severity", "message", "snippet"]
+    one = L.scan_ir_lines(L.attributed_lines(df, recursion=True)).select(*columns)
+    two = L.scan_ir_lines(L.attributed_lines(df)).select(*columns)
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr)
+    assert {(r.path, r.function) for r in one.filter("type = 'recursive_call'").collect()} == {("0", "a"), ("0", "b"), ("3", "d"), ("5", "e")}
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_very_many_functions_in_one_text(spark):
+    text = "".join(f"fn f{n}() {{\n  x = f{n}(1);\n}}\n" for n in range(100_000))
+    start = time.time()
+    rows = L.scan_ir_lines(L.attributed_lines(corpus(spark, ("big", text)), recursion=True)).filter("type = 'recursive_call'")
+    assert rows.count() == 100_000
+    last = L.attributed_lines(corpus(spark, ("big", text))).orderBy(F.desc("line")).first()
+    assert (last.line, last.function) == (300_000, "f99999")
+    assert time.time() - start < 60
