@@ -145,8 +145,69 @@ class VersionedTable:
     def write(self, df: DataFrame, version: int, keep: int = 3) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
         for old in self._versions()[:-keep]:
-            path, fs = _file_system(self.spark, f"{self.root}/v={old}")
-            fs.delete(path, True)
+            self._delete(f"v={old}")
+
+    def _delete(self, name: str) -> None:
+        path, fs = _file_system(self.spark, f"{self.root}/{name}")
+        fs.delete(path, True)
+
+    def update(self, rows: DataFrame, version: int, fold) -> None:
+        """Fold new rows into the state: ``fold`` takes old and new rows together."""
+        before = self.read(version)
+        self.write(fold(rows if before is None else before.unionByName(rows)), version)
+
+
+class KeyedTable(VersionedTable):
+    """A versioned table in hash parts of its keys, of which a batch reads and rewrites those it touches and no others.
+
+    A version's folder holds the parts it wrote; the table is the newest of every part. Parts that ``keep`` later versions
+    replaced are deleted. The number of parts belongs to the table and must not change.
+    """
+
+    PART = "__part"
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], parts: int = 64):
+        super().__init__(spark, root)
+        self.keys, self.parts = keys, parts
+
+    def _held(self, before: int | None = None) -> dict[int, list[int]]:
+        """The versions of each part, oldest first."""
+        held: dict[int, list[int]] = {}
+        for version in self._versions():
+            if before is None or version < before:
+                path, fs = _file_system(self.spark, f"{self.root}/v={version}")
+                for status in fs.listStatus(path):
+                    name = status.getPath().getName()
+                    if name.startswith(f"{self.PART}="):
+                        held.setdefault(int(name.split("=")[1]), []).append(version)
+        return held
+
+    def read(self, before: int | None = None, parts: list[int] | None = None) -> DataFrame | None:
+        held = self._held(before)
+        paths = [f"{self.root}/v={versions[-1]}/{self.PART}={part}" for part, versions in sorted(held.items()) if parts is None or part in parts]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(self.PART, F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int"))
+
+    def update(self, rows: DataFrame, version: int, fold) -> None:
+        rows = rows.persist()
+        try:
+            touched = [r[0] for r in self._placed(rows).select(self.PART).distinct().collect()]  # at most ``parts`` numbers
+            before = self.read(version, touched)
+            self.write(fold(rows if before is None else before.unionByName(rows)), version)
+        finally:
+            rows.unpersist()
+
+    def write(self, df: DataFrame, version: int, keep: int = 3) -> None:
+        self._placed(df).repartition(self.PART).write.mode("overwrite").partitionBy(self.PART).parquet(f"{self.root}/v={version}")
+        for part, versions in self._held().items():
+            for old in versions[:-keep]:
+                self._delete(f"v={old}/{self.PART}={part}")
+        used = {version for versions in self._held().values() for version in versions}
+        for old in self._versions()[:-keep]:
+            if old not in used:
+                self._delete(f"v={old}")
 
 
 def _start(stream: DataFrame, handler, checkpoint: str, table: VersionedTable) -> StreamingQuery:
@@ -156,15 +217,8 @@ def _start(stream: DataFrame, handler, checkpoint: str, table: VersionedTable) -
 
 
 def keep_progress(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Keep the merged progress row of every agent."""
-    def merge(batch: DataFrame, number: int) -> None:
-        before = table.read(number)
-        updates = latest_progress(batch)
-        if before is not None:
-            updates = latest_progress(before.unionByName(updates))
-        table.write(updates, number)
-
-    return _start(stream, merge, checkpoint, table)
+    """Keep the merged progress row of every agent. A ``KeyedTable`` over run and agent rewrites only the parts a batch touches."""
+    return _start(stream, lambda batch, number: table.update(latest_progress(batch), number, latest_progress), checkpoint, table)
 
 
 def dedup_state(findings: DataFrame, repo: str = "repo", key: str = "dedupKey", seq: str = "seq") -> DataFrame:
@@ -181,44 +235,97 @@ def dedup_state(findings: DataFrame, repo: str = "repo", key: str = "dedupKey",
         F.min(seq).alias("slot")).select(repo, "place", "slot", "__row.*")
 
 
-def keep_findings(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch's changed keys to a change log; a replayed batch rewrites its own folder."""
+#: Batch folders of a change log from which they are folded into one.
+COMPACT_AFTER = 16
+
+
+def finding_changes(findings: DataFrame, repo: str = "repo", key: str = "dedupKey", seq: str = "seq") -> DataFrame:
+    """``dedup_state`` of a stream whose keyless rows pass by the state store, which so holds one row per key and nothing else."""
+    others = [name for name in findings.columns if name != repo]
+    has_key = F.coalesce(F.col(key), F.lit("")) != ""
+    alone = findings.filter(~has_key).select(repo, F.concat(F.lit("#"), F.col(seq).cast("string")).alias("place"), F.col(seq).alias("slot"), *others)
+    return dedup_state(findings.filter(has_key), repo, key, seq).union(alone)
+
+
+def _log_parts(spark: SparkSession, root: str) -> tuple[int | None, list[int]]:
+    """The newest complete base of a change log and the batches after it."""
+    path, fs = _file_system(spark, root)
+    found: dict[str, list[int]] = {"base": [], "batch": []}
+    for status in fs.listStatus(path):
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in found and exists(spark, f"{root}/{kind}={number}/_SUCCESS"):
+            found[kind].append(int(number))
+    base = max(found["base"], default=None)
+    return base, sorted(n for n in found["batch"] if base is None or n > base)
+
+
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    base, batches = _log_parts(spark, root)
+    parts = [spark.read.parquet(f"{root}/base={base}")] if base is not None else []
+    parts += [spark.read.parquet(f"{root}/batch={n}").withColumn("batch", F.lit(n).cast("long")) for n in batches]
+    log = parts[0]
+    for part in parts[1:]:
+        log = log.unionByName(part)
+    return log
+
+
+def _newest(log: DataFrame, repo: str) -> DataFrame:
+    names = [name for name in log.columns if name not in (repo, "place")]
+    return log.groupBy(repo, "place").agg(F.max_by(F.struct(*names), "batch").alias("__row")).select(repo, "place", "__row.*")
+
+
+def compact_log(spark: SparkSession, root: str, repo: str = "repo") -> None:
+    """Fold a change log's base and batches into a new base, so that its files stay bounded.
+
+    What the base before this one had replaced is deleted now: readers that began with it have had a whole round to finish.
+    """
+    base, batches = _log_parts(spark, root)
+    if not batches:
+        return
+    _newest(_log(spark, root), repo).write.mode("overwrite").parquet(f"{root}/base={batches[-1]}")
+    path, fs = _file_system(spark, root)
+    for status in fs.listStatus(path):
+        kind, _, number = status.getPath().getName().partition("=")
+        if base is not None and ((kind == "batch" and int(number) <= base) or (kind == "base" and int(number) < base)):
+            fs.delete(status.getPath(), True)
+
+
+def keep_findings(stream: DataFrame, root: str, checkpoint: str, compact_after: int = COMPACT_AFTER) -> StreamingQuery:
+    """Append each batch's changed keys and keyless rows to a change log; a replayed batch rewrites its own folder.
+
+    Before a batch is written, the batches before it are folded into a base once there are ``compact_after`` of them.
+    """
     def append(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if exists(spark, root):
+            _, batches = _log_parts(spark, root)
+            if len([n for n in batches if n < number]) >= compact_after and batches[-1] < number:
+                compact_log(spark, root)
         batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
 
-    return dedup_state(stream).writeStream.outputMode("update").foreachBatch(append).option(
+    return finding_changes(stream).writeStream.outputMode("update").foreachBatch(append).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_findings(spark: SparkSession, root: str, repo: str = "repo") -> DataFrame:
     """The findings a change log adds up to: the newest row of every key."""
-    log = spark.read.parquet(root)
-    names = [name for name in log.columns if name not in (repo, "place", "batch")]
-    return log.groupBy(repo, "place").agg(F.max_by(F.struct(*names), "batch").alias("__row")).select(repo, "__row.*")
+    return _newest(_log(spark, root), repo).drop("place", "batch")
 
 
 def keep_log_tail(stream: DataFrame, table: VersionedTable, checkpoint: str, n: int = LOG_TAIL) -> StreamingQuery:
-    def merge(batch: DataFrame, number: int) -> None:
-        before = table.read(number)
-        rows = split_log_lines(batch) if before is None else before.unionByName(split_log_lines(batch))
-        table.write(log_tail(rows, n=n), number)
-
-    return _start(stream, merge, checkpoint, table)
+    """Keep the last rows of every run's log, by run in a ``KeyedTable``."""
+    return _start(stream, lambda batch, number: table.update(split_log_lines(batch), number, lambda rows: log_tail(rows, n=n)), checkpoint, table)
 
 
 def keep_alerts(stream: DataFrame, table: VersionedTable, budget: int, checkpoint: str) -> StreamingQuery:
     """Keep running totals per run; ``budget_alerts`` over the table gives the runs to warn about."""
-    def merge(batch: DataFrame, number: int) -> None:
-        before = table.read(number)
-        totals = running_totals(batch)
-        if before is not None:
-            totals = before.drop("alert").unionByName(totals).groupBy("run").agg(
-                F.sum("total_tokens").alias("total_tokens"),
-                F.sum("total_cost").cast("decimal(28,6)").alias("total_cost"))
-        totals = totals.withColumn("total_cost", F.col("total_cost").cast("decimal(28,6)"))
-        table.write(totals.withColumn("alert", F.col("total_tokens") >= budget * 0.8), number)
-
-    return _start(stream, merge, checkpoint, table)
+    def marked(totals: DataFrame) -> DataFrame:
+        return totals.withColumn("total_cost", F.col("total_cost").cast("decimal(28,6)")).withColumn("alert", F.col("total_tokens") >= budget * 0.8)
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return marked(rows.groupBy("run").agg(F.sum("total_tokens").alias("total_tokens"), F.sum("total_cost").alias("total_cost")))
+
+    return _start(stream, lambda batch, number: table.update(marked(running_totals(batch)), number, fold), checkpoint, table)
 
 
 def to_memory(aggregate: DataFrame, mode: str = "complete") -> tuple[StreamingQuery, str]:

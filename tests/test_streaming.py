@@ -108,3 +108,62 @@ def test_stream_dedup(spark, tmp_path):
 def test_unknown_event_type(spark, folder):
     with pytest.raises(ValueError):
         E.of_type(batch(spark, folder), "nope")
+
+
+def _size(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_a_keyed_table_equals_a_whole_one(spark, folder, tmp_path):
+    for kind, keep, keys, want in (
+            ("progress", E.keep_progress, ["run", "agent"], lambda b: E.latest_progress(b)),
+            ("log", lambda s, t, c: E.keep_log_tail(s, t, c, n=7), ["run"], lambda b: E.log_tail(E.split_log_lines(b), n=7))):
+        table = E.KeyedTable(spark, str(tmp_path / kind), keys, parts=5)
+        keep(stream(spark, folder, kind), table, str(tmp_path / f"c_{kind}")).awaitTermination()
+        expected = rows(want(E.of_type(batch(spark, folder), kind)))
+        assert rows(table.read()) == expected
+        # A replay of the same events goes on from the state and leaves it as it is.
+        keep(stream(spark, folder, kind), table, str(tmp_path / f"d_{kind}")).awaitTermination()
+        if kind == "progress":
+            assert rows(table.read()) == expected
+    table = E.KeyedTable(spark, str(tmp_path / "totals"), ["run"], parts=5)
+    E.keep_alerts(stream(spark, folder, "cost"), table, 1000, str(tmp_path / "c")).awaitTermination()
+    assert {(r.run, r.total_tokens, r.alert) for r in table.read().collect()} == {("run0", 870, True), ("run1", 900, True)}
+
+
+def test_a_batch_writes_only_the_parts_it_touches(spark, tmp_path):
+    table = E.KeyedTable(spark, str(tmp_path / "t"), ["run", "agent"], parts=64)
+    old = spark.range(20_000).selectExpr("concat('r', id) AS run", "'a' AS agent", "uuid() AS status", "id AS seq")
+    table.update(old, 0, lambda df: E.latest_progress(df, fields=["status"]))
+    whole = _size(tmp_path / "t" / "v=0")
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "v=0").rglob("*.parquet")}
+    one = spark.createDataFrame([("r7", "a", "new", 99_999)], "run string, agent string, status string, seq bigint")
+    for version in (1, 2, 2):  # the last is a replay
+        table.update(one, version, lambda df: E.latest_progress(df, fields=["status"]))
+        assert _size(tmp_path / "t" / f"v={version}") < whole / 20
+    assert {f: f.stat().st_mtime_ns for f in before} == before
+    assert table.read().count() == 20_000 and table.read().filter("run = 'r7'").first().status == "new"
+    for version in range(3, 9):
+        table.update(one, version, lambda df: E.latest_progress(df, fields=["status"]))
+    part = [f.parent.name for f in (tmp_path / "t" / "v=8").rglob("*.parquet")][0]
+    assert sorted(p.parent.name for p in (tmp_path / "t").glob(f"v=*/{part}")) == ["v=6", "v=7", "v=8"]  # older ones are gone
+    assert table.read().count() == 20_000
+
+
+def test_keyless_findings_hold_no_state_and_the_log_stays_bounded(spark, tmp_path):
+    source, log = tmp_path / "in", tmp_path / "log"
+    source.mkdir()
+    schema = "repo string, seq bigint, dedupKey string, severity string"
+    data = [{"repo": "r", "seq": i, "dedupKey": f"k{i % 3}" if i % 2 else "", "severity": ["low", "high", "critical", "x"][i * 5 % 4]} for i in range(80)]
+    for n in range(20):
+        (source / f"{n:02}.json").write_text("\n".join(json.dumps(d) for d in data[n * 4:(n + 1) * 4]))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
+    query = E.keep_findings(events, str(log), str(tmp_path / "c"), compact_after=4)
+    query.awaitTermination()
+    want = rows(E.dedup_state(spark.read.schema(schema).json(str(source))).drop("place"))
+    assert rows(E.current_findings(spark, str(log))) == want and len(want) == 43
+    states = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert max(states) == 3  # one row per key
+    assert len(list(log.glob("batch=*"))) <= 10 and len(list(log.glob("base=*"))) <= 2
+    E.compact_log(spark, str(log))
+    assert rows(E.current_findings(spark, str(log))) == want
