@@ -15,6 +15,11 @@ def col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def literal_map(mapping: dict) -> Column:
     pairs = [F.lit(part) for item in mapping.items() for part in item]
     return F.create_map(*pairs)
@@ -195,28 +200,49 @@ def parse_directives(notes: str | Column) -> Column:
 def split_seeds(text: str | Column) -> Column:
     """Comma-separated parts at bracket depth 0, trimmed, empty ones dropped.
 
-    Brackets only nest a few levels in practice, but any depth is exact: a fold over the text's
-    tokens (brackets, commas, plain runs) keeps the depth and grows the current part.
+    Any depth is exact. The depth before each token (bracket, comma or plain run) is a prefix sum over blocks of tokens; parts
+    are slices between the commas at depth 0, so that time is linear in the text.
     """
     inner = strip(col(text))
     inner = F.when(F.startswith(inner, F.lit("&[")), F.substr(inner, F.lit(3))).otherwise(inner)
     inner = F.when(F.endswith(inner, F.lit("]")), F.substr(inner, F.lit(1), F.length(inner) - 1)).otherwise(inner)
     tokens = F.regexp_extract_all(inner, F.lit(r"[\(\[\{\)\]\},]|[^\(\[\{\)\]\},]+"), F.lit(0))
-    start = F.struct(
-        F.lit(0).alias("depth"), F.lit("").alias("part"), F.array().cast("array<string>").alias("parts")
-    )
+    return bind(tokens, lambda found: bind(_cuts(found), lambda cuts: F.filter(_between(found, cuts), lambda part: part != "")))
+
+
+#: Tokens whose places are gathered in one list before lists are joined.
+BLOCK = 500
+
+
+def _cuts(tokens: Column) -> Column:
+    """The places, from 1, of the commas at depth 0, between a 0 and the place after the last token."""
+    def fold(block, start, size):
+        def step(acc, place):
+            token = F.get(tokens, place - 1)
+            change = F.when(token.isin("(", "[", "{"), 1).when(token.isin(")", "]", "}"), -1).otherwise(0)
+            return F.struct((acc["depth"] + change).alias("depth"), F.when(
+                (token == ",") & (acc["depth"] == 0), F.array_append(acc["places"], place)).otherwise(acc["places"]).alias("places"))
+
+        places = F.sequence(block * size + 1, F.least((block + 1) * size, F.size(tokens)))
+        return F.aggregate(places, F.struct(start.alias("depth"), F.array().cast("array<int>").alias("places")), step)
+
+    def join(all_blocks, block):
+        return bind(fold(block, all_blocks["depth"], F.lit(BLOCK)), lambda done: F.struct(
+            done["depth"].alias("depth"), F.array_append(all_blocks["blocks"], done["places"]).alias("blocks")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / BLOCK).cast("int"))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<array<int>>").alias("blocks"))
+    found = F.aggregate(blocks, start, join, lambda acc: F.flatten(acc["blocks"]))
+    inner = F.when(F.size(tokens) > 0, found).otherwise(F.array().cast("array<int>"))
+    return F.when(tokens.isNotNull(), F.concat(F.array(F.lit(0)), inner, F.array(F.size(tokens) + 1)))
+
+
+def _between(tokens: Column, cuts: Column) -> Column:
+    """The trimmed texts between neighbouring cuts."""
+    def part(cut, n):
+        return strip(F.array_join(F.slice(tokens, cut + 1, F.get(cuts, n + 1) - cut - 1), ""))
 
-    def step(acc, token):
-        cut = (token == ",") & (acc["depth"] == 0)
-        change = F.when(token.isin("(", "[", "{"), 1).when(token.isin(")", "]", "}"), -1).otherwise(0)
-        return F.struct(
-            (acc["depth"] + change).alias("depth"),
-            F.when(cut, F.lit("")).otherwise(F.concat(acc["part"], token)).alias("part"),
-            F.when(cut, F.concat(acc["parts"], F.array(acc["part"]))).otherwise(acc["parts"]).alias("parts"),
-        )
-
-    parts = F.aggregate(tokens, start, step, lambda acc: F.concat(acc["parts"], F.array(acc["part"])))
-    return F.filter(F.transform(parts, strip), lambda part: part != "")
+    return F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), part)
 
 
 # --- messages ----------------------------------------------------------------------------------

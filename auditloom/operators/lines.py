@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from auditloom import rules as R
 from auditloom.functions import predicates as P
-from auditloom.functions.text import any_contains, col, first_chars, literal_map, strip
+from auditloom.functions.text import any_contains, bind, col, first_chars, literal_map, strip
 from auditloom.operators import graph, ordered
 
 KEYS = ["repo", "path"]
@@ -53,11 +53,6 @@ def _entry(risk, pattern, context: Column) -> Column:
     return F.struct(risk.alias("risk"), pattern.alias("pattern"), context.alias("context"))
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once per row, however often it is mentioned."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def has_literal(text: Column, rule: R.Rule) -> Column:
     return any_contains(text, list(rule.literals))
 

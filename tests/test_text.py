@@ -55,6 +55,19 @@ def test_split_seeds(spark):
     assert apply(spark, T.split_seeds, list(cases)) == list(cases.values())
 
 
+def test_split_seeds_of_a_long_text(spark):
+    import random
+    import time
+
+    draw = random.Random(5)
+    parts = ["".join(draw.choice(["f(a, b)", "[x, {y}]", "seed ", "k"]) for _ in range(draw.randint(1, 4))).strip() for _ in range(80_000)]
+    text = "&[" + ", ".join(parts) + "]"
+    assert len(text) > 1_000_000
+    start = time.time()
+    assert apply(spark, T.split_seeds, [text, "a)b, c, (d", "a(, b", None, "", ",,"]) == [parts, ["a)b, c, (d"], ["a(, b"], None, [], []]
+    assert time.time() - start < 30
+
+
 def test_normalize_path(spark):
     rows = spark.createDataFrame([("/w/a.rs", "/w"), ("/w/a.rs", "/w/"), ("/wx/a", "/w"), ("b", "/w"), (None, "/w"),
                                   ("/w/a", "")], "p string, r string")
