@@ -2,7 +2,7 @@
 
 The model is trained from a small labelled table of URLs. A URL that no rule decides is blocked where the model's probability of
 a bad page is at least one half. Null URLs and those without ``://`` have empty host and path, match no rule and
-are scored as the empty string, that is by the intercept. Repeated rows are judged one by one; other columns are not read.
+are scored as an empty host and path, by the n-grams of the end marks. Repeated rows are judged one by one; other columns are not read.
 Parsing, features and scores are built-in functions.
 """
 
@@ -19,7 +19,7 @@ BUCKETS, WIDTHS, MAX_LABELLED = 4096, (3, 4), 10_000
 #: (host and path, verdict); a rule fits its host and all subdomains.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
-# FIXED VALUES: names of hosts to keep out, and of ordinary ones.
+# Names of own choice: hosts to keep out, and ordinary ones.
 BAD_NAMES = ("casino-online", "free-bets", "adult-x", "xxx-videos", "cheap-pills", "poker-bonus", "win-prize", "hot-singles", "payday-loans",
              "replica-watches", "torrent-free", "slots-jackpot", "porn-tube", "bet-now", "viagra-store", "spam-links", "click-ads", "link-farm")
 GOOD_NAMES = ("gardening", "library", "university", "weather", "museum", "history", "recipes", "thing", "other", "forum", "health", "school",
@@ -39,10 +39,14 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def grams(host: Column, path: Column) -> Column:
-    """Buckets of the n-grams of host and path, each between end marks."""
-    text = F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$"))
-    return F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))),
-                                  lambda i, n=n: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int")) for n in WIDTHS])
+    """Buckets of the n-grams of host and path, each between end marks; the text becomes characters once, so time is linear."""
+    def buckets(chars, n):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        return F.transform(starts, lambda i: F.pmod(
+            F.xxhash64(F.concat(*[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(n)])), F.lit(BUCKETS)).cast("int"))
+
+    chars = F.split(F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$")), "")
+    return F.get(F.transform(F.array(chars), lambda held: F.concat(*[buckets(held, n) for n in WIDTHS])), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -97,8 +101,8 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     entry = lambda own: F.array(*[F.struct(F.lit(len(r)).alias("size"), F.lit(r).alias("rule"), F.lit(p).alias("path"), F.lit(v).alias("verdict"))
                                   for r, p, v in own]).cast(kind)
     table = F.create_map(*[c for where, own in by_host.items() for c in (F.lit(where), entry(own))])
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    # Only suffixes of as many labels as some rule's host has; a host of fewer is its own suffix, which a repeated look-up does not change.
+    suffixes = F.array(*[F.substring_index(host, ".", -size) for size in sorted({where.count(".") + 1 for where in by_host})])
     hits = F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.try_element_at(table, s), F.array().cast(kind))))
     return F.array_max(F.filter(hits, lambda r: path.startswith(r["path"])))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -253,6 +254,26 @@ def test_url_rules_match_a_loop(spark):
     assert url_filter.judge(pages.limit(0), model).count() == 0
 
 
+def test_long_urls_take_linear_time(spark):
+    model = url_filter.train(url_filter.default_labels(spark))
+    urls = ["http://" + "ab." * 150_000 + "example.com/en/" + "x/" * 300_000, "http://a/" + "\U0001F600" * 200_000, "x" * 1_000_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    start = time.time()
+    rows = {row.page_id: row for row in url_filter.judge(pages, model).collect()}
+    assert time.time() - start < 60
+    assert rows[0].rule == "example.com/en/" and rows[0].verdict == "block" and rows[1].path == "/" + "\U0001F600" * 200_000 and rows[2].host == ""
+
+
+def test_url_grams_match_a_loop(spark):
+    rows = spark.createDataFrame([("a.de", "/é\U0001F600x"), ("", ""), ("b", "")], "host string, path string")
+    found = rows.select("host", "path", url_filter.grams(F.col("host"), F.col("path")).alias("g")).collect()
+    for row in found:
+        text = f"^{row.host}${row.path}$"
+        want = [text[i:i + n] for n in url_filter.WIDTHS for i in range(max(len(text) - n + 1, 1))]
+        hashed = spark.createDataFrame([(w,) for w in want], "w string").select(F.pmod(F.xxhash64("w"), F.lit(url_filter.BUCKETS)).alias("h"))
+        assert row.g == [r.h for r in hashed.collect()]
+
+
 def test_url_model_learns_from_names(spark):
     model = url_filter.train(url_filter.default_labels(spark))
     bad = ("casino-club", "adult-video", "poker-night", "bets-today", "xxx-stories", "loans-fast", "slots-world", "porn-archive")
