@@ -4,8 +4,10 @@ Each source has a mean repetition rate: its target share of the output over its
 count is drawn from the Poisson distribution of that mean by inverting it at a number hashed from id, text
 and seed; the document is exploded by the count and all copies are sorted by a hashed key.
 
+The text enters draw and order as its MD5, so rows without id, or with a repeated one, are told apart by their texts.
+
 A rate above ``PART`` is split into equal parts with draws of their own, so the probabilities never underflow. A null
-source is a source of its own. Repeated rows draw alike. Sources without a weight get rate 0, an empty table
+source is a source of its own, a null id or text counts as an empty one. Rows equal in id and text draw alike. Sources without a weight get rate 0, an empty table
 gives an empty table. Columns that clash with the new ones are replaced by them. Built-in functions only.
 """
 
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.llm.common import stored
+
 SEED, PART, TERMS = "mix-1", 8.0, 48
 #: Target shares follow the sources' sizes to this power, so that small sources are repeated and large ones thinned.
 TEMPERATURE = 0.5
@@ -36,6 +40,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float
     return weighed.select("source", F.when(all_w > 0, F.col("w") / all_w * all_n * size / F.col("n")).otherwise(F.lit(0.0)).alias("rate"))
 
 
+def identity(seed: str) -> list[Column]:
+    """What draws and order are hashed from, besides the number of the draw or copy."""
+    return [F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
+
+
 def _inverse(rate: Column, u: Column) -> Column:
     """The smallest k whose cumulative probability exceeds u."""
     terms = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)),
@@ -47,17 +56,19 @@ def _inverse(rate: Column, u: Column) -> Column:
 
 def repetitions(rate: Column, seed: str = SEED) -> Column:
     parts = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
-    identity = (F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda total, part: total + _inverse(
-        rate / parts, uniform(*identity, part.cast("string"))))
+        rate / parts, uniform(*identity(seed), part.cast("string"))))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: str = SEED) -> DataFrame:
-    """Copies of documents in a global random order, with ``copy`` (from 1) and ``shuffle_key``."""
+    """Copies of documents in a global random order, with ``copy`` (from 1) and ``shuffle_key``.
+
+    The rates are stored first, so that Spark knows their size when it plans and need not shuffle the texts by source to learn it.
+    """
     plain = docs.select(*[c for c in docs.columns if c not in ("copy", "shuffle_key")])
-    means = rates(plain, weights, size).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    means = stored(rates(plain, weights, size).select(F.col("source").alias("__source"), F.col("rate").alias("__rate")))
     drawn = (plain.join(means, F.col("source").eqNullSafe(F.col("__source")))
              .withColumn("__count", repetitions(F.col("__rate"), seed)).where("__count > 0"))
     copies = drawn.select(*plain.columns, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy"))
-    key = uniform(F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))
+    key = uniform(*identity(f"{seed}|order"), F.col("copy").cast("string"))
     return copies.withColumn("shuffle_key", key).orderBy("shuffle_key", "doc_id", "copy")

@@ -80,7 +80,7 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UNIFORM = "CAST(CAST(('0x' || substr(md5({0}), 1, 13)) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
-_IDENTITY = "coalesce(CAST(doc_id AS VARCHAR), '')"
+_IDENTITY = "coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))"
 SQL["op5_mixing_sources"] = f"""
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 totals AS (SELECT sum(n) AS all_n, sum(pow(CAST(n AS DOUBLE), {mixing.TEMPERATURE})) AS all_w FROM counts),

@@ -74,11 +74,11 @@ def test_poisson_mix_matches_a_loop(spark):
         sizes[r[2]] = sizes.get(r[2], 0) + 1
     weight = {s: math.sqrt(n) for s, n in sizes.items()}
     expected: dict = {}
-    for number, _, source in rows:
+    for number, text, source in rows:
         rate = weight[source] / sum(weight.values()) * len(rows) / sizes[source] * 20
         parts, count = max(math.ceil(rate / mixing.PART), 1), 0
         for part in range(1, parts + 1):
-            u = int(hashlib.md5(f"{mixing.SEED}|{'' if number is None else number}|{part}".encode()).hexdigest()[:13], 16) / 2 ** 52
+            u = int(hashlib.md5(f"{mixing.SEED}|{'' if number is None else number}|{hashlib.md5((text or '').encode()).hexdigest()}|{part}".encode()).hexdigest()[:13], 16) / 2 ** 52
             p = total = math.exp(-rate / parts)
             k = 0
             while u >= total and k < mixing.TERMS:
@@ -96,6 +96,15 @@ def test_poisson_mix_matches_a_loop(spark):
     assert {r.source for r in mixing.mix(docs, {"big": 1.0}).collect()} == {"big"}
 
 
+def test_rows_without_id_draw_by_their_texts(spark):
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("s").alias("source"))
+    mixed = mixing.mix(docs)
+    counts = [r["count"] for r in mixed.groupBy("text").count().collect()]
+    assert abs(sum(counts) - 2000) < 200 and abs((2000 - len(counts)) / 2000 - math.exp(-1)) < 0.05
+    assert mixed.select("shuffle_key").distinct().count() == sum(counts)
+    assert "hashpartitioning" not in mixed._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return piece_codec.load()
