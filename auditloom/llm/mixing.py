@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.text import bind
 from auditloom.llm.common import stored
 
 SEED, PART, TERMS = "mix-1", 8.0, 48
@@ -56,8 +57,12 @@ def _inverse(rate: Column, u: Column) -> Column:
 
 def repetitions(rate: Column, seed: str = SEED) -> Column:
     parts = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda total, part: total + _inverse(
-        rate / parts, uniform(*identity(seed), part.cast("string"))))
+
+    def draw(who: Column, part: Column) -> Column:
+        return bind(uniform(who, part.cast("string")), lambda u: _inverse(rate / parts, u))
+
+    return bind(F.concat_ws("|", *identity(seed)), lambda who: F.aggregate(
+        F.sequence(F.lit(1), parts), F.lit(0), lambda total, part: total + draw(who, part)))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: str = SEED) -> DataFrame:
@@ -68,7 +73,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     plain = docs.select(*[c for c in docs.columns if c not in ("copy", "shuffle_key")])
     means = stored(rates(plain, weights, size).select(F.col("source").alias("__source"), F.col("rate").alias("__rate")))
     drawn = (plain.join(means, F.col("source").eqNullSafe(F.col("__source")))
-             .withColumn("__count", repetitions(F.col("__rate"), seed)).where("__count > 0"))
-    copies = drawn.select(*plain.columns, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy"))
+             .withColumn("__copies", bind(repetitions(F.col("__rate"), seed), lambda n: F.when(n > 0, F.sequence(F.lit(1), n)))))
+    # An inner explode would have its list computed once more, in a filter on the list's size.
+    copies = drawn.select(*plain.columns, F.explode_outer("__copies").alias("copy")).where("copy IS NOT NULL")
     key = uniform(*identity(f"{seed}|order"), F.col("copy").cast("string"))
     return copies.withColumn("shuffle_key", key).orderBy("shuffle_key", "doc_id", "copy")
