@@ -27,17 +27,68 @@ def explode_lines(corpus: DataFrame, keys: list[str] = KEYS, text: str = "conten
 
     The break is cut off before splitting, so the text itself is not carried onto the line rows.
     """
+    return (
+        corpus.filter(F.col(text) != "")
+        .select(*keys, F.posexplode(F.split(_body(text), LINE_BREAK)).alias("__pos", "text"))
+        .select(*keys, (F.col("__pos") + 1).cast("long").alias("line"), "text")
+    )
+
+
+def _body(text: str) -> Column:
+    """The text without its final line break."""
     c, size = F.col(text), F.length(text)
-    body = (
+    return (
         F.when(F.endswith(c, F.lit("\r\n")), F.substr(c, F.lit(1), size - 2))
         .when(F.endswith(c, F.lit("\n")) | F.endswith(c, F.lit("\r")), F.substr(c, F.lit(1), size - 1))
         .otherwise(c)
     )
-    return (
-        corpus.filter(F.col(text) != "")
-        .select(*keys, F.posexplode(F.split(body, LINE_BREAK)).alias("__pos", "text"))
-        .select(*keys, (F.col("__pos") + 1).cast("long").alias("line"), "text")
-    )
+
+
+def _build_file(path: str) -> tuple[Column, Column]:
+    """Is every line of the file a build line; is it a manifest, whose sections decide."""
+    name = P.file_name(path)
+    always = (name == "build.rs") | P.suffix(path).isin(R.SHELL_EXTENSIONS)
+    return always, (name == "Cargo.toml") & ~always
+
+
+def _section_header(line: Column) -> Column:
+    """True for the header of a build section, false for another header, null for other lines."""
+    return (F.when(F.rlike(F.lower(line), F.lit(r"(?U)^\s*\[build")), F.lit(True))
+            .when(F.rlike(line, F.lit(r"(?U)^\s*\[")), F.lit(False)))
+
+
+def flagged_lines(corpus: DataFrame, keys: list[str] = KEYS, path: str = "path", text: str = "content") -> DataFrame:
+    """Lines of whole texts with ``in_build``, whether commands count on them, without any shuffle; null texts give one line 0.
+
+    A manifest's headers are found once; each section is a slice of its lines up to the next header, so time is linear in the lines.
+    """
+    always, manifest = _build_file(path)
+
+    def row(line, value, flag):
+        return F.struct(line.cast("long").alias("line"), value.alias("text"), flag.alias("in_build"))
+
+    def by_section(all_lines):
+        marks = F.filter(F.transform(all_lines, lambda x, i: F.struct(i.alias("at"), _section_header(x).alias("build"))),
+                         lambda m: m["build"].isNotNull())
+        first = F.array(F.struct(F.lit(0).alias("at"), F.lit(False).alias("build")))
+
+        def slices(heads):
+            def one(head, i):
+                end = F.coalesce(F.get(heads, i + 1)["at"], F.size(all_lines))
+                return F.transform(F.slice(all_lines, head["at"] + 1, end - head["at"]),
+                                   lambda x, j: row(head["at"] + j + 1, x, head["build"]))
+            return F.flatten(F.transform(heads, one))
+
+        return bind(F.concat(first, marks), slices)
+
+    def rows(all_lines):
+        plain = F.transform(all_lines, lambda x, i: row(i + 1, x, always))
+        return F.when(manifest, by_section(all_lines)).otherwise(plain)
+
+    unread = F.array(row(F.lit(0), F.lit(None).cast("string"), F.lit(False)))
+    found = F.when(F.col(text).isNull(), unread).otherwise(bind(F.split(_body(text), LINE_BREAK), rows))
+    kept = list(dict.fromkeys([*keys, path]))
+    return corpus.filter(F.col(text).isNull() | (F.col(text) != "")).select(*kept, F.explode(found).alias("__l")).select(*kept, "__l.*")
 
 
 def _hits(lines: DataFrame, keys: list[str], entries: Column) -> DataFrame:
@@ -94,14 +145,8 @@ def scan_lines(lines: DataFrame, rules: list[R.Rule] = R.INJECTION, keys: list[s
 
 def build_lines(lines: DataFrame, keys: list[str] = KEYS, path: str = "path", width: int = ordered.WIDTH) -> DataFrame:
     """Lines where commands count: build scripts, shell files and [build…] manifest sections."""
-    name = P.file_name(path)
-    always = (name == "build.rs") | P.suffix(path).isin(R.SHELL_EXTENSIONS)
-    header = (
-        F.when(F.rlike(F.lower("text"), F.lit(r"(?U)^\s*\[build")), F.lit(True))
-        .when(F.rlike("text", F.lit(r"(?U)^\s*\[")), F.lit(False))
-    )
-    manifests = lines.filter((name == "Cargo.toml") & ~always)
-    flagged = ordered.carry_forward(manifests, keys, "line", header, "__in_build", width)
+    always, manifest = _build_file(path)
+    flagged = ordered.carry_forward(lines.filter(manifest), keys, "line", _section_header(F.col("text")), "__in_build", width)
     return lines.filter(always).unionByName(flagged.filter(F.col("__in_build")).drop("__in_build"))
 
 
@@ -232,16 +277,20 @@ def unreadable_rows(corpus: DataFrame, keys: list[str] = KEYS, text: str = "cont
 
 
 def warnings(corpus: DataFrame, keys: list[str] = KEYS, path: str = "path", text: str = "content") -> DataFrame:
-    """Every line scan over a corpus. One pass over the lines makes all entries but the build ones."""
-    lines = explode_lines(corpus, keys, text)
+    """Every line scan over a corpus, in one pass over its texts."""
+    lines = flagged_lines(corpus, keys, path, text)
     nothing = F.array().cast("array<struct<risk:string,pattern:string,context:string>>")
     entries = [rule_entries(R.INJECTION), base64_entries(), codepoint_entries(), homoglyph_entries(),
-               long_comment_entries()]
-    found = _hits(lines, keys, F.concat(*[F.coalesce(e, nothing) for e in entries]))
-    # The path decides about build lines, so this branch never splits the text of other files.
-    build = explode_lines(corpus.filter(P.is_build_file(path)), keys, text)
-    return found.unionByName(scan_build_lines(build, keys=keys, path=path)).unionByName(
-        unreadable_rows(corpus, keys, text))
+               long_comment_entries(), F.when(F.col("in_build"), rule_entries(R.BUILD_COMMANDS, "build_", False))]
+    unread = F.array(_entry("low", "file_read_error", F.lit("content is not readable")))
+    return _hits(lines, keys, F.when(F.col("text").isNull(), unread).otherwise(F.concat(*[F.coalesce(e, nothing) for e in entries])))
+
+
+def scan_build_texts(corpus: DataFrame, rules: list[R.Rule] = R.BUILD_COMMANDS, keys: list[str] = KEYS, path: str = "path",
+                     text: str = "content") -> DataFrame:
+    """``scan_build_lines`` of whole texts, in the task that reads them."""
+    build = corpus.filter(P.is_build_file(path) & F.col(text).isNotNull())
+    return scan_lines(flagged_lines(build, keys, path, text).filter("in_build"), rules, keys, prefix="build_", lower=False)
 
 
 def attribute_function(lines: DataFrame, keys: list[str] = KEYS, header: str = R.IR_HEADER,
@@ -266,7 +315,7 @@ def attributed_lines(corpus: DataFrame, keys: list[str] = KEYS, text: str = "con
     block = f"""aggregate(slice(p, 1 + b * {BLOCK}, {BLOCK}), named_struct('line', all.line, 'cuts', cast(array() AS {kind})),
         (acc, x) -> named_struct('line', acc.line + {breaks('x')},
                                  'cuts', array_append(acc.cuts, named_struct('line', acc.line, 'text', x))))"""
-    cuts = F.expr(f"""transform(array(split(`{text}`, r'(?m)(?=^[ \\t]*(?:pub )?fn[ \\t]+[^\\s(])')), p -> flatten(aggregate(
+    cuts = F.expr(f"""transform(array(split(`{text}`, r'(?md)(?=^[ \\t]*(?:pub )?fn[ \\t]+[^\\s(])')), p -> flatten(aggregate(
         sequence(0, (size(p) - 1) div {BLOCK}), named_struct('line', 1, 'blocks', cast(array() AS array<{kind}>)),
         (all, b) -> transform(array({block}), done -> named_struct('line', done.line, 'blocks', array_append(all.blocks, done.cuts)))[0],
         all -> all.blocks)))[0]""")

@@ -196,13 +196,13 @@ def _build_sql() -> str:
 @query("build_section_scan", f"WITH f AS ({planted_sql(BUILD_PROBES)}), lines AS ({lines_sql('f')}), {_build_sql()} "
                              f"{_hits_sql('build', R.BUILD_COMMANDS, lower=False, prefix='build_')}")
 def build_section_scan(spark, sf_dir):
-    return flat(L.scan_build_lines(L.explode_lines(planted(spark, sf_dir, BUILD_PROBES))), *WARNING)
+    return flat(L.scan_build_texts(planted(spark, sf_dir, BUILD_PROBES)), *WARNING)
 
 
 @query("section_carry", f"WITH f AS ({planted_sql(BUILD_PROBES)}), lines AS ({lines_sql('f')}), {_build_sql()} "
                         "SELECT repo, path, line, text FROM build")
 def section_carry(spark, sf_dir):
-    return flat(L.build_lines(L.explode_lines(planted(spark, sf_dir, BUILD_PROBES))), "repo", "path", "line", "text")
+    return flat(L.flagged_lines(planted(spark, sf_dir, BUILD_PROBES)).filter("in_build"), "repo", "path", "line", "text")
 
 
 def _comment_documents(df):

@@ -43,3 +43,19 @@ def test_log_tail_limits_groups_before_the_shuffle(spark):
 def test_dedup_shuffles_packed_numbers_by_key(spark):
     text = plan(CATALOGUE["dedup_severity"].run(spark, SF))
     assert "partial_min" in text and "SortAggregate" not in text
+
+
+@pytest.mark.parametrize("name", ["build_section_scan", "section_carry"])
+def test_sections_are_folded_in_the_row(spark, name):
+    text = plan(CATALOGUE[name].run(spark, SF))
+    assert "Exchange" not in text and text.count("Scan parquet") == 1
+
+
+def test_all_line_scans_are_one_pass(spark):
+    from auditloom.operators import lines as L
+    from auditloom.plans.base import planted
+    from auditloom.plans.scan_queries import MIXED_PROBES
+
+    text = plan(L.warnings(planted(spark, SF, MIXED_PROBES)))
+    assert "Exchange" not in text and text.count("Scan parquet") == 1
+    assert plan(CATALOGUE["all_warnings"].run(spark, SF)).count("Scan parquet") == 1

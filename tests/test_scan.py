@@ -49,6 +49,18 @@ def test_build_lines_by_section_and_file(spark):
         ("Cargo.toml", 4), ("Cargo.toml", 8), ("build.rs", 1), ("x.sh", 1)}
 
 
+def test_flagged_lines_equal_carried_sections(spark):
+    shapes = ["", "[build]", "a\r\n[build]\r\nb\r[lib]\nc\n", "[lib]\n\n [BUILD-x]\n\n", None, "x\n" * 3, "[build]\n" * 3 + "[z]\ny",
+              "k = 1\n" * 5000 + "[build]\n" + "v = 2\n" * 5000 + "[end]\nz"]
+    df = corpus(spark, *[(f"{n}/{name}", text) for n, text in enumerate(shapes) for name in ("Cargo.toml", "build.rs", "lib.rs")])
+    flagged = L.flagged_lines(df)
+    got = {tuple(r) for r in flagged.filter("in_build").select("path", "line", "text").collect()}
+    assert got == {tuple(r) for r in L.build_lines(L.explode_lines(df)).select("path", "line", "text").collect()}
+    every = sorted(tuple(r) for r in flagged.filter("text IS NOT NULL").select("path", "line", "text").collect())
+    assert every == sorted(tuple(r) for r in L.explode_lines(df).select("path", "line", "text").collect())
+    assert flagged.filter("text IS NULL").select("line").distinct().collect() == [(0,)] and flagged.limit(0).count() == 0
+
+
 def test_unicode_and_mark_at_start(spark):
     hits = L.warnings(corpus(spark, ("a", "﻿ok\n﻿bad​А"), ("b", None))).collect()
     assert {(h.path, h.line, h.pattern) for h in hits} == {
