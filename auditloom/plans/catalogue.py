@@ -6,7 +6,7 @@ import importlib
 
 from auditloom.plans.base import CATALOGUE, Query
 
-MODULES = ["scan_queries", "pack_queries", "finding_queries", "rollup_queries", "routing_queries"]
+MODULES = ["scan_queries", "pack_queries", "finding_queries", "rollup_queries", "routing_queries", "state_queries"]
 
 
 def load() -> dict[str, Query]:

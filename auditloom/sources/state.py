@@ -28,28 +28,48 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def _pointers(fs, folder) -> list[str]:
+    """Names of a state table's pointers, oldest first."""
+    return sorted(status.getPath().getName() for status in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
 def read_state(spark: SparkSession, path: str, schema: str | StructType, multi_line: bool = True) -> DataFrame:
-    """A JSON state table; a missing one is empty."""
-    if not exists(spark, path):
+    """A JSON state table; a missing one is empty. Plain JSON that ``write_state`` did not write is read as it stands."""
+    folder, fs = _file_system(spark, f"{path}/_current")
+    pointers = _pointers(fs, folder)
+    if not pointers and not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    where = f"{path}/data/{pointers[-1].partition('-')[2]}" if pointers else path
+    return spark.read.schema(schema).option("multiLine", multi_line).json(where)
 
 
-def write_state(df: DataFrame, path: str) -> None:
-    """Replace a state table: write beside it, then rename, so a reader never sees half of it."""
+def write_state(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Replace a state table. The rows are written as immutable files; then one empty pointer file, named after number and folder, is
+    created, and readers take the newest. So there is always a whole table to read. The ``keep`` newest are kept for those still reading.
+    A plain file in the table's place is set aside first and deleted last.
+    """
     spark = df.sparkSession
-    fresh, old = f"{path}.{uuid.uuid4().hex[:8]}.tmp", f"{path}.{uuid.uuid4().hex[:8]}.old"
-    df.write.mode("errorifexists").json(fresh)
-    target, fs = _file_system(spark, path)
     make = spark._jvm.org.apache.hadoop.fs.Path
-    kept = fs.exists(target)
-    if kept and not fs.rename(target, make(old)):
-        raise OSError(f"{path} could not be set aside; the new rows are in {fresh}")
-    if not fs.rename(make(fresh), target):
-        if kept and not fs.rename(make(old), target):
-            raise OSError(f"{path} is now {old}, the new rows are in {fresh}")
+    target, fs = _file_system(spark, path)
+    version, aside = uuid.uuid4().hex, None
+    fresh = f"{path}.{version[:8]}.tmp"
+    df.write.mode("errorifexists").json(fresh)
+    if fs.exists(target) and fs.getFileStatus(target).isFile():
+        aside = make(f"{path}.{version[:8]}.old")
+        if not fs.rename(target, aside):
+            raise OSError(f"{path} could not be set aside; the new rows are in {fresh}")
+    fs.mkdirs(make(f"{path}/data"))
+    fs.mkdirs(make(f"{path}/_current"))
+    if not fs.rename(make(fresh), make(f"{path}/data/{version}")):
         raise OSError(f"{path} is as before; the new rows are in {fresh}")
-    fs.delete(make(old), True)
+    pointers = _pointers(fs, make(f"{path}/_current"))
+    number = int(pointers[-1].partition("-")[0]) + 1 if pointers else 0
+    fs.create(make(f"{path}/_current/{number:012d}-{version}"), False).close()
+    for old in _pointers(fs, make(f"{path}/_current"))[:-keep]:
+        fs.delete(make(f"{path}/_current/{old}"), False)
+        fs.delete(make(f"{path}/data/{old.partition('-')[2]}"), True)
+    if aside is not None:
+        fs.delete(aside, True)
 
 
 # --- snapshots ---------------------------------------------------------------------------------

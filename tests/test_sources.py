@@ -62,6 +62,20 @@ def test_state_round_trip(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["state"]
 
 
+def test_state_is_never_missing_and_old_versions_go(spark, tmp_path):
+    path = tmp_path / "state"
+    path.write_text('{"id": 7}')
+    assert state.read_state(spark, str(path), "id bigint").collect() == [(7,)]
+    state.write_state(spark.range(2), str(path))
+    open_reader = state.read_state(spark, str(path), "id bigint", multi_line=False)
+    for n in range(3, 6):
+        state.write_state(spark.range(n), str(path))
+        if n == 3:
+            assert open_reader.count() == 2
+        assert state.read_state(spark, str(path), "id bigint", multi_line=False).count() == n
+    assert len(list((path / "data").iterdir())) == 2 and [p.name for p in tmp_path.iterdir()] == ["state"]
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "saved")
     findings = spark.createDataFrame([("r", "high", "valid"), ("r", "low", "pending")], "repo string, severity string, status string")
