@@ -60,14 +60,22 @@ def cut(start: str, end: str) -> str:
             f"{start} % {WIDTH} + 1, {end} - {start}))")
 
 
-def _index(text: str) -> str:
+def _index(text: str, parts: dict[str, str | None]) -> str:
+    """The parts of a text's index that something reads; a part with a condition is only built for texts that meet it."""
     lines = f"split({text}, '\\n', -1)"
-    return f"""transform(array({lines}), lines -> named_struct(
-        'blocks', regexp_extract_all({text}, '(?s).{{1,{WIDTH}}}', 0), 'size', length({text}),
-        'breaks', {positions(text, chr(10))}, 'fns', {positions(text, "fn ")}, 'fn_ends', {positions(text, chr(10) + "fn ")},
-        'structs', {positions(text, "struct ")}, 'struct_ends', {positions(text, chr(10) + "}")},
-        'last_stop', length({text}) - instr(reverse({text}), ';'), 'stops', contains({text}, ';'),
-        'heads', transform(lines, l -> substring({_strip('l')}, 1, {SHOWN})), 'comments', transform(lines, l -> instr(l, '//'))))[0]"""
+    sql = {"blocks": f"regexp_extract_all({text}, '(?s).{{1,{WIDTH}}}', 0)", "size": f"length({text})",
+           "breaks": positions(text, chr(10)), "fns": positions(text, "fn "), "fn_ends": positions(text, chr(10) + "fn "),
+           "structs": positions(text, "struct "), "struct_ends": positions(text, chr(10) + "}"),
+           "last_stop": f"length({text}) - instr(reverse({text}), ';')", "stops": f"contains({text}, ';')",
+           "heads": f"transform({lines}, l -> substring({_strip('l')}, 1, {SHOWN}))", "comments": f"transform({lines}, l -> instr(l, '//'))"}
+    fields = [f"'{name}', {sql[name] if test is None else f'if({test}, {sql[name]}, {_INTS})'}" for name, test in parts.items()]
+    return f"named_struct({', '.join(fields)})"
+
+
+#: Parts of the index that a context or a guard's segment reads.
+_READS = {"matched": (), "context": ("breaks", "heads"), "commented": ("breaks", "comments"), "statement": ("breaks", "stops", "last_stop"),
+          "nearby": (), "preceding": ("breaks",), "function": ("fns", "fn_ends"), "struct": ("structs", "struct_ends")}
+_BY_LINE = {"context", "commented", "statement"}
 
 
 def _segment(kind: str) -> tuple[str, str]:
@@ -100,16 +108,29 @@ def hits(corpus: DataFrame, rules: list[R.Rule], keys: list[str], text: str, con
     for rules it does not test.
     """
     spans, by_rule = M.spans_of(rules, text)
-    placed = f"""transform(__h, h -> transform(array({cut('h.offset', '(h.offset + h.length)')}), m -> transform(array(
-        cast(h.line AS INT) + length(m) - length(replace(m, '\\n', ''))), last -> named_struct(
-        'rule_no', h.rule_no, 'offset', h.offset, 'stop', h.offset + h.length, 'line', cast(h.line AS INT), 'last_line', last, 'matched', m,
-        'line_start', if(h.line > 1, ix.breaks[cast(h.line AS INT) - 2] + 1, 0),
-        'line_end', if(last <= size(ix.breaks), ix.breaks[last - 1], ix.size)))[0])[0])"""
+    lines = f"""transform(array(cast(h.line AS INT) + length(m) - length(replace(m, '\\n', ''))), last -> named_struct('last', last,
+        'start', if(h.line > 1, ix.breaks[cast(h.line AS INT) - 2] + 1, 0),
+        'end', if(last <= size(ix.breaks), ix.breaks[last - 1], ix.size)))[0]""" if _BY_LINE & set(contexts) else "named_struct('last', 0, 'start', 0, 'end', 0)"
+    placed = f"""transform(__h, h -> transform(array({cut('h.offset', '(h.offset + h.length)')}), m -> transform(array({lines}), at -> named_struct(
+        'rule_no', h.rule_no, 'offset', h.offset, 'stop', h.offset + h.length, 'line', cast(h.line AS INT), 'last_line', at.last, 'matched', m,
+        'line_start', at.start, 'line_end', at.end))[0])[0])"""
     kinds = sorted({guard.kind for guard in guards})
+    # The rules with a guard of a kind, None meaning all; other hits need no segment.
+    guarded = {kind: None if any(g.rules is None for g in guards if g.kind == kind) else
+               sorted({n for g in guards if g.kind == kind for n in g.rules}) for kind in kinds}
+
+    def among(number, numbers):
+        return f"{number} IN ({', '.join(map(str, numbers))})"
+
+    parts: dict[str, str | None] = {"blocks": None, "size": None}
+    parts |= {part: None for name in contexts for part in _READS[name]}
+    parts |= {part: None if guarded[kind] is None else f"exists(__h, h -> {among('h.rule_no', guarded[kind])})" for kind in kinds for part in _READS[kind]}
+
     # A segment is one number, so that a hit finds it by binary search.
     def segment(kind):
         start, end = _segment(kind)
-        return f"shiftleft(cast({start} AS BIGINT), 31) + {end}"
+        number = f"shiftleft(cast({start} AS BIGINT), 31) + {end}"
+        return number if guarded[kind] is None else f"if({among('s.rule_no', guarded[kind])}, {number}, NULL)"
 
     segmented = f"transform(hs, s -> named_struct('s', s{''.join(f''', '{kind}', {segment(kind)}''' for kind in kinds)}))"
 
@@ -117,11 +138,11 @@ def hits(corpus: DataFrame, rules: list[R.Rule], keys: list[str], text: str, con
         own = [g for g in guards if g.kind == kind]
         flags = ", ".join(f"'{g.name}', rlike(body, {M._quote(g.regex)})" for g in own)
         body = cut("cast(shiftright(g, 31) AS INT)", "cast(g & 2147483647L AS INT)")
-        places = f"array_sort(array_distinct(transform(gs, x -> x.{kind})))"
+        places = f"array_sort(array_compact(array_distinct(transform(gs, x -> x.{kind}))))"
         return f"transform(array({places}), places -> named_struct('places', places, 'flags', transform(places, g -> transform(array({body}), body -> named_struct({flags}))[0])))[0]"
 
     def limited(value, numbers):
-        return value if numbers is None else f"if(x.s.rule_no IN ({', '.join(map(str, numbers))}), {value}, NULL)"
+        return value if numbers is None else f"if({among('x.s.rule_no', numbers)}, {value}, NULL)"
 
     columns = "".join(f", '{name}', {limited(f'transform(array(x.s), s -> {_CONTEXTS[name]})[0]', numbers)}" for name, numbers in contexts.items())
     for kind in kinds:
@@ -132,6 +153,6 @@ def hits(corpus: DataFrame, rules: list[R.Rule], keys: list[str], text: str, con
         transform(gs, x -> named_struct('rule_no', x.s.rule_no, 'line', cast(x.s.line AS BIGINT){columns})))[0])[0])[0])[0]""")
     found = corpus.select(*keys, F.col(text).alias("__t"), spans.alias("__h"))
     # A filter on the number of hits would move below and look for them twice, so texts without a hit go after the explode.
-    return (found.select(*keys, "__h", F.expr(f"if(size(__h) > 0, {_index('__t')}, NULL)").alias("__ix"))
+    return (found.select(*keys, "__h", F.expr(f"if(size(__h) > 0, {_index('__t', parts)}, NULL)").alias("__ix"))
             .select(*keys, F.explode_outer(rows).alias("__s")).filter("__s IS NOT NULL").select(*keys, "__s.*")
             .select("*", by_rule("id"), by_rule("target")))

@@ -32,14 +32,32 @@ def _plain(text: str) -> str:
             f"translate({text}, {_quote(OPEN + CLOSE)}, {_quote(STAND_IN * 2)}), {text})")
 
 
-def match_spans(plain: str, regex: str) -> str:
+def _bracketed(plain: str, regex: str, literals: tuple[str, ...] = (), stop: str | None = None) -> str:
+    """SQL for the text with each match in control characters.
+
+    With a rule's literals and stop, the regex starts at the last stop before the first literal; no match can begin earlier.
+    """
+    def replaced(text):
+        return f"regexp_replace({text}, {_quote(regex)}, {_quote(OPEN + '$0' + CLOSE)})"
+
+    if not (literals and stop):
+        return replaced(plain)
+    head = plain
+    for literal in literals:
+        head = f"split({head}, {_quote(chr(92) + 'Q' + literal + chr(92) + 'E')}, 2)[0]"
+    searched = replaced(f"cast(substring(cast({plain} AS BINARY), n + 1) AS STRING)")
+    return f"""transform(array({head}), head -> transform(array(greatest(octet_length(head) - octet_length(substring_index(head, {_quote(stop)}, -1)) - 1, 0)),
+        n -> concat(cast(substring(cast({plain} AS BINARY), 1, n) AS STRING), {searched}))[0])[0]"""
+
+
+def match_spans(plain: str, regex: str, literals: tuple[str, ...] = (), stop: str | None = None) -> str:
     """SQL for the offset (0-based), length and line (1-based) of every match of a regex in a text.
 
     Written as SQL text because a pack unrolls dozens of these; one parsed string is far quicker to
     build than thousands of Column calls.
     """
     breaks = "length({0}) - length(replace({0}, '\\n', ''))".format
-    pieces = f"split(regexp_replace({plain}, {_quote(regex)}, {_quote(OPEN + '$0' + CLOSE)}), {_quote(OPEN)})"
+    pieces = f"split({_bracketed(plain, regex, literals, stop)}, {_quote(OPEN)})"
     def fold(pieces, offset, line):
         return f"""aggregate({pieces}, named_struct('offset', {offset}, 'line', {line}, 'spans', cast(array() AS {_SPAN})),
             (acc, x) -> named_struct(
@@ -62,7 +80,7 @@ def spans_of(rules: list[R.Rule], text: str):
     blind = any(rule.ignore_case and rule.literals for rule in rules)
 
     def numbered(number, rule):
-        found = (f"transform({match_spans('form.plain', rule.regex)}, s -> named_struct('rule_no', {number}, "
+        found = (f"transform({match_spans('form.plain', rule.regex, rule.literals, None if rule.ignore_case else rule.stop)}, s -> named_struct('rule_no', {number}, "
                  "'offset', s.offset, 'length', s.length, 'line', cast(s.line AS BIGINT)))")
         if not rule.literals:
             return found

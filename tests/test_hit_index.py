@@ -72,3 +72,17 @@ def test_time_is_linear_in_the_hits(spark):
     few, many = seconds(15_000), seconds(30_000)
     assert many < 3 * few + 2, (few, many)
     assert seconds(100_000) < 2.6 * seconds(50_000) + 2
+
+
+def test_the_index_holds_only_what_is_read(spark):
+    corpus = spark.createDataFrame([("r", "f", "struct a { mark }")], "repo string, path string, content string")
+
+    def plan(contexts, guards=()):
+        return H.hits(corpus, RULES, M.KEYS, "content", {name: None for name in contexts}, list(guards))._jdf.queryExecution().analyzed().toString()
+
+    everything = plan(NAMES, GUARDS)
+    parts = ["heads", "comments", "last_stop", "breaks", "fns", "structs"]
+    assert all(f"{part}," in everything for part in parts)
+    assert not any(f"{part}," in plan(["matched"]) for part in parts)
+    struct = plan(["matched"], [H.Guard("st", "skip", "struct", (1,))])
+    assert "structs," in struct and not any(f"{part}," in struct for part in parts if part != "structs")

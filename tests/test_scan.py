@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import re
 import time
@@ -169,3 +170,28 @@ def test_very_many_functions_in_one_text(spark):
     last = L.attributed_lines(corpus(spark, ("big", text))).orderBy(F.desc("line")).first()
     assert (last.line, last.function) == (300_000, "f99999")
     assert time.time() - start < 60
+
+
+def test_regexes_start_at_the_last_stop_before_the_first_literal(spark):
+    """Same spans as without a stop, on texts that put stops and literals anywhere; and long prose is not searched."""
+    rng = random.Random(8)
+    words = [lit for rule in R.STRUCTURAL for lit in rule.literals] + [".", ",", " ", "\n", "x", "a1", ": ", "&", "(", ")", "é", "😀", "pub a: Account<'info, B>,", "token::transfer(", "Transfer {",
+             "x: &AccountInfo", "next_account_info(", "a.reward_per_share", "a.acc_reward_per_share", "y += 1", "as u64", ".checked_add(1).unwrap()", "invoke(a", "pub owner: AccountInfo<'info>",
+             "#[account(mut)] pub a: Account<'i, T>,", "AccountMeta::new_readonly(a, true)", "UncheckedAccount<'info>", "AccountInfonext_account_info(", "\x01", "\x02"]
+    files = [(f"f{n}", "".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for n in range(400)]
+    docs = corpus(spark, *files, ("null", None))
+    plain = [dataclasses.replace(rule, stop=None) for rule in R.STRUCTURAL]
+
+    def rows(rules):
+        return sorted((r.path, r.rule, r.offset, r.length, r.line) for r in M.scan_matches(docs, rules).collect())
+
+    assert len(rows(plain)) > 1500 and rows(R.STRUCTURAL) == rows(plain)
+    for rule in R.STRUCTURAL:
+        assert len(rule.stop) == 1 and rule.stop.isascii() and rule.literals and not rule.ignore_case
+        assert not any(rule.stop in literal for literal in rule.literals), rule.id
+    prose = "word " * 5 + "w" * 20_000 + ". "
+    slow = corpus(spark, ("f", prose + "\nfn f(a: AccountInfo) {}"))
+    signer = [rule for rule in R.STRUCTURAL if rule.id == "missing-signer"]
+    start = time.time()
+    assert [(r.offset, r.line) for r in M.scan_matches(slow.union(slow).union(slow).union(slow), signer).collect()] == [(len(prose) + 6, 2)] * 4
+    assert time.time() - start < 10
