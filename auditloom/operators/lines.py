@@ -354,9 +354,14 @@ def captured_name(line: Column, header: str = R.IR_HEADER) -> Column:
 def scan_ir_lines(attributed: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Panic, unsafe, jump and assert lines of function-attributed text, and functions that call themselves, on line 0.
 
-    Lines with the column ``recursive`` need one pass; for others the calls are joined in a pass of their own.
+    Lines with the column ``recursive`` need one pass; for others the calls are joined in a pass of their own. A regex only runs on
+    lines that hold one of its words, and lines without any of them go no further than a compiled filter.
     """
-    text = strip("text")
+    one_pass = "recursive" in attributed.columns
+    mentions = {kind: any_contains(F.col("text"), list(words)) for kind, words in R.IR_WORDS.items()}
+    likely = functools.reduce(operator.or_, mentions.values())
+    near = attributed.filter(likely | (F.size("recursive") > 0) if one_pass else likely).withColumn("text", strip("text"))
+    text = F.col("text")
     owner = F.coalesce("function", F.lit("unknown"))
     snippet = first_chars(text, 200)
 
@@ -364,22 +369,21 @@ def scan_ir_lines(attributed: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         return F.struct(F.col("line"), F.col("function"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
                         F.concat(*message).alias("message"), snippet.alias("snippet"))
 
-    panic = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in R.IR_PANIC)))
-    jump = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in R.IR_JUMP)))
+    def test(kind, patterns):
+        return mentions[kind] & F.rlike(text, F.lit("|".join(f"(?:{p})" for p in patterns)))
+
     entries = F.array_compact(F.array(
-        F.when(panic, entry("panic_path", "warning", F.lit("Panic/abort path detected in "), owner)),
-        F.when(F.rlike(text, F.lit(R.IR_UNSAFE)), entry("unsafe_block", "warning", F.lit("Unsafe block in "), owner)),
-        F.when(jump, entry("potential_loop", "info", F.lit("Potential loop detected in "), owner,
+        F.when(test("panic", R.IR_PANIC), entry("panic_path", "warning", F.lit("Panic/abort path detected in "), owner)),
+        F.when(test("unsafe", [R.IR_UNSAFE]), entry("unsafe_block", "warning", F.lit("Unsafe block in "), owner)),
+        F.when(test("jump", R.IR_JUMP), entry("potential_loop", "info", F.lit("Potential loop detected in "), owner,
                            F.lit(" (jump to bb"), F.regexp_extract(text, r"bb0*(\d+)", 1), F.lit(")"))),
-        F.when(F.rlike(text, F.lit(R.IR_ASSERT)), entry("assert_check", "info", F.lit("Assert/bounds check in "),
-                                                        owner)),
+        F.when(test("assert", [R.IR_ASSERT]), entry("assert_check", "info", F.lit("Assert/bounds check in "), owner)),
     ))
-    one_pass = "recursive" in attributed.columns
     if one_pass:
         repeats = F.transform("recursive", lambda name: F.struct(
             F.lit(0).cast("long").alias("line"), name.alias("function"), F.lit("recursive_call").alias("type"), F.lit("warning").alias("severity"),
             F.concat(F.lit("Direct recursion detected in "), name).alias("message"), F.lit("").alias("snippet")))
         entries = F.when(F.col("recursive").isNull(), entries).otherwise(F.concat(entries, repeats))
-    found = (attributed.select(*keys, F.explode(entries).alias("__hit"))
+    found = (near.select(*keys, F.explode(entries).alias("__hit"))
              .select(*keys, *[f"__hit.{name}" for name in ("line", "function", "type", "severity", "message", "snippet")]))
     return found if one_pass else found.unionByName(graph.recursive_hits(attributed, keys))

@@ -14,9 +14,16 @@ ADVISORY_SCHEMA = """vulnerabilities STRUCT<list: ARRAY<STRUCT<advisory: STRUCT<
     title: STRING, cvss: STRING, url: STRING>>>>"""
 MATCH_SCHEMA = """ruleId STRING, severity STRING, message STRING, file STRING,
     range STRUCT<start: STRUCT<line: BIGINT>>, text STRING"""
+
+
+def _parsed(rows: DataFrame, text: str, schema: str, out: str, options: dict[str, str] | None = None) -> DataFrame:
+    """``rows`` with a text's JSON record as ``out``, parsed once: a filter on it would move below a plain projection and parse it again."""
+    return rows.select("*", F.explode(F.array(F.from_json(text, schema, options or {}))).alias(out))
+
+
 def parse_compiler_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     """Compiler messages among JSON lines; lines that are no JSON and other reasons are skipped."""
-    parsed = lines.withColumn("__m", F.from_json(text, MESSAGE_SCHEMA, {"mode": "PERMISSIVE"}))
+    parsed = _parsed(lines, text, MESSAGE_SCHEMA, "__m", {"mode": "PERMISSIVE"})
     message = F.col("__m.message")
     spans = F.transform(F.coalesce(message["spans"], F.array()), lambda s: F.struct(
         F.coalesce(s["file_name"], F.lit("")).alias("file"), F.coalesce(s["line_start"], F.lit(0)).alias("line_start"),
@@ -34,7 +41,7 @@ def read_compiler_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_advisories(documents: DataFrame, text: str = "value") -> DataFrame:
     """One row per advisory of an audit report; a report that is no JSON yields none."""
-    parsed = documents.withColumn("__d", F.from_json(text, ADVISORY_SCHEMA))
+    parsed = _parsed(documents, text, ADVISORY_SCHEMA, "__d")
     one = parsed.select(*[c for c in documents.columns if c != text],
                         F.explode("__d.vulnerabilities.list.advisory").alias("__a"))
     names = {"id": "id", "package": "package", "title": "title", "severity": "cvss", "url": "url"}
@@ -48,7 +55,7 @@ def read_advisories(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_matches(documents: DataFrame, text: str = "value") -> DataFrame:
     """Records of an external matcher from JSON text, ready for ``rule_hits_normalized``."""
-    return documents.withColumn("__m", F.from_json(text, MATCH_SCHEMA)).filter("__m IS NOT NULL").select(
+    return _parsed(documents, text, MATCH_SCHEMA, "__m").filter("__m IS NOT NULL").select(
         *[c for c in documents.columns if c != text], "__m.*")
 
 

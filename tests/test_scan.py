@@ -172,6 +172,21 @@ def test_very_many_functions_in_one_text(spark):
     assert time.time() - start < 60
 
 
+def test_ir_lines_without_a_word_meet_no_regex(spark):
+    """Any match holds one of its kind's words, so the words decide nothing; the filter on them stands outside the interpreted array."""
+    probes = ["a panic!", "panic_fmt(", "begin_panic", "x unwrap_failed y", "expect_failed", "do abort;", "core::panicking", "std::process::abort", "unsafe {",
+              "goto -> bb3", "switchInt(x) -> [0: bb1]", "assert(a) -> [bb1, bb2]", "panicked", "unsafely", "gotobb", "aborts", "\tassert x", "", "plain", "é panic", "Panic ABORT"]
+    text = "\n".join(probes)
+    lines = L.attributed_lines(corpus(spark, ("f", text)), recursion=True)
+    found = L.scan_ir_lines(lines)
+    assert "contains" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    kinds = {"panic_path": R.IR_PANIC, "unsafe_block": [R.IR_UNSAFE], "potential_loop": R.IR_JUMP, "assert_check": [R.IR_ASSERT]}
+    want = {(n, kind, p.strip()) for n, p in enumerate(probes, 1) for kind, patterns in kinds.items() if any(re.search(x, p) for x in patterns)}
+    assert len(want) == 13
+    assert {(r.line, r.type, r.snippet) for r in found.collect()} == want
+    assert {(r.line, r.type, r.snippet) for r in L.scan_ir_lines(L.attributed_lines(corpus(spark, ("f", text)))).collect()} == want
+
+
 def test_regexes_start_at_the_last_stop_before_the_first_literal(spark):
     """Same spans as without a stop, on texts that put stops and literals anywhere; and long prose is not searched."""
     rng = random.Random(8)

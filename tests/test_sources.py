@@ -110,3 +110,15 @@ def test_exports(spark, tmp_path):
     assert text.startswith("# Security Audit Report") and "**Findings**: 2" in text
     assert text.index("### a-001: T1") < text.index("### a-000: T0") and "a-002" not in text
     assert state.issue_rows(df).filter("id = 'a-001'").first().title == "[Critical] T1"
+
+
+def test_json_records_are_parsed_once(spark):
+    from auditloom.sources import tools
+
+    rows = spark.createDataFrame([(1, '{"reason":"compiler-message","message":{"level":"error"}}'), (2, "no json"), (3, None),
+                                  (4, '{"vulnerabilities":{"list":[{"advisory":{"id":"A"}},{"advisory":{"id":"B"}}]}}')], "n long, value string")
+    found = {parse: parse(rows) for parse in (tools.parse_compiler_lines, tools.parse_advisories, tools.parse_matches)}
+    for df in found.values():
+        assert df._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+    got = {parse.__name__: sorted(r.n for r in df.collect()) for parse, df in found.items()}
+    assert got == {"parse_compiler_lines": [1], "parse_advisories": [4, 4], "parse_matches": [1, 2, 4]}
