@@ -35,10 +35,20 @@ def _matching(text: Column, table: dict[str, list[str]]) -> Column:
 
 
 def route_leads(leads: DataFrame, table: dict[str, list[str]] = R.LEAD_KEYWORDS, out: str = "domain") -> DataFrame:
-    """One row per lead and domain it concerns; a domain without keywords receives every lead."""
+    """One row per lead and domain it concerns; a domain without keywords receives every lead.
+
+    The tests are columns of a projection, which is compiled; inside an array function each would be interpreted.
+    """
     fields = [F.coalesce(F.col(name), F.lit("")) for name in ("message", "rule", "file", "snippet")]
-    text = F.lower(F.concat_ws(" ", *fields))
-    return leads.select("*", F.explode(_matching(text, table)).alias(out))
+    blob = leads.withColumn("__blob", F.lower(F.concat_ws(" ", *fields)))
+    flags = {f"__takes_{n}": T.any_contains(F.col("__blob"), _needed(words)) if words else F.lit(True) for n, words in enumerate(table.values())}
+    takers = F.array_compact(F.array(*[F.when(F.col(flag), F.lit(name)) for flag, name in zip(flags, table)]))
+    return blob.select(*leads.columns, *[test.alias(flag) for flag, test in flags.items()]).select(*leads.columns, F.explode(takers).alias(out))
+
+
+def _needed(words: list[str]) -> list[str]:
+    """Words without those that hold another one of the list, which a text then holds too."""
+    return [word for word in dict.fromkeys(words) if not any(other != word and other in word for other in words)]
 
 
 def route_by_type(rows: DataFrame, table: dict[str, list[str]] = R.INVARIANT_ROUTES, on: str = "type",

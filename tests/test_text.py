@@ -123,3 +123,22 @@ def test_triage_limits(spark):
     errors = [r[0] for r in df.select(P.triage_error()).collect()]
     assert errors[0] is None and errors[1].startswith("triageReason") and errors[2].startswith("notes")
     assert errors[3].startswith("Invalid status")
+
+
+def test_leads_are_routed_by_compiled_tests(spark):
+    """Same rows as the plain test of every keyword; a word that holds another one of its list is not looked for."""
+    from auditloom import rules as R
+    from auditloom.operators import routing
+
+    texts = ["invoke_signed by", "as U64", "REWARD_per_share", "bonding curve", "", None, "nothing", "close_account", "token-2022 PDA", "initialise", "é fee", "a checked_ b"]
+    leads = spark.createDataFrame([(n, a, b, "f.rs", None) for n, (a, b) in enumerate((a, b) for a in texts for b in texts)],
+                                  "n long, message string, rule string, file string, snippet string")
+    routed = routing.route_leads(leads)
+    want = {(n, name) for n, (a, b) in enumerate((a, b) for a in texts for b in texts) for name, words in R.LEAD_KEYWORDS.items()
+            if not words or any(w in f"{a or ''} {b or ''} f.rs ".lower() for w in words)}
+    rows = [(r.n, r.domain) for r in routed.collect()]
+    assert set(rows) == want and len(rows) == len(want) and routed.columns == [*leads.columns, "domain"]
+    plan = routed._jdf.queryExecution().optimizedPlan().toString()
+    generated = next(line for line in plan.splitlines() if "Generate explode" in line).lower()
+    assert "contains" not in generated and "contains" in plan.lower()
+    assert routing._needed(["a", "ab", "c", "c"]) == ["a", "c"]
