@@ -93,9 +93,9 @@ def order(docs: DataFrame) -> Order:
     for row in words:
         repeated[row.word * WORD // 8:(row.word + 1) * WORD // 8] = np.frombuffer(bytes(row.bits), np.uint8)
     lengths = (counts.groupBy(F.shiftrightunsigned("token", 64 - LENGTH_BITS).alias("bucket"))
-               .agg(F.floor(F.log2(F.max("count"))).cast("tinyint").alias("log")).toPandas())
+               .agg(F.floor(F.log2(F.max("count"))).cast("tinyint").alias("log")).toArrow())  # as rows, a full table takes 280 MB of Python objects
     logs = np.zeros(1 << LENGTH_BITS, np.uint8)
-    logs[lengths["bucket"].to_numpy(np.int64)] = lengths["log"].to_numpy(np.uint8)
+    logs[lengths["bucket"].to_numpy()] = lengths["log"].to_numpy().astype(np.uint8)
     return Order(repeated, logs)
 
 
