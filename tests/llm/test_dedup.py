@@ -191,3 +191,27 @@ def test_the_order_of_shingles_reaches_the_driver_as_arrow_columns(spark, monkey
     monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("rows on the driver"))
     assert want.any() and (ngram_join.order(docs).logs == want).all()
     assert not ngram_join.order(docs.limit(0)).logs.any()
+
+
+def test_names_that_stand_once_are_seldom_taken_for_repeated_ones(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MAP_BITS", 16)
+    rng = random.Random(3)
+    one, other = (suffix_dedup.samples(rng.randbytes(120_000))[1] for _ in range(2))
+    bits = np.zeros(1 << 13, np.uint8)
+    np.bitwise_or.at(bits, suffix_dedup._slot(one) >> 3, (1 << (suffix_dedup._slot(one) & 7)).astype(np.uint8))
+    assert len(one) > 1000 and len(suffix_dedup._marked(bits, one)) == len(one)
+    assert len(suffix_dedup._marked(bits, other)) < 0.05 * len(other)
+
+
+def test_only_texts_that_lose_bytes_are_sent_on(spark):
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    clean = ["".join(rng.choice("ijklmnop ") for _ in range(900)) for _ in range(20)]
+    docs = spark.createDataFrame([(k, chr(65 + k) + passage + str(k)) for k in range(5)] + [(100 + k, text) for k, text in enumerate(clean)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert all(got[k].n_removed == 700 and got[k].n_spans == 1 for k in range(5))  # planted passages are all caught
+    assert all(got[100 + k].n_removed == 0 and got[100 + k].kept_sha256 == hashlib.sha256(text.encode()).hexdigest() for k, text in enumerate(clean))
+    rows = docs.selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS row")
+    lost = suffix_dedup.bit_map(rows.where("doc_id < 5").selectExpr("row AS value"))
+    sent = rows.mapInArrow(suffix_dedup._settled(spark.sparkContext.broadcast(lost)), "doc_id long, row long, text string, n_bytes long, kept_sha256 string")
+    assert {r.doc_id for r in sent.where("text IS NOT NULL").collect()} == set(range(5))
