@@ -215,3 +215,12 @@ def test_only_texts_that_lose_bytes_are_sent_on(spark):
     lost = suffix_dedup.bit_map(rows.where("doc_id < 5").selectExpr("row AS value"))
     sent = rows.mapInArrow(suffix_dedup._settled(spark.sparkContext.broadcast(lost)), "doc_id long, row long, text string, n_bytes long, kept_sha256 string")
     assert {r.doc_id for r in sent.where("text IS NOT NULL").collect()} == set(range(5))
+
+
+def test_components_go_on_with_the_edges_that_are_left(spark, monkeypatch):
+    whole, seen = common.cut, []
+    monkeypatch.setattr(common, "cut", lambda df: seen.append(whole(df)) or seen[-1])
+    edges = [(a + 10 * k, b + 10 * k) for k in range(6) for a in range(10) for b in range(a)] + [(9 + 10 * k, 18 + 10 * k) for k in range(5)]
+    assert {r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {0}
+    left = [df.count() for df in seen if df.columns == ["x", "y"]]
+    assert left[0] == len(edges) and left[1] < 10 and left[-1] == 0
