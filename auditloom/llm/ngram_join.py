@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditloom.llm.common import as_long, ascii_lower, components, cut, mix, named_number, ordered_name, row_labels, utf8
+from auditloom.llm.common import as_long, ascii_lower, components, mix, named_number, ordered_name, row_labels, stored, utf8
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Share of all hashes whose documents are counted, which exceeds the share that a document asks with; bits of the map of
@@ -86,7 +86,7 @@ class Order:
 def order(docs: DataFrame) -> Order:
     """Counted over all documents by a shuffle; what the driver gets is of fixed size."""
     tokens = docs.select("text").mapInArrow(_countable, "tokens array<long>").select(F.explode("tokens").alias("token"))
-    counts = cut(tokens.groupBy("token").count().where("count > 1"))
+    counts = stored(tokens.groupBy("token").count().where("count > 1"))
     slot = F.shiftrightunsigned("token", 64 - MAP_BITS)
     words = (counts.groupBy((slot / WORD).cast("int").alias("word")).agg(F.bitmap_construct_agg(slot % WORD).alias("bits")).collect())
     repeated = np.zeros(1 << (MAP_BITS - 3), np.uint8)
@@ -228,17 +228,17 @@ def links(docs: DataFrame) -> DataFrame:
     component's name (null for sets that are empty)."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
     shared = docs.sparkSession.sparkContext.broadcast(order(docs).tables())  # MAP_BITS and LENGTH_BITS fix its size
-    signed = cut(texts.mapInArrow(_signed(shared), "doc_id long, row long, n_shingles long, cls long, prefix array<long>, salts array<int>"))
+    signed = stored(texts.mapInArrow(_signed(shared), "doc_id long, row long, n_shingles long, cls long, prefix array<long>, salts array<int>"))
     classes = (signed.where("cls is not null").groupBy("cls")
                .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
                .select("cls", "copies", F.col("first.doc_id").alias("id"), F.col("first.row").alias("row"),
                        ordered_name(F.col("first.doc_id"), F.col("cls").cast("string")).alias("name")))
     groups = components(_stars(signed)).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
-    members = cut(classes.join(groups, "cls"))
-    blocks = cut(members.join(signed.select("cls", "n_shingles").distinct(), "cls").groupBy("grp")
-                 .agg(F.count(F.lit(1)).alias("g"), F.sum("n_shingles").alias("volume"))
-                 .select("grp", F.greatest(F.least(F.ceil(F.col("g") / BLOCK), F.lit(SPREAD)), F.ceil(F.col("g") / MAX_BLOCK),
-                                           F.ceil(F.col("volume") / BLOCK_SHINGLES)).cast("int").alias("parts")))
+    members = stored(classes.join(groups, "cls"))
+    blocks = stored(members.join(signed.select("cls", "n_shingles").distinct(), "cls").groupBy("grp")
+                    .agg(F.count(F.lit(1)).alias("g"), F.sum("n_shingles").alias("volume"))
+                    .select("grp", F.greatest(F.least(F.ceil(F.col("g") / BLOCK), F.lit(SPREAD)), F.ceil(F.col("g") / MAX_BLOCK),
+                                              F.ceil(F.col("volume") / BLOCK_SHINGLES)).cast("int").alias("parts")))
     wanted = members.join(blocks, "grp").select(F.coalesce("id", F.lit(-1 << 63)).alias("key"), "row", "cls", "name", "copies", "grp", "parts")
     keyed = texts.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("key"), "row", "text")
     sets = (wanted.join(keyed, ["key", "row"]).select("text", "cls", "name", "copies", "grp", "parts")
@@ -246,11 +246,11 @@ def links(docs: DataFrame) -> DataFrame:
     dealt = (sets.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("parts", "other"))
-    found = cut(dealt.groupBy("grp", "low", "high").applyInArrow(_joined, "name string, links long, root string"))
+    found = stored(dealt.groupBy("grp", "low", "high").applyInArrow(_joined, "name string, links long, root string"))
     linked = components(found.select(F.col("name").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "name")
     counts = found.groupBy("name").agg(F.sum("links").alias("links"))
-    known = cut(classes.join(counts, "name", "left").join(linked, "name", "left")
-                .select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "name").alias("component")))
+    known = stored(classes.join(counts, "name", "left").join(linked, "name", "left")
+                   .select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "name").alias("component")))
     return signed.drop("prefix", "salts").join(known, "cls", "left").select(
         "doc_id", "row", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(named_number(F.col("component"))).alias("component_id"), "component")

@@ -224,3 +224,23 @@ def test_components_go_on_with_the_edges_that_are_left(spark, monkeypatch):
     assert {r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {0}
     left = [df.count() for df in seen if df.columns == ["x", "y"]]
     assert left[0] == len(edges) and left[1] < 10 and left[-1] == 0
+
+
+def test_the_join_runs_few_tasks_however_many_partitions_there_are(spark):
+    """The driver keeps a record of every task, so tables between the steps are not read in a task for each partition."""
+    docs, context = spark.createDataFrame(near_texts(), "doc_id long, text string"), spark.sparkContext
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
+    try:
+        context.setJobGroup("few-tasks", "")
+        ngram_join.links(docs).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    tracker = context.statusTracker()
+    stages = {stage for job in tracker.getJobIdsForGroup("few-tasks") for stage in tracker.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    assert 0 < tasks < 1600  # 1,078; 2,520 when each table was a checkpoint
