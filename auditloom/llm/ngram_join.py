@@ -261,7 +261,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Documents with an empty set all stay. Returns the columns of ``docs``.
     """
-    found = links(docs)
+    found = stored(links(docs))
     key = F.coalesce("doc_id", F.lit(-1 << 63))
     first = (found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("f"))
              .select("f.doc_id", "f.row"))
