@@ -1,9 +1,10 @@
 """N-gram Jaccard join: documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-Equal sets are one class. Counts over all documents order shingles from rare to common; tasks get the order as tables of fixed
-size, which fill up on a larger corpus unless ``MAP_BITS`` grows with it: the order gets worse then, the result does not. A pair that links
-shares one of the rarest ``size - T + 1`` shingles of each side, T being the overlap a size requires, so classes that
-share such a shingle fall into one candidate group (stars around each list's smallest class, salted where the list
+Equal sets are one class. Counts over all documents order shingles from rare to common; tasks get the order as tables that grow with
+the number of repeated shingles: in full ones shingles that stand once pass for repeated ones, and common ones then join most of a large
+corpus in one group. Beyond ``MOST_BITS`` the order gets worse, the result does not. A pair that links
+shares one of the rarest ``size - T + 1`` shingles of each side, T being the overlap a size requires, and sizes that link lie in
+the same range or in neighbouring ones, so classes that share such a shingle and a range fall into one candidate group (stars around each list's smallest class, salted where the list
 is long, then connected components; no pairs are made). Inside a group, block meets block: the
 inverted lists of one block answer T-occurrence queries of the other by DivideSkip. The short lists are merged
 by counting, the few longest are only probed for the candidates that reached T less their number, and sizes
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +32,14 @@ from pyspark.sql.window import Window
 from auditloom.llm.common import as_long, ascii_lower, components, mix, named_number, ordered_name, row_labels, stored, utf8
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
-#: Share of all hashes whose documents are counted, which exceeds the share that a document asks with; bits of the map of
-#: repeated shingles and of the table of list lengths. They only order shingles, and their size is the same for every corpus.
-COUNTED, MAP_BITS, WORD, LENGTH_BITS = 0.4, 26, 32_768, 19
-#: Classes per block, block count from which blocks grow instead, largest block, and shingles per block.
-BLOCK, SPREAD, MAX_BLOCK, BLOCK_SHINGLES = 64, 32, 4096, 1 << 21
+#: Share of all hashes whose documents are counted, which exceeds the share that a document asks with; least and most bits of the map of
+#: repeated shingles, which has 8 to 16 for each of them, and of the table of list lengths, which has an entry for 8 to 16 of them.
+#: They only order shingles; at most they take 128 and 8 MB.
+COUNTED, MAP_BITS, MOST_BITS, WORD, LENGTH_BITS, MOST_LENGTHS = 0.4, 26, 30, 32_768, 19, 23
+#: Where in a hash its two slots of the map begin. The highest bits tell counted hashes from others and so fill but a part of the slots.
+SLOTS = (0, 30)
+#: Classes per block, block count from which blocks grow instead, largest block, and shingles per block. A set goes to each block.
+BLOCK, SPREAD, MAX_BLOCK, BLOCK_SHINGLES = 64, 8, 4096, 1 << 21
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -56,6 +61,15 @@ def required(size: int) -> int:
     return -(-NUMERATOR * size // DENOMINATOR)
 
 
+def _ranges(last: int = 1 << 48) -> list[int]:
+    """The least size of each range; the largest of a range is the largest that the least links with."""
+    least = [1]
+    while least[-1] < last:
+        least.append(least[-1] * DENOMINATOR // NUMERATOR + 1)
+    return least
+
+
+RANGES = _ranges()
 _LIMIT = np.uint64(int(COUNTED * (1 << 64)))
 
 
@@ -67,7 +81,7 @@ def _countable(batches):
 
 @dataclass(frozen=True)
 class Order:
-    """Which shingles are rare: a bit per slot for the repeated ones, and the logarithm of list lengths."""
+    """Which shingles are rare: two bits for each of the repeated ones, and the logarithm of list lengths."""
 
     repeated: np.ndarray
     logs: np.ndarray
@@ -77,24 +91,30 @@ class Order:
 
     def log(self, tokens: np.ndarray) -> np.ndarray:
         """0 for a shingle of one document, else the logarithm of its list's length plus 1; 64 for those not counted."""
-        slot = (tokens >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-        again = (self.repeated[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-        known = np.where(again == 1, 1 + self.logs[(tokens >> np.uint64(64 - LENGTH_BITS)).astype(np.int64)], 0)
+        again = np.ones(len(tokens), np.uint8)
+        for shift in SLOTS:
+            slot = (tokens >> np.uint64(shift)).astype(np.int64) & (8 * len(self.repeated) - 1)
+            again &= self.repeated[slot >> 3] >> (slot & 7).astype(np.uint8)
+        known = np.where(again == 1, 1 + self.logs[(tokens >> np.uint64(65 - len(self.logs).bit_length())).astype(np.int64)], 0)
         return np.where(tokens < _LIMIT, known, 64)
 
 
 def order(docs: DataFrame) -> Order:
-    """Counted over all documents by a shuffle; what the driver gets is of fixed size."""
+    """Counted over all documents by a shuffle; what the driver gets is of bounded size."""
     tokens = docs.select("text").mapInArrow(_countable, "tokens array<long>").select(F.explode("tokens").alias("token"))
     counts = stored(tokens.groupBy("token").count().where("count > 1"))
-    slot = F.shiftrightunsigned("token", 64 - MAP_BITS)
-    words = (counts.groupBy((slot / WORD).cast("int").alias("word")).agg(F.bitmap_construct_agg(slot % WORD).alias("bits")).collect())
-    repeated = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    repeats = counts.count()
+    bits = min(max((8 * repeats).bit_length(), MAP_BITS), MOST_BITS)
+    slots = counts.select(F.explode(F.array(*[F.shiftrightunsigned("token", n).bitwiseAND((1 << bits) - 1) for n in SLOTS])).alias("slot"))
+    words = (slots.groupBy(F.shiftright("slot", WORD.bit_length() - 1).cast("int").alias("word"))
+             .agg(F.bitmap_construct_agg(F.col("slot") % WORD).alias("bits")).collect())
+    repeated = np.zeros(1 << (bits - 3), np.uint8)
     for row in words:
         repeated[row.word * WORD // 8:(row.word + 1) * WORD // 8] = np.frombuffer(bytes(row.bits), np.uint8)
-    lengths = (counts.groupBy(F.shiftrightunsigned("token", 64 - LENGTH_BITS).alias("bucket"))
+    bits = min(max((repeats // 16).bit_length(), LENGTH_BITS), MOST_LENGTHS)
+    lengths = (counts.groupBy(F.shiftrightunsigned("token", 64 - bits).cast("int").alias("bucket"))
                .agg(F.floor(F.log2(F.max("count"))).cast("tinyint").alias("log")).toArrow())  # as rows, a full table takes 280 MB of Python objects
-    logs = np.zeros(1 << LENGTH_BITS, np.uint8)
+    logs = np.zeros(1 << bits, np.uint8)
     logs[lengths["bucket"].to_numpy()] = lengths["log"].to_numpy().astype(np.uint8)
     return Order(repeated, logs)
 
@@ -104,36 +124,52 @@ def _salts(log: np.ndarray) -> np.ndarray:
     return np.where(log == 64, 16, 1 << np.maximum((log.astype(np.int64) - 6) // 2, 0))
 
 
+def keys(found: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the lists that a set stands in, and the logarithms of their lengths: its rare shingles, by range of sizes.
+
+    A set stands in the lists of its own range with all of its prefix, and in those of the next with what it can share with
+    larger sets only, since these require more.
+    """
+    size, at = len(found), bisect_right(RANGES, len(found))
+    order = np.lexsort((found, log))
+    least = -(-NUMERATOR * (size + RANGES[at]) // (NUMERATOR + DENOMINATOR))
+    names, logs = [], []
+    for number, count in ((at, size - required(size) + 1), (at + 1, size - least + 1)):
+        rare = order[:max(count, 0)]
+        rare = rare[log[rare] > 0]  # a shingle of one document leads nowhere
+        names.append(mix(found[rare] ^ mix(np.array([number], np.uint64))))
+        logs.append(log[rare])
+    return np.concatenate(names), np.concatenate(logs)
+
+
 def _signed(shared):
     def run(batches):
         ranks = Order(*shared.value)
         for batch in batches:
-            size, cls, prefix, salts = [], [], [], []
+            size, cls, lists, salts = [], [], [], []
             for text in utf8(batch.column("text")):
                 found = shingles(text)
                 size.append(len(found))
                 if not len(found):
                     cls.append(None)
-                    prefix.append([])
+                    lists.append([])
                     salts.append([])
                     continue
                 cls.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True))
-                log = ranks.log(found)
-                rare = np.lexsort((found, log))[:len(found) - required(len(found)) + 1]
-                rare = rare[log[rare] > 0]  # a shingle of one document leads nowhere
-                prefix.append(as_long(found[rare]))
-                salts.append(_salts(log[rare]).astype(np.int32))
+                names, log = keys(found, ranks.log(found))
+                lists.append(as_long(names))
+                salts.append(_salts(log).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()),
-                 pa.array(prefix, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))],
-                ["doc_id", "row", "n_shingles", "cls", "prefix", "salts"])
+                 pa.array(lists, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))],
+                ["doc_id", "row", "n_shingles", "cls", "keys", "salts"])
     return run
 
 
 def _stars(signed: DataFrame) -> DataFrame:
     """Edges that join all classes of one inverted list, a few per class."""
-    postings = (signed.where("cls is not null").select("cls", F.explode(F.arrays_zip("prefix", "salts")).alias("p"))
-                .select("cls", F.col("p.prefix").alias("token"), F.col("p.salts").alias("salts"))
+    postings = (signed.where("cls is not null").select("cls", F.explode(F.arrays_zip("keys", "salts")).alias("p"))
+                .select("cls", F.col("p.keys").alias("token"), F.col("p.salts").alias("salts"))
                 .withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")))
     first = postings.withColumn("low", F.min("cls").over(Window.partitionBy("token", "salt")))
     near = first.where("cls != low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
@@ -227,8 +263,8 @@ def links(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, row (a hash of the text), n_shingles, n_links, component_id, and the
     component's name (null for sets that are empty)."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    shared = docs.sparkSession.sparkContext.broadcast(order(docs).tables())  # MAP_BITS and LENGTH_BITS fix its size
-    signed = stored(texts.mapInArrow(_signed(shared), "doc_id long, row long, n_shingles long, cls long, prefix array<long>, salts array<int>"))
+    shared = docs.sparkSession.sparkContext.broadcast(order(docs).tables())  # MOST_BITS and MOST_LENGTHS bound its size
+    signed = stored(texts.mapInArrow(_signed(shared), "doc_id long, row long, n_shingles long, cls long, keys array<long>, salts array<int>"))
     classes = (signed.where("cls is not null").groupBy("cls")
                .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
                .select("cls", "copies", F.col("first.doc_id").alias("id"), F.col("first.row").alias("row"),
@@ -251,7 +287,7 @@ def links(docs: DataFrame) -> DataFrame:
     counts = found.groupBy("name").agg(F.sum("links").alias("links"))
     known = stored(classes.join(counts, "name", "left").join(linked, "name", "left")
                    .select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "name").alias("component")))
-    return signed.drop("prefix", "salts").join(known, "cls", "left").select(
+    return signed.drop("keys", "salts").join(known, "cls", "left").select(
         "doc_id", "row", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(named_number(F.col("component"))).alias("component_id"), "component")
 

@@ -244,3 +244,41 @@ def test_the_join_runs_few_tasks_however_many_partitions_there_are(spark):
     stages = {stage for job in tracker.getJobIdsForGroup("few-tasks") for stage in tracker.getJobInfo(job).stageIds}
     tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
     assert 0 < tasks < 1600  # 1,078; 2,520 when each table was a checkpoint
+
+
+def test_the_map_of_repeated_shingles_grows_with_their_number(spark, monkeypatch):
+    """A full map took shingles that stand once for repeated ones; common shingles then joined most texts in one group."""
+    monkeypatch.setattr(ngram_join, "MAP_BITS", 15)
+    copied = " ".join(f"w{n}" for n in range(30_000))
+    once = ngram_join.shingles(" ".join(f"x{n}" for n in range(30_000)).encode())
+    found = ngram_join.order(spark.createDataFrame([(1, copied), (2, copied)], "doc_id long, text string"))
+    repeated = ngram_join.shingles(copied.encode())
+    assert (found.log(repeated)[repeated < ngram_join._LIMIT] > 0).all()
+    assert (found.log(once)[once < ngram_join._LIMIT] > 0).mean() < 0.1
+
+
+def test_texts_whose_sizes_cannot_link_form_no_group(spark, monkeypatch):
+    """Texts that share but a passage made groups that grew faster than the table, and each set goes to all blocks of its group."""
+    passage = [f"p{n}" for n in range(40)]
+    texts = [" ".join(passage + [f"a{size}x{n}" for n in range(size)]) for size in (10, 30, 60)]
+    seen, whole = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: seen.append(edges.count()) or whole(edges))
+    rows = ngram_join.links(spark.createDataFrame([(n, text) for n, text in enumerate(texts)], "doc_id long, text string")).collect()
+    assert seen == [0, 0] and all(r.n_links == 0 and r.component_id == r.doc_id for r in rows)
+
+
+def test_sets_that_link_just_so_share_a_list():
+    rng, tried = np.random.default_rng(1), 0
+    for n in range(4000):
+        one = np.unique(rng.integers(0, 1 << 64, int(rng.integers(1, 60 if n % 2 else 600)), dtype=np.uint64))
+        both = rng.permutation(one)[:len(one) - int(rng.integers(0, len(one) // 4 + 1))]
+        other = np.unique(np.append(both, rng.integers(0, 1 << 64, max(len(both) * 100 // 80 - len(one), 0), dtype=np.uint64)))
+        if 100 * len(both) < 80 * len(np.union1d(one, other)):
+            continue
+        tried += 1
+        lists = []
+        for found in (one, other):
+            known = np.where(np.isin(found, both), 1 + (found % np.uint64(3)).astype(np.int64), (found % np.uint64(7) < 2).astype(np.int64))
+            lists.append(ngram_join.keys(found, np.where(found < ngram_join._LIMIT, known, 64))[0])
+        assert len(np.intersect1d(*lists))
+    assert tried > 2000
