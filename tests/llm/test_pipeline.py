@@ -51,3 +51,15 @@ def test_stages_take_effect(spark, tmp_path):
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
     assert numbers == list(range(1, 14)) and set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_near_duplicates_form_no_groups_of_sizes_that_cannot_link(spark, monkeypatch):
+    """The pipeline's second stage sent each text of a group that shared but a passage to all blocks of the group."""
+    import corpus_pipeline
+    from auditloom.llm import ngram_join
+
+    seen, whole = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: seen.append(edges.count()) or whole(edges))
+    texts = [" ".join([f"p{n}" for n in range(40)] + [f"a{size}x{n}" for n in range(size)]) for size in (10, 30, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 3 and seen == [0, 0]
